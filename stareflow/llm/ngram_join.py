@@ -11,9 +11,9 @@ the whole sets. Steps:
    they enter the inverted lists of their prefix shingles, and the lists are scanned. Prefixes
    follow one global order, rare shingles first, so that a linked pair must meet. The boundary
    has the least cost, in rows made and scanned, over the corpus's own sizes.
-3. Long lists are never expanded into all pairs. Links between a few representatives join most
-   of a large group of near copies first; a long list then gives only pairs of sets that are in
-   different components, by a join from all but the list's largest component.
+3. Long lists are never expanded into pairs. Links between a few representatives join most of a
+   large group of near copies first; what long lists then leave open is compared in blocks, all
+   but a cluster's largest component against the whole cluster.
 4. A parity bitmap of each set bounds the symmetric difference from below and drops pairs that
    cannot link; the rest are checked shingle by shingle.
 
@@ -41,6 +41,8 @@ PERCENT = 75
 SKETCH_BITS = 20
 #: Largest boundary that is considered between light and heavy sets.
 MOST_LIGHT = 64
+#: Shingles and sets that a block of a long list's cluster holds, about.
+BLOCK_SHINGLES, BLOCK_SETS = 32_768, 512
 #: Min-hash keys that join most of a group of near copies: so many keys of two minima each.
 BANDS = 4
 
@@ -220,11 +222,9 @@ def _entries(docs: DataFrame, counts: np.ndarray, boundary: int, k: int, percent
                     keys.append(h[:p]), poss.append(np.arange(p)), hots.append(c[:p] > hot_from)
                 if n <= boundary:
                     i, j = np.triu_indices(len(h), 1)
-                    keys.append(_mixed(h[i] * _STEP + h[j])), poss.append(np.full(len(i), -1)), hots.append(np.minimum(c[i], c[j]) > hot_from)
-                made = sum(map(len, keys[len(sids) :]))
+                    keys.append(_mixed(h[i] * _STEP + h[j])), poss.append(-1 - j), hots.append(np.minimum(c[i], c[j]) > hot_from)
                 for x in keys[len(sids) :]:
                     sids.append(np.full(len(x), sid)), ns.append(np.full(len(x), n))
-                assert made
             if not keys:
                 return None
             cols = [_signed(np.concatenate(keys)), np.concatenate(sids), np.concatenate(ns).astype(np.int32), np.concatenate(poss).astype(np.int32), np.concatenate(hots)]
@@ -236,10 +236,14 @@ def _entries(docs: DataFrame, counts: np.ndarray, boundary: int, k: int, percent
 
 
 def _may_link(n, m, i, j, percent: int):
-    """Whether sizes n, m and positions i, j of the first shared shingle leave enough to share."""
+    """Whether sizes n, m and positions i, j of the first shared shingle leave enough to share.
+
+    A subset's position is that of its second shingle p, given as -p - 1: of the subsets that two
+    sets share there is one that holds the first two shingles that they share.
+    """
     need = -(-percent * (n + m) // (100 + percent))
-    room = 1 + np.minimum(n - i - 1, m - j - 1)
-    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((i < 0) | (room >= need))
+    room = np.where(i < 0, 2 + np.minimum(n + i, m + j), 1 + np.minimum(n - i - 1, m - j - 1))
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (room >= need)
 
 
 def _scan(entries: DataFrame, boundary: int, percent: int) -> DataFrame:
@@ -301,15 +305,73 @@ def _not_joined(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return far.where(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).select("a", "b")
 
 
-def _long_pairs(hot: DataFrame, comps: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """Pairs of long lists: of each list, all but its largest component against the whole list."""
-    own = hot.join(comps.toDF("sid", "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    sizes = own.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("kinds"))
-    few = own.join(sizes.where("kinds > 1").select("key", "main"), "key").where("comp <> main").select("key", *(F.col(c).alias(f"{c}_") for c in ("sid", "n", "pos", "comp")))
-    need = f"CAST(CEIL({percent} * (CAST(n AS LONG) + n_) / CAST({100 + percent} AS DOUBLE)) AS LONG)"
-    fits = f"100L * LEAST(n, n_) >= {percent}L * GREATEST(n, n_) AND (pos < 0) = (pos_ < 0) AND (pos < 0 OR (GREATEST(n, n_) > {boundary} AND 1 + LEAST(n - pos - 1, n_ - pos_ - 1) >= {need}))"
-    met = few.join(own, "key").where("comp <> comp_").where(fits)
-    return met.select(F.least("sid", "sid_").alias("a"), F.greatest("sid", "sid_").alias("b")).distinct()
+def _long_links(hot: DataFrame, comps: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links of long lists between different components.
+
+    Lists whose sets are all in one component are closed. The sets of open lists that share sets
+    form a cluster; a cluster is dealt into blocks of bounded size by size class, the largest
+    component apart, and two blocks are compared by one matrix product where sizes allow a link and
+    not both are of that component. A pair of blocks gives at most one row for each of its sets.
+    """
+    labels = comps.toDF("sid", "comp")
+    own = hot.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    kinds = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    open_ = stored(own.join(kinds, "key").select("key", "sid", "comp"))
+    clusters = components(open_.select(F.col("sid").alias("a"), F.col("key").alias("b"))).toDF("sid", "cluster")
+    members = stored(open_.select("sid", "comp").distinct().join(clusters, "sid").join(sets.select("sid", "n"), "sid"))
+    main = members.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+    kind = [F.col("cluster"), (F.col("comp") == F.col("main")).alias("is_main"), F.floor(F.log("n") / float(np.log(100 / percent))).cast("int").alias("size")]
+    members = members.join(main, "cluster").select("sid", "comp", "n", *kind)
+    parts = members.groupBy("cluster", "is_main", "size").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).alias("parts"))
+    dealt = members.join(parts, ["cluster", "is_main", "size"]).withColumn("part", F.pmod(F.xxhash64("sid"), "parts"))
+    block = F.xxhash64("cluster", "is_main", "size", "part").alias("block")
+    dealt = stored(dealt.select("sid", "comp", "cluster", "is_main", "size", block))
+    blocks = dealt.select("cluster", "is_main", "size", "block").distinct()
+    pairs = blocks.toDF("cluster", "m1", "s1", "left").join(blocks.toDF("cluster", "m2", "s2", "right"), "cluster")
+    pairs = pairs.where("left <= right AND NOT (m1 AND m2) AND abs(s1 - s2) <= 1").select("left", "right")
+    whole = dealt.join(_sets_of(dealt.select("sid"), docs, sets, k), "sid").groupBy("block").agg(F.collect_list(F.struct("sid", "comp", "h")).alias("x"))
+    whole = stored(whole)
+
+    def start():
+        def step(batch: pa.RecordBatch):
+            a, b = [], []
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for p, q in _block_links(x, y, percent):
+                    a.append(p), b.append(q)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        return step
+
+    both = pairs.join(whole.toDF("left", "x"), "left").join(whole.toDF("right", "y"), "right").select("x", "y")
+    return map_batches(both, start, "a long, b long")
+
+
+def _block_links(x: list[dict], y: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Pairs of sids that connect all sets of the blocks x and y that links between them connect."""
+    sets = [np.frombuffer(r["h"], np.uint64) for r in (*x, *y)]
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    shingles, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    hit = times[at] > 1
+    rows = np.repeat(np.arange(len(sets)), size)[hit]
+    mat = np.zeros((len(sets), int(shared[-1]) + 1 if len(shingles) else 0), np.float32)
+    mat[rows, shared[at[hit]]] = 1
+    both = np.rint(mat[: len(x)] @ mat[len(x) :].T).astype(np.int64)
+    comp = np.array([r["comp"] for r in (*x, *y)])
+    link = (both > 0) & (100 * both >= percent * (size[: len(x), None] + size[None, len(x) :] - both)) & (comp[: len(x), None] != comp[None, len(x) :])
+    if not link.any():
+        return []
+    label, n = np.arange(len(sets)), len(x)
+    while True:  # the smallest label among what is linked, until none changes
+        low = np.where(link, label[None, n:], len(sets))
+        new = np.minimum(label[:n], low.min(axis=1))
+        right = np.minimum(label[n:], np.where(link, new[:, None], len(sets)).min(axis=0))
+        new = np.concatenate([new, right])
+        if (new == label).all():
+            break
+        label = new
+    sid = [r["sid"] for r in (*x, *y)]
+    return [(sid[i], sid[j]) for i, j in enumerate(label.tolist()) if i != j and sid[i] != sid[j]]
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -332,10 +394,9 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "xa", "nb", "xb"), start, "a long, b long")
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs whose whole sets reach the threshold."""
-    pairs = stored(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "doc_id"), "sid").select(F.col("doc_id").alias("wanted")).distinct()
+def _sets_of(sids: DataFrame, docs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """(sid, h): the whole sets of the sids, made again from the documents that name them."""
+    wanted = sids.distinct().join(sets.select("sid", "doc_id"), "sid").select(F.col("doc_id").alias("wanted")).distinct()
     wanted = bounded(stored(wanted), 16)
 
     def start():
@@ -350,8 +411,13 @@ def _checked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent
 
     own = docs.select(F.col("doc_id").cast("long").alias("own"), "text")
     texts = own.join(wanted, F.col("own").eqNullSafe(F.col("wanted")), "left_semi").select("text")
-    found = map_batches(texts, start, "sid long, h binary").groupBy("sid").agg(F.first("h").alias("h"))
-    found = stored(found)
+    return stored(map_batches(texts, start, "sid long, h binary").groupBy("sid").agg(F.first("h").alias("h")))
+
+
+def _checked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs whose whole sets reach the threshold."""
+    pairs = stored(pairs)
+    found = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")), docs, sets, k)
 
     def compare():
         def step(batch: pa.RecordBatch):
@@ -390,9 +456,9 @@ def ngram_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, bits: in
     scanned = stored(_scan(_entries(docs, counts, boundary, k, percent, bits), boundary, percent))
     ordinary = scanned.where("key IS NULL").select("a", "b").distinct()
     hot = scanned.where("key IS NOT NULL").select(F.col("a").alias("sid"), "key", "n", "pos").distinct()
-    pairs = _not_joined(ordinary, comps).union(_long_pairs(hot, comps, boundary, percent)).distinct()
-    more = _checked(_plausible(pairs, sets, percent), docs, sets, k, percent)
-
+    more = _checked(_plausible(_not_joined(ordinary, comps), sets, percent), docs, sets, k, percent)
+    comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
+    more = _long_links(hot, comps, docs, sets, k, percent)
     comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
     grouped = comps.join(sets.select(F.col("sid").alias("node"), "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = comps.join(grouped, "comp").select(F.col("node").alias("sid"), "component_id")

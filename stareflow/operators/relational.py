@@ -104,7 +104,7 @@ def citing_list(mentions: DataFrame, judgments: DataFrame) -> DataFrame:
     """For each provision the judgments that cite it: how often, the first mention, and the rank by
     court, then the newest, then the id. Second copies are left out."""
     live = judgments.where("duplicate_of IS NULL").drop("duplicate_of")
-    first = F.min_by(F.struct("raw_text", "paragraph"), F.struct("char_start", "raw_text"))
+    first = F.min_by(F.struct("raw_text", "paragraph"), F.struct("char_start", "raw_text", "paragraph"))
     out = mentions.groupBy("provision_id", "judgment_id").agg(F.count("*").alias("mentions"), first.alias("first")).join(live, "judgment_id")
     rank = Window.partitionBy("provision_id").orderBy(F.desc("court"), F.desc_nulls_last("decision_date"), "judgment_id")
     return out.select("provision_id", "judgment_id", "court", "decision_date", "mentions", F.col("first.raw_text").alias("first_text"), F.col("first.paragraph").alias("first_paragraph"), F.row_number().over(rank).alias("rank"))

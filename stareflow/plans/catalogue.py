@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stareflow.plans import library, rulings
+from stareflow.plans import library, matching, rulings
 
-_PLANS = (rulings, library)
+_PLANS = (rulings, library, matching)
 
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLE_SQL = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}

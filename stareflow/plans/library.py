@@ -205,7 +205,7 @@ QUERIES = {f.__name__: f for f in (latest_version, ordered_versions, citing_rank
 
 _CITING = f"""WITH {JUDGMENTS_SQL}, c AS (
   SELECT provision_id, judgment_id, any_value(court) AS court, any_value(decision_date) AS decision_date, count(*) AS mentions,
-    first(raw_text ORDER BY char_start, raw_text) AS first_text, first(paragraph ORDER BY char_start, raw_text) AS first_paragraph
+    first(raw_text ORDER BY char_start, raw_text, paragraph NULLS FIRST) AS first_text, first(paragraph ORDER BY char_start, raw_text, paragraph NULLS FIRST) AS first_paragraph
   FROM m JOIN j USING (judgment_id) WHERE duplicate_of IS NULL GROUP BY 1, 2
 ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY provision_id ORDER BY court DESC, decision_date DESC NULLS LAST, judgment_id) AS INT) AS rank FROM c)"""
 

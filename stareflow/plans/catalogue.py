@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stareflow.plans import library, matching, rulings, texts
+from stareflow.plans import evaluation, library, matching, rulings, texts
 
-_PLANS = (rulings, library, matching, texts)
+_PLANS = (rulings, library, matching, texts, evaluation)
 
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLE_SQL = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}

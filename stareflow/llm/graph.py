@@ -1,4 +1,4 @@
-"""Connected components of a link table, by repeated joins."""
+"""Connected components of a link table, by repeated contraction."""
 
 from __future__ import annotations
 
@@ -8,25 +8,41 @@ from pyspark.sql import functions as F
 from stareflow.llm.common import stored
 
 
+def _roots(edges: DataFrame) -> DataFrame:
+    """(node, comp): each node points to the least of itself and its neighbours; comp is where the
+    pointers end. Each step doubles how far they reach, so long chains need few steps."""
+    both = edges.select("a", "b").union(edges.select("b", "a"))
+    found = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("comp")))
+    while True:
+        jump = found.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+        new = stored(found.select("node", "comp").join(jump, "comp").select("node", F.col("next").alias("comp"), (F.col("next") < F.col("comp")).alias("moved")))
+        if not new.where("moved").limit(1).count():
+            return found.select("node", "comp")
+        found = new
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, comp) for every node of links(a, b): comp is the smallest node that it reaches.
 
-    Each round takes the smallest label among a node and its neighbours, then jumps from each
-    label to that label's own label, so that even long chains end after a logarithmic number of
-    rounds. Minima are combined before each shuffle; no component is ever gathered in one task.
-    An empty table gives an empty table; repeated links and loops change nothing.
+    Each round lets every node point to its smallest neighbour, follows the pointers to their ends,
+    and replaces the nodes of each link by these ends: links inside a tree vanish, and links that
+    come to be equal count once. So a star of any size goes in a round or two, and later rounds
+    have few links left. Minima are combined before each shuffle; no component is ever gathered in
+    one task. An empty table gives an empty table; repeated links and loops change nothing.
     """
-    both = links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct()
-    edges = stored(both)
-    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")))
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    edges = stored(links.select(*ends).where("a <> b").distinct())
+    labels = None
     for _ in range(max_rounds):
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "comp")
-        low = labels.union(near).groupBy("node").agg(F.min("comp").alias("comp"))
-        low = stored(low)
-        jump = low.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        new = stored(low.join(jump, "comp").select("node", F.col("next").alias("comp")))
-        changed = new.join(labels.withColumnRenamed("comp", "old"), "node").where("comp <> old").limit(1).count()
-        labels = new
-        if not changed:
+        roots = _roots(edges)
+        if labels is None:
+            labels = roots
+        else:
+            then = roots.toDF("comp", "then")
+            labels = stored(labels.join(then, "comp", "left").select("node", F.coalesce("then", "comp").alias("comp")))
+        at_a, at_b = roots.toDF("a", "x"), roots.toDF("b", "y")
+        moved = edges.join(at_a, "a").join(at_b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        edges = stored(moved.where("a <> b").select(*ends).distinct())
+        if not edges.limit(1).count():
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 import tiktoken
 
-from stareflow.llm import bpe, chat, lm_scoring, mixing, ngram_join, packing, quality, secrets, token_counts, topk
+from stareflow.llm import bpe, chat, graph, lm_scoring, mixing, ngram_join, packing, quality, secrets, token_counts, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -420,3 +420,20 @@ def test_operators_take_odd_and_empty_tables(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(topk.quantised(none), topk.quantised(none)).count() == 0
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_components_of_chains_stars_and_random_links(spark):
+    rng = random.Random(1)
+    order = rng.sample(range(400), 400)
+    cases = [[], [(1, 1)], [(i, i + 1) for i in range(300)], [(9999, i) for i in range(200)], [(i, -1) for i in range(200)], list(zip(order, order[1:])), [(rng.randrange(500), rng.randrange(500)) for _ in range(300)]]
+    for links in cases:
+        up = {x: x for a, b in links if a != b for x in (a, b)}
+        for _ in range(len(up)):
+            before = dict(up)
+            for a, b in links:
+                if a != b:
+                    up[a] = up[b] = min(up[a], up[b])
+            if up == before:
+                break
+        got = graph.components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert {r.node: r.comp for r in got} == up and len(got) == len(up)

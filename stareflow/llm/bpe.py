@@ -25,13 +25,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stareflow.llm.common import map_batches, utf8
+from stareflow.llm.common import BATCH_BYTES, map_batches, utf8
 
 #: Rank file and pattern that the queries take; both are parameters of the operators.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Words that a task remembers before it forgets all and starts again.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 300_000
 
 _NONE = np.int64(1 << 40)
 _SIMPLE_END = 0x250  # characters below it, and general punctuation, have a pattern of plain classes
@@ -234,12 +234,6 @@ class WordTable:
         self.length = np.concatenate([self.length, length])
 
 
-@functools.lru_cache(maxsize=2)
-def _table(path: str, pattern: str) -> WordTable:
-    """Kept for as long as the worker lives, so that its next task starts with the words known."""
-    return WordTable(path, pattern)
-
-
 def bpe_encode(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) for each row of docs(doc_id, text).
 
@@ -250,7 +244,7 @@ def bpe_encode(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> Da
     """
 
     def start():
-        table = _table(path, pattern)
+        table = WordTable(path, pattern)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = table.encode(batch.column(1).to_pylist())
@@ -264,7 +258,7 @@ def bpe_encode(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> Da
         return step
 
     own = docs.select(F.col("doc_id").cast("long"), "text")
-    return map_batches(own, start, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return map_batches(own, start, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string", BATCH_BYTES)
 
 
 def bpe_decode(tokens: DataFrame, path: str = RANKS) -> DataFrame:

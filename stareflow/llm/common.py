@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 SPACE = b" \t\n\x0b\x0c\r"
 #: The same rule for Spark's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a batch that a task works on at once, so that what it makes of them stays small.
+SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch between Spark and a task's Python, where the session sets none of its own.
+BATCH_BYTES = 8 << 20
 #: A side of a join is broadcast only if its counted rows need no more bytes than this.
 BROADCAST_BYTES = 64 << 20
 
@@ -46,18 +50,40 @@ def bounded(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame
     return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_BYTES for this session, unless it has a size of its own: texts are long, and
+    Spark's default of 64 MB, held on both sides, is much of a small executor's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about most bytes each, of one row at least."""
+    rows = max(1, batch.num_rows * most // max(batch.nbytes, 1))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def map_batches(
-    df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str
+    df: DataFrame,
+    start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]],
+    schema: str,
+    most: int = SLICE_BYTES,
 ) -> DataFrame:
-    """Applies start()'s function, made once for each task, to the Arrow batches of df."""
+    """Applies start()'s function, made once for each task, to the Arrow batches of df, in parts of
+    about most bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
-            out = step(batch)
-            if out is not None and out.num_rows:
-                yield out
+            for part in slices(batch, most):
+                out = step(part)
+                if out is not None and out.num_rows:
+                    yield out
+        pa.default_memory_pool().release_unused()  # the worker stays, idle or for the next task
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stareflow.llm.common import bounded, map_batches, stored, utf8
+from stareflow.llm.common import bounded, map_batches, slices, small_batches, stored, utf8
 from stareflow.llm.graph import components
 
 WORDS = 5
@@ -43,6 +43,8 @@ SKETCH_BITS = 20
 MOST_LIGHT = 64
 #: Shingles and sets that a block of a long list's cluster holds, about.
 BLOCK_SHINGLES, BLOCK_SETS = 32_768, 512
+#: Shingles of two blocks that are multiplied at once.
+TILE = 4096
 #: Min-hash keys that join most of a group of near copies: so many keys of two minima each.
 BANDS = 4
 
@@ -54,7 +56,7 @@ class _WordHashes(dict):
     """A word's 64-bit hash; forgets all when it holds too many words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -131,7 +133,7 @@ def _profiles(docs: DataFrame, k: int, bits: int) -> DataFrame:
     def run(batches):
         hashes, counts = _WordHashes(), np.zeros(1 << bits, np.uint32)
         schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("bits", pa.binary()), ("bands", pa.list_(pa.int64()))])
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids = batch.column(0).to_pylist()
             n, sid, bitmaps, bands, seen = [], [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -152,6 +154,7 @@ def _profiles(docs: DataFrame, k: int, bits: int) -> DataFrame:
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([1] * len(parts), pa.int32()), pa.nulls(len(parts), pa.int64()), pa.array(parts, pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array([counts[c : c + chunk].tobytes() for c in parts], pa.binary()), pa.nulls(len(parts), pa.list_(pa.int64()))], schema=schema)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind int, doc_id long, n long, sid long, bits binary, bands array<long>")
 
 
@@ -335,8 +338,8 @@ def _long_links(hot: DataFrame, comps: DataFrame, docs: DataFrame, sets: DataFra
     def start():
         def step(batch: pa.RecordBatch):
             a, b = [], []
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for p, q in _block_links(x, y, percent):
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                for p, q in _block_links(x.as_py(), y.as_py(), percent):
                     a.append(p), b.append(q)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -354,9 +357,15 @@ def _block_links(x: list[dict], y: list[dict], percent: int) -> list[tuple[int,
     shared = np.cumsum(times > 1) - 1
     hit = times[at] > 1
     rows = np.repeat(np.arange(len(sets)), size)[hit]
-    mat = np.zeros((len(sets), int(shared[-1]) + 1 if len(shingles) else 0), np.float32)
-    mat[rows, shared[at[hit]]] = 1
-    both = np.rint(mat[: len(x)] @ mat[len(x) :].T).astype(np.int64)
+    cols = shared[at[hit]]
+    order = np.argsort(cols, kind="stable")
+    rows, cols = rows[order], cols[order]
+    both = np.zeros((len(x), len(y)), np.int64)
+    for low in range(0, int(cols[-1]) + 1 if len(cols) else 0, TILE):  # the product, a tile of shingles at a time
+        here = slice(*np.searchsorted(cols, [low, low + TILE]))
+        mat = np.zeros((len(sets), TILE), np.float32)
+        mat[rows[here], cols[here] - low] = 1
+        both += np.rint(mat[: len(x)] @ mat[len(x) :].T).astype(np.int64)
     comp = np.array([r["comp"] for r in (*x, *y)])
     link = (both > 0) & (100 * both >= percent * (size[: len(x), None] + size[None, len(x) :] - both)) & (comp[: len(x), None] != comp[None, len(x) :])
     if not link.any():

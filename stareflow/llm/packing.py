@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stareflow.llm.bpe import PATTERN, WordTable
-from stareflow.llm.common import utf8
+from stareflow.llm.bpe import PATTERN, RANKS, WordTable
+from stareflow.llm.common import BATCH_BYTES, slices, small_batches, utf8
 
 ROW_TOKENS = 8192
 #: Tokens that are packed together: bounds a task's memory, and the share of room that is left.
@@ -123,11 +123,10 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, group_tokens: int = GROU
             held.clear()
 
         for batch in batches:
-            ids_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 512):
-                some = texts[lo : lo + 512]
-                coded = table.encode(some) if table else [np.frombuffer(utf8(t), np.uint8) for t in some]
-                for doc_id, ids in zip(ids_[lo : lo + 512], coded, strict=True):
+            for some in slices(batch, BATCH_BYTES):
+                texts = some.column(1).to_pylist()
+                coded = table.encode(texts) if table else [np.frombuffer(utf8(t), np.uint8) for t in texts]
+                for doc_id, ids in zip(some.column(0).to_pylist(), coded, strict=True):
                     ids = np.append(ids.astype(kind), np.array([end], kind))
                     for part, s in enumerate(range(0, len(ids), row_tokens)):
                         held.append((doc_id, doc_no, part, ids[s : s + row_tokens]))
@@ -140,6 +139,7 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, group_tokens: int = GROU
             yield from emit()
 
     schema = "task int, row long, n_used int, ids binary, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, doc_nos array<long>, parts array<int>"
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -159,5 +159,5 @@ def write_packed(packed: DataFrame, path: str) -> None:
 
 
 def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as packed rows of byte ids."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All documents as packed rows of the rank file's token ids."""
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks=RANKS)

@@ -322,6 +322,16 @@ def test_packing_is_lossless(spark):
         assert r.resets == r.cu_seqlens[:-1] and len(r.doc_ids) == len(r.parts) == len(r.resets)
 
 
+def test_packed_query_holds_the_library_s_token_ids(spark, texts, sf, library):
+    packed = packing.op7_packed_ids(spark, sf)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.unpack(packed, 4).collect()}
+    end = bpe.merges(bpe.RANKS).size
+    assert got == {r["doc_id"]: [*library.encode_ordinary(r["text"] or ""), end] for r in texts}
+    for r in packed.collect():
+        ids = np.frombuffer(r.ids, "<u4")
+        assert len(ids) == packing.ROW_TOKENS and (ids[r.n_used :] == end + 1).all()
+
+
 def test_best_fit_decreasing_equals_a_plain_search():
     rng = np.random.default_rng(8)
     for _ in range(30):

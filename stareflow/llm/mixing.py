@@ -1,11 +1,15 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 Sizes are words. Each source's target is its weight's share of all words, but at most MOST times
-its own; what is above is shared again by weight. Equal blocks of words are then allotted to the
-sources by the highest quotients target / (2 k + 1), and each source's blocks to its shards by the
-highest quotients of shard sizes: whole quotas. Within a shard, documents lie one after another in
-a seeded order and are cut into equal blocks; a quota of q over n blocks takes each block q // n
-times and q % n of them, chosen by a seeded permutation, once more.
+its own; what is above is shared again by weight. Words are then allotted to the sources by the
+highest quotients target / (2 k + 1), turned into blocks of the source's own size, and those allotted
+to its shards by the highest quotients of shard sizes: whole quotas. Within a shard, documents lie
+one after another in a seeded order and are cut into equal blocks; a quota of q over n blocks takes
+each block q // n times and q % n of them, chosen by a seeded permutation, once more.
+
+Where the mix is written as documents, none is cut: all of a source's documents lie one after another
+in the seeded order, each is taken as many times as the source's words go whole into its allotment,
+and those whose middle lies within the rest are taken once more.
 
 Only one row for each shard reaches the driver: the number of shards is a parameter plus the number
 of sources, whatever the number of documents. A large source has many shards, so no task holds it.
@@ -27,8 +31,10 @@ MOST = 3
 SHARDS = 1024
 #: Blocks that an average source has at least, and words that a block has at most.
 BLOCKS_A_SOURCE, BLOCK_WORDS = 8192, 4096
-#: Fewer and larger blocks where the mix is written as documents: fewer are cut.
-BLOCKS_WRITTEN = 512
+#: Blocks that any source has at least, as far as it has the words.
+BLOCKS_LEAST = 100
+#: No blocks where the mix is written as documents: each is taken whole.
+BLOCKS_WRITTEN = None
 SEED = 20
 
 #: Weights of the sources in order, repeating.
@@ -101,10 +107,10 @@ def _plan(sources: list, shards: int) -> tuple[list[tuple], int]:
     return [(int(s), float(t), max(1, round(shards * int(s) / total))) for s, t in zip(sizes, goal, strict=True)], total
 
 
-def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, blocks: int = BLOCKS_A_SOURCE) -> DataFrame:
+def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, blocks: int | None = BLOCKS_A_SOURCE) -> DataFrame:
     """Adds to docs(doc_id, source, size) the mix: source_size, target, and for each row the runs of
     its words that are taken: start (words of the shard before it), and the shard's m, n, base,
-    extra, step and shift, from which takes() counts.
+    extra, step and shift, from which RUNS counts. Without blocks, the one run is the whole row.
 
     Sources stand by code point, null last, as a source of its own. Rows of size 0 are taken 0
     times; with no words at all every target is 0. Rows that repeat an id are documents of their
@@ -123,24 +129,37 @@ def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, blocks: int
 
     by_shard = own.groupBy("source_no", "shard").agg(F.sum("size").alias("m")).where("m > 0").collect()  # shards + sources rows at most
     by_shard.sort(key=lambda r: (r.source_no, r.shard))
-    words = max(1, min(BLOCK_WORDS, total // (blocks * max(1, len(rows)))))
     m = np.array([r.m for r in by_shard], np.int64)
     no = np.array([r.source_no for r in by_shard], np.int64)
-    n = np.maximum(1, np.rint(m / words).astype(np.int64))
+    sizes = np.array([p[0] for p in plan], np.int64)
+    goal = apportion(np.array([p[1] for p in plan]), total, MOST * sizes) if plan else []  # words
+    order = Window.partitionBy("source_no", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), "doc_id", "size")
+    placed = own.where("size > 0").withColumn("start", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    placed = placed.unionByName(own.where("size = 0").withColumn("start", F.lit(0).cast("long")))
+    if blocks is None:
+        wholes = []
+        for i, q in enumerate(goal):
+            at = np.flatnonzero(no == i)
+            base, rest = divmod(int(q), max(1, plan[i][0]))
+            before = np.cumsum(m[at]) - m[at]
+            wholes += [(i, by_shard[j].shard, base, rest - int(b)) for j, b in zip(at, before, strict=True)]
+        table = spark.createDataFrame(wholes, "source_no int, shard long, base long, rest long")
+        placed = placed.join(bounded(table, 48, len(wholes)), ["source_no", "shard"], "left")
+        more = F.when(2 * F.col("start") + F.col("size") <= 2 * F.col("rest"), 1).otherwise(0)
+        zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+        return placed.withColumns({"base": F.col("base") + more, "start": zero, "m": F.col("size"), "n": one, "extra": zero, "step": one, "shift": zero}).drop("rest")
+    words = max(1, min(BLOCK_WORDS, total // (blocks * max(1, len(rows)))))
+    n = np.maximum(1, np.rint(m / np.clip(sizes // BLOCKS_LEAST, 1, words)[no]).astype(np.int64)) if len(m) else m
     quota = np.zeros(len(m), np.int64)
-    seats = apportion(np.array([p[1] for p in plan]), round(total / words)) if plan else []
-    for i, q in enumerate(seats):
+    for i, q in enumerate(goal):
         at = no == i
-        quota[at] = apportion(m[at], int(q), MOST * n[at])
+        quota[at] = apportion(m[at], round(int(q) * int(n[at].sum()) / max(1, plan[i][0])), MOST * n[at])
     quotas = []
     for r, k, q in zip(by_shard, n.tolist(), quota.tolist(), strict=True):
         step = _coprime(k, 0.6180339887)
         shift = (seed * 7919 + r.source_no * 104729 + r.shard * 1299709) % k
         quotas.append((r.source_no, r.shard, r.m, k, q // k, q % k, step, shift))
     table = spark.createDataFrame(quotas, "source_no int, shard long, m long, n long, base long, extra long, step long, shift long")
-    order = Window.partitionBy("source_no", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), "doc_id", "size")
-    placed = own.where("size > 0").withColumn("start", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    placed = placed.unionByName(own.where("size = 0").withColumn("start", F.lit(0).cast("long")))
     return placed.join(bounded(table, 80, len(quotas)), ["source_no", "shard"], "left")
 
 
@@ -177,8 +196,8 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as documents: for each time that any of a document's words are taken, a row with just
-    the words taken that often; whole documents keep their text as it is. Copies share the doc_id."""
+    """The mix as documents: a row, as it is, for each time that a document is taken. Copies share
+    the doc_id; documents without words are not taken."""
     hidden = "__sf_size"
     runs = mixture(stored(sized(docs)), blocks=BLOCKS_WRITTEN).withColumn("runs", F.expr(RUNS))
     most = F.array_max(F.transform("runs", lambda r: r["times"]))
@@ -189,15 +208,6 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     own = docs.withColumns({"__sf_id": F.col("doc_id").cast("long"), "__sf_source": F.col("source"), hidden: n_words(F.col("text"))})
     own = own.withColumn("__sf_no", F.row_number().over(key.orderBy("text")))
     same = [own[c].eqNullSafe(taken[c]) for c in ("__sf_id", "__sf_source", hidden, "__sf_no")]
-    both = own.join(taken, same[0] & same[1] & same[2] & same[3]).select(*(own[c] for c in docs.columns), taken[hidden], "runs")
+    both = own.join(taken, same[0] & same[1] & same[2] & same[3]).select(*(own[c] for c in docs.columns), "runs")
     both = both.withColumn("__sf_time", F.explode(F.sequence(F.lit(1).cast("long"), most)))
-    part = F.filter("runs", lambda r: r["times"] >= F.col("__sf_time"))
-    both = both.withColumn("__sf_part", part)
-    whole = F.aggregate("__sf_part", F.lit(0).cast("long"), lambda acc, r: acc + r["words"]) == F.col(hidden)
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("__sf_part", lambda r: F.slice(F.col("__sf_words"), (r["from"] + 1).cast("int"), r["words"].cast("int")))), "")
-    both = both.withColumn("__sf_words", F.when(~whole, words))
-    both = both.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return both.select(*docs.columns)

@@ -209,6 +209,29 @@ def test_mixed_documents_hold_what_is_taken(spark, docs):
     assert sorted(map(tuple, have)) == sorted(map(tuple, want))
 
 
+def test_mixed_documents_are_whole_and_reach_targets(spark, docs, texts):
+    text = {r["doc_id"]: r["text"] for r in texts}
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    size = {i: len(WORD.findall(t or "")) for i, t in text.items()}
+    total, taken, longest = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, s in source.items():
+        total[s] += size[i]
+        longest[s] = max(longest[s], size[i])
+    for r in mixing.mixed_documents(spark, docs, "").collect():
+        assert r.text == text[r.doc_id]
+        taken[r.source] += size[r.doc_id]
+    sources = sorted(total, key=lambda s: (s is None, s))
+    goal = mixing.targets(np.array([total[s] for s in sources]), np.array([(1, 2, 3)[i % 3] for i in range(len(sources))], float))
+    assert all(abs(taken[s] - t) <= longest[s] / 2 + 2 for s, t in zip(sources, goal, strict=True))
+
+
+def test_a_small_source_beside_large_ones_meets_its_target(spark):
+    rows = spark.range(4).selectExpr("id AS doc_id", "element_at(array('a', 'b', 'c', 'd'), CAST(id AS INT) + 1) AS source", "IF(id = 1, 600L, 120000000L) AS size")
+    out = mixing.mixture(rows).selectExpr("doc_id", "target", f"aggregate({mixing.RUNS}, 0L, (a, r) -> a + r.words * r.times) AS n").collect()
+    for r in out:
+        assert abs(r.n - r.target) <= 0.02 * r.target
+
+
 # 5: language-model scores
 
 

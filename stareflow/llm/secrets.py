@@ -4,6 +4,7 @@ The patterns give the base spans, which always stay. The method looks at values
 credential is named (a wider context than the patterns'), and computes the least number of guesses,
 in bits, over all ways to cut the value into words, dates, repeats, keyboard walks and brute-force
 spans. A value that stays costly however it is cut is a secret; a sentence's next word is not.
+A value that reaches beyond the base span in it is looked at as a whole, and its span added.
 """
 
 from __future__ import annotations
@@ -139,7 +140,7 @@ def find(text: str | None, ranks: dict[str, int]) -> list[tuple[int, int, int, i
     for start, end in sorted(set(wider)):
         while end > start and text[end - 1] in ".:!?":
             end -= 1
-        if end - start >= 6 and not any(a < end and start < b for a, b in known) and guess_bits(text[start:end], ranks) >= SECRET_BITS:
+        if end - start >= 6 and not any(a <= start and end <= b for a, b in known) and guess_bits(text[start:end], ranks) >= SECRET_BITS:
             known.append((start, end))
             found.append((start, 3, end, start, end))
     return sorted(found)

@@ -92,6 +92,15 @@ def test_masking_leaves_no_secret(spark):
     assert out[3].text == "[REDACTED] and [REDACTED]" and out[5].text == "https://me:[REDACTED]@host/"
 
 
+def test_a_secret_s_tail_beyond_the_base_span_goes_too(spark):
+    text = "password: hunter2secret!Extra9$k, then"
+    r = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.spans == "assign:0:23,guess:10:32" and (r.n_assign, r.n_guess) == (1, 1)
+    df = spark.createDataFrame([(1, text, "en", "s", 0), (2, "token: string} end", "en", "s", 0)], DOCS)
+    out = {r.doc_id: r.text for r in secrets.without_secrets(spark, df, "").collect()}
+    assert out == {1: "password: [REDACTED], then", 2: "token: [REDACTED]} end"}
+
+
 # 2: token counts
 
 

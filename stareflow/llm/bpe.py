@@ -240,7 +240,8 @@ def bpe_encode(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> Da
     ids: the ranks of the pattern's matches, each encoded by itself, without special tokens.
     ids_sha256: of the ids as little-endian unsigned 32-bit integers; decoded_sha256: of the bytes
     that the ids decode to. A null or empty text has no tokens. Repeated rows and null ids stay as
-    they are; other columns are ignored; texts are taken whole, whatever their length.
+    they are; other columns are ignored; an empty table gives an empty one; texts are taken whole,
+    whatever their length.
     """
 
     def start():
@@ -282,5 +283,9 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: each document's token ids, with the digests of ids and text."""
+    """The last stage: each document's token ids, with the digests of ids and text.
+
+    It gives the columns of bpe_encode() and drops all others of docs. A row for each row: null and empty
+    texts have no tokens, repeated rows and null ids stay, an empty table gives an empty one.
+    """
     return bpe_encode(docs)

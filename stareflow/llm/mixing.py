@@ -8,11 +8,14 @@ one after another in a seeded order and are cut into equal blocks; a quota of q
 each block q // n times and q % n of them, chosen by a seeded permutation, once more.
 
 Where the mix is written as documents, none is cut: all of a source's documents lie one after another
-in the seeded order, each is taken as many times as the source's words go whole into its allotment,
-and those whose middle lies within the rest are taken once more.
-
-Only one row for each shard reaches the driver: the number of shards is a parameter plus the number
-of sources, whatever the number of documents. A large source has many shards, so no task holds it.
+in a seeded order, each is taken as many times as the source's words go whole into its allotment, and
+those whose middle lies within the rest are taken once more. The order is that of a digest of id and
+text, so each row tells by itself, from one digest for each source, how often it is taken: no text is
+shuffled or sorted.
+
+Rows that are alike in id, text and source are counted together before the first shuffle. The number of
+shards follows the counted rows. What reaches the driver is one row for each source and for each shard
+of SHARD_ROWS rows.
 """
 
 from __future__ import annotations
@@ -27,14 +30,16 @@ from stareflow.llm.common import WORD, bounded, stored
 
 #: Highest number of times that a source, or a document, is taken.
 MOST = 3
-#: Shards of the whole corpus; a source has its share of them, one at least.
-SHARDS = 1024
+#: Rows that a shard holds, about, and shards at least; a source has its share of them, one at least.
+SHARD_ROWS, SHARDS_LEAST = 200_000, 256
+#: Rows alike of which one task writes so many; the others go to other tasks.
+ALIKE = 4096
+#: log2 of the ranges of the seeded order that are summed to find where a source's rest ends.
+RANGE_BITS = 16
 #: Blocks that an average source has at least, and words that a block has at most.
 BLOCKS_A_SOURCE, BLOCK_WORDS = 8192, 4096
 #: Blocks that any source has at least, as far as it has the words.
 BLOCKS_LEAST = 100
-#: No blocks where the mix is written as documents: each is taken whole.
-BLOCKS_WRITTEN = None
 SEED = 20
 
 #: Weights of the sources in order, repeating.
@@ -107,52 +112,51 @@ def _plan(sources: list, shards: int) -> tuple[list[tuple], int]:
     return [(int(s), float(t), max(1, round(shards * int(s) / total))) for s, t in zip(sizes, goal, strict=True)], total
 
 
-def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, blocks: int | None = BLOCKS_A_SOURCE) -> DataFrame:
-    """Adds to docs(doc_id, source, size) the mix: source_size, target, and for each row the runs of
-    its words that are taken: start (words of the shard before it), and the shard's m, n, base,
-    extra, step and shift, from which RUNS counts. Without blocks, the one run is the whole row.
+def _sources(items: DataFrame) -> list:
+    """The sources' sizes, in order of code points, null last: one row for each source of the mix."""
+    found = items.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")).collect()
+    return sorted(found, key=lambda r: (r.source is None, (r.source or "").encode()))
+
+
+def _goals(plan: list[tuple], total: int) -> np.ndarray:
+    """Words allotted to the sources: whole numbers, by the highest quotients of the targets."""
+    if not plan:
+        return np.zeros(0, np.int64)
+    return apportion(np.array([p[1] for p in plan]), total, MOST * np.array([p[0] for p in plan], np.int64))
+
+
+def mixture(rows: DataFrame, shards: int | None = None, seed: int = SEED, blocks: int = BLOCKS_A_SOURCE) -> DataFrame:
+    """rows(doc_id, mark, source, size) with the mix: source_size, target, and for each row the runs of
+    its words that are taken: start (words of the shard before it), and the shard's m, n, base, extra,
+    step and shift, from which RUNS counts. mark tells rows apart that share an id.
 
     Sources stand by code point, null last, as a source of its own. Rows of size 0 are taken 0
     times; with no words at all every target is 0. Rows that repeat an id are documents of their
     own. The result depends on the rows and the seed, not on their order or partitions.
     """
-    spark = docs.sparkSession
-    found = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    found = sorted(found.collect(), key=lambda r: (r.source is None, (r.source or "").encode()))  # one row for each source of the mix
+    spark = rows.sparkSession
+    items = stored(rows.groupBy("source", "doc_id", "mark", "size").agg(F.count("*").alias("copies")))
+    shards = shards or max(SHARDS_LEAST, -(-items.count() // SHARD_ROWS))
+    found = _sources(items)
     plan, total = _plan(found, shards)
-    rows = [(i, r.source, *p) for i, (r, p) in enumerate(zip(found, plan, strict=True))]
-    names = spark.createDataFrame(rows, "source_no int, source string, source_size long, target double, shards long")
-    names = bounded(names, 200, len(rows))
-    own = docs.join(names, docs["source"].eqNullSafe(names["source"])).drop(names["source"])
-    shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("shards"))
-    own = stored(own.withColumn("shard", shard).drop("shards"))
-
-    by_shard = own.groupBy("source_no", "shard").agg(F.sum("size").alias("m")).where("m > 0").collect()  # shards + sources rows at most
+    named = [(i, r.source, *p) for i, (r, p) in enumerate(zip(found, plan, strict=True))]
+    names = spark.createDataFrame(named, "source_no int, source string, source_size long, target double, shards long")
+    names = bounded(names, 200, len(named))
+    own = items.join(names, items["source"].eqNullSafe(names["source"])).drop(names["source"])
+    own = own.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "mark"), F.col("shards"))).drop("shards")
+
+    words_in = F.col("size") * F.col("copies")
+    by_shard = own.groupBy("source_no", "shard").agg(F.sum(words_in).alias("m")).where("m > 0").collect()
     by_shard.sort(key=lambda r: (r.source_no, r.shard))
     m = np.array([r.m for r in by_shard], np.int64)
     no = np.array([r.source_no for r in by_shard], np.int64)
     sizes = np.array([p[0] for p in plan], np.int64)
-    goal = apportion(np.array([p[1] for p in plan]), total, MOST * sizes) if plan else []  # words
-    order = Window.partitionBy("source_no", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), "doc_id", "size")
-    placed = own.where("size > 0").withColumn("start", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    placed = placed.unionByName(own.where("size = 0").withColumn("start", F.lit(0).cast("long")))
-    if blocks is None:
-        wholes = []
-        for i, q in enumerate(goal):
-            at = np.flatnonzero(no == i)
-            base, rest = divmod(int(q), max(1, plan[i][0]))
-            before = np.cumsum(m[at]) - m[at]
-            wholes += [(i, by_shard[j].shard, base, rest - int(b)) for j, b in zip(at, before, strict=True)]
-        table = spark.createDataFrame(wholes, "source_no int, shard long, base long, rest long")
-        placed = placed.join(bounded(table, 48, len(wholes)), ["source_no", "shard"], "left")
-        more = F.when(2 * F.col("start") + F.col("size") <= 2 * F.col("rest"), 1).otherwise(0)
-        zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-        return placed.withColumns({"base": F.col("base") + more, "start": zero, "m": F.col("size"), "n": one, "extra": zero, "step": one, "shift": zero}).drop("rest")
-    words = max(1, min(BLOCK_WORDS, total // (blocks * max(1, len(rows)))))
+    words = max(1, min(BLOCK_WORDS, total // (blocks * max(1, len(named)))))
     n = np.maximum(1, np.rint(m / np.clip(sizes // BLOCKS_LEAST, 1, words)[no]).astype(np.int64)) if len(m) else m
     quota = np.zeros(len(m), np.int64)
-    for i, q in enumerate(goal):
-        at = no == i
+    cuts = np.searchsorted(no, np.arange(len(plan) + 1))
+    for i, q in enumerate(_goals(plan, total)):
+        at = slice(cuts[i], cuts[i + 1])
         quota[at] = apportion(m[at], round(int(q) * int(n[at].sum()) / max(1, plan[i][0])), MOST * n[at])
     quotas = []
     for r, k, q in zip(by_shard, n.tolist(), quota.tolist(), strict=True):
@@ -160,7 +164,18 @@ def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, blocks: int
         shift = (seed * 7919 + r.source_no * 104729 + r.shard * 1299709) % k
         quotas.append((r.source_no, r.shard, r.m, k, q // k, q % k, step, shift))
     table = spark.createDataFrame(quotas, "source_no int, shard long, m long, n long, base long, extra long, step long, shift long")
-    return placed.join(bounded(table, 80, len(quotas)), ["source_no", "shard"], "left")
+
+    order = Window.partitionBy("source_no", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "mark"), "doc_id", "mark", "size")
+    placed = own.where("size > 0").withColumn("start", F.sum(words_in).over(order.rowsBetween(Window.unboundedPreceding, 0)) - words_in)
+    placed = placed.unionByName(own.where("size = 0").withColumn("start", F.lit(0).cast("long")))
+    placed = placed.join(bounded(table, 80, len(quotas)), ["source_no", "shard"], "left")
+    # Rows alike lie one after another and are written as rows again, many of them by many tasks.
+    many = placed.where(F.col("copies") > ALIKE).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(ALIKE).cast("long"))))
+    many = many.repartition("doc_id", "mark", "first")
+    every = placed.where(F.col("copies") <= ALIKE).withColumn("first", F.lit(0).cast("long")).unionByName(many)
+    last = F.least(F.col("first") + ALIKE, F.col("copies")) - 1
+    every = every.withColumn("copy", F.explode(F.sequence(F.col("first"), last)))
+    return every.withColumn("start", F.col("start") + F.col("copy") * F.col("size")).drop("copies", "first", "copy")
 
 
 #: Takes of the words of one document: (first word, words, times) for each block that it meets.
@@ -176,16 +191,18 @@ ELSE array() END
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"))
+    """(doc_id, mark, source, size) of docs(doc_id, text, source)."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "source", n_words(F.col("text")).alias("size"))
 
 
-def mix_sources(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mix_sources(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each row of docs(doc_id, text, source).
 
     taken: the words that the mix takes of the document, repeats counted. See mixture() for nulls,
-    ties and repeated rows; other columns are ignored and an empty table gives an empty one.
+    ties and repeated rows; very long texts are counted whole and span many blocks; other columns are
+    ignored and an empty table gives an empty one.
     """
-    out = mixture(stored(sized(docs)), shards, seed).withColumn("runs", F.expr(RUNS))
+    out = mixture(sized(docs), shards, seed).withColumn("runs", F.expr(RUNS))
     taken = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + r["words"] * r["times"])
     return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
@@ -195,19 +212,48 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def rests(rows: DataFrame, seed: int = SEED) -> DataFrame:
+    """(source, base, range, last): how often a source's documents are taken: base times, and once more
+    where the range of their place in the seeded order is below the given one, or is the same and the
+    place no later than last. rows as sized() makes them."""
+    spark = rows.sparkSession
+    place = place_of(F.col("doc_id"), F.col("mark"), seed)
+    items = rows.groupBy("source", place.alias("place"), "size").agg(F.count("*").alias("copies"))
+    items = stored(items.withColumn("range", F.shiftright("place", 64 - RANGE_BITS)))
+    found = _sources(items)
+    plan, total = _plan(found, 1)
+    goals = [divmod(int(q), max(1, p[0])) for q, p in zip(_goals(plan, total), plan, strict=True)]
+    table = spark.createDataFrame([(i, r.source, *g) for i, (r, g) in enumerate(zip(found, goals, strict=True))], "source_no int, source string, base long, rest long")
+    table = bounded(table, 100, len(goals))
+    items = items.join(table, items["source"].eqNullSafe(table["source"])).drop(table["source"]).drop("source")
+    words = F.col("size") * F.col("copies")
+    upto = Window.partitionBy("source_no").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = items.groupBy("source_no", "range", "rest").agg(F.sum(words).alias("words")).withColumn("stop", F.sum("words").over(upto))
+    ends = stored(ranges.where("stop - words <= rest AND rest < stop").select("source_no", "range", (F.col("stop") - F.col("words")).alias("before")))
+    inside = items.join(bounded(ends, 60), ["source_no", "range"])
+    upto = Window.partitionBy("source_no").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("stop", F.col("before") + F.sum(words).over(upto))
+    last = inside.where(2 * F.col("stop") - words <= 2 * F.col("rest")).where("size > 0").groupBy("source_no").agg(F.max("place").alias("last"))
+    out = ends.join(last, "source_no", "left")
+    return table.join(out, "source_no", "left").select("source", "base", "range", "last")
+
+
+def place_of(doc_id: Column, mark: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed + 1), doc_id, mark)
+
+
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as documents: a row, as it is, for each time that a document is taken. Copies share
-    the doc_id; documents without words are not taken."""
-    hidden = "__sf_size"
-    runs = mixture(stored(sized(docs)), blocks=BLOCKS_WRITTEN).withColumn("runs", F.expr(RUNS))
-    most = F.array_max(F.transform("runs", lambda r: r["times"]))
-    taken = runs.where(most > 0).select(F.col("doc_id").alias("__sf_id"), F.col("size").alias(hidden), F.col("source").alias("__sf_source"), "runs")
-    # Rows that are alike in id, source and size are told apart by a number, on both sides.
-    key = Window.partitionBy("__sf_id", "__sf_source", hidden)
-    taken = taken.withColumn("__sf_no", F.row_number().over(key.orderBy(F.col("runs").cast("string"))))
-    own = docs.withColumns({"__sf_id": F.col("doc_id").cast("long"), "__sf_source": F.col("source"), hidden: n_words(F.col("text"))})
-    own = own.withColumn("__sf_no", F.row_number().over(key.orderBy("text")))
-    same = [own[c].eqNullSafe(taken[c]) for c in ("__sf_id", "__sf_source", hidden, "__sf_no")]
-    both = own.join(taken, same[0] & same[1] & same[2] & same[3]).select(*(own[c] for c in docs.columns), "runs")
-    both = both.withColumn("__sf_time", F.explode(F.sequence(F.lit(1).cast("long"), most)))
-    return both.select(*docs.columns)
+    the doc_id.
+
+    Null, empty and wordless texts are not taken. Rows alike in id and text are taken equally often, as
+    one document. Null ids are documents like others; all columns are kept; an empty table gives an empty
+    one. Texts, however long, are taken whole or not at all.
+    """
+    table = stored(rests(sized(docs)).select(F.col("source").alias("__sf_source"), F.col("base").alias("__sf_base"), F.col("range").alias("__sf_range"), F.col("last").alias("__sf_last")))
+    place = place_of(F.col("doc_id").cast("long"), F.xxhash64("text"), SEED)
+    both = docs.join(bounded(table, 100), docs["source"].eqNullSafe(table["__sf_source"]))
+    range_ = F.shiftright(place, 64 - RANGE_BITS)
+    more = (range_ < F.col("__sf_range")) | ((range_ == F.col("__sf_range")) & (place <= F.col("__sf_last")))
+    times = F.when(F.col("text").rlike(WORD), F.col("__sf_base") + F.coalesce(more.cast("int"), F.lit(0))).otherwise(0).cast("int")
+    return both.withColumn("__sf_time", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)

@@ -11,19 +11,23 @@ the whole sets. Steps:
    they enter the inverted lists of their prefix shingles, and the lists are scanned. Prefixes
    follow one global order, rare shingles first, so that a linked pair must meet. The boundary
    has the least cost, in rows made and scanned, over the corpus's own sizes.
-3. Long lists are never expanded into pairs. Links between a few representatives join most of a
+3. Long lists, by their counted length, are never expanded into pairs. Links between a few representatives join most of a
    large group of near copies first; what long lists then leave open is compared in blocks, all
    but a cluster's largest component against the whole cluster.
 4. A parity bitmap of each set bounds the symmetric difference from below and drops pairs that
    cannot link; the rest are checked shingle by shingle.
 
-The rarity order comes from a count table of fixed size over all shingles of all documents; it
-only orders shingles, so its collisions cost time and never a link.
+The rarity order comes from a count table over all shingles of all documents; it only orders shingles
+and tells which lists are dealt to several tasks, so its collisions cost time and never a link. Its size
+follows the number of documents up to a bound.
+
+Joins whose key may hold a large part of all rows (one set's copies, a star's centre, a long list, a
+cluster) go through joined(), which shuffles no such key.
 """
 
 from __future__ import annotations
 
-from math import comb
+from math import comb, log2
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +35,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stareflow.llm.common import bounded, map_batches, slices, small_batches, stored, utf8
+from stareflow.llm.common import bounded, forget, joined, map_batches, slices, small_batches, stored, utf8
 from stareflow.llm.graph import components
 
 WORDS = 5
 #: Threshold as a whole percentage.
 PERCENT = 75
-#: log2 of the counters in the table that orders shingles by rarity (4 bytes each).
-SKETCH_BITS = 20
+#: log2 of the counters in the table that orders shingles by rarity (4 bytes each): as many as there are
+#: documents, within these bounds.
+SKETCH_BITS, SKETCH_MOST = 20, 24
+#: Sets from which a list is long.
+LONG = 256
+#: Counter chunks that one task adds up.
+FAN_IN = 64
+#: Digests that a task remembers, so as not to hand a set on again.
+DIGESTS_KEPT = 500_000
 #: Largest boundary that is considered between light and heavy sets.
 MOST_LIGHT = 64
 #: Shingles and sets that a block of a long list's cluster holds, about.
@@ -125,18 +136,25 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs as (doc_id, mark, text): mark, a digest of the text, tells rows apart that share an id."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+
+
 def _profiles(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """For each document its set's size, digest, bitmap and min-hash keys (kind 0), and for each
-    task the counts of its shingles by bucket, in chunks (kind 1)."""
+    """For each row of keyed() its set's size, digest, bitmap and min-hash keys (kind 0), and for each
+    task the counts of its shingles by bucket, in chunks (kind 1; doc_id is the task's number)."""
     chunk = 1 << 14
 
     def run(batches):
+        from pyspark import TaskContext
+
         hashes, counts = _WordHashes(), np.zeros(1 << bits, np.uint32)
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("bits", pa.binary()), ("bands", pa.list_(pa.int64()))])
+        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("bits", pa.binary()), ("bands", pa.list_(pa.int64()))])
         for batch in (part for whole in batches for part in slices(whole)):
             ids = batch.column(0).to_pylist()
             n, sid, bitmaps, bands, seen = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 h = shingle_set(text, hashes, k)
                 n.append(len(h))
                 if not len(h):
@@ -149,28 +167,32 @@ def _profiles(docs: DataFrame, k: int, bits: int) -> DataFrame:
                 bands.append(_signed(_mixed(low[::2] * _STEP + low[1::2] + np.arange(BANDS, dtype=np.uint64))).tolist())
             if seen:
                 np.add.at(counts, np.concatenate(seen).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(bitmaps, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.int64()), batch.column(1), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(bitmaps, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
         parts = [c for c in range(0, len(counts), chunk) if counts[c : c + chunk].any()]
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([1] * len(parts), pa.int32()), pa.nulls(len(parts), pa.int64()), pa.array(parts, pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array([counts[c : c + chunk].tobytes() for c in parts], pa.binary()), pa.nulls(len(parts), pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * len(parts), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array(parts, pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array([counts[c : c + chunk].tobytes() for c in parts], pa.binary()), pa.nulls(len(parts), pa.list_(pa.int64()))], schema=schema)
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind int, doc_id long, n long, sid long, bits binary, bands array<long>")
+    return docs.mapInArrow(run, "kind int, doc_id long, mark long, n long, sid long, bits binary, bands array<long>")
 
 
 def _rarity(profiles: DataFrame, bits: int) -> np.ndarray:
-    """Occurrences of shingles by bucket over the whole corpus: a table of fixed size."""
+    """Occurrences of shingles by bucket over the whole corpus; tasks' counts are added in a tree."""
 
     def total(pdf):
-        parts = [np.frombuffer(x, np.uint32).astype(np.uint64) for x in pdf["bits"]]
-        pdf = pdf.iloc[:1].copy()
-        pdf["bits"] = [np.minimum(np.sum(parts, axis=0), 0xFFFFFFFF).astype(np.uint32).tobytes()]
-        return pdf
-
-    sums = profiles.where("kind = 1").select("n", "bits")
-    salted = sums.groupBy("n", F.pmod(F.xxhash64("bits"), F.lit(64))).applyInPandas(lambda p: total(p[["n", "bits"]]), "n long, bits binary")
+        out = pdf.iloc[:1].copy()
+        parts = [np.frombuffer(x, np.uint32) for x in pdf["bits"]]
+        out["bits"] = [np.minimum(np.sum(parts, axis=0, dtype=np.uint64), 0xFFFFFFFF).astype(np.uint32).tobytes()]
+        return out
+
+    sums = profiles.where("kind = 1").select("n", F.col("doc_id").alias("part"), "bits")
+    parts = (sums.agg(F.max("part").alias("most")).first().most or 0) + 1
+    while parts > 1:
+        parts = -(-parts // FAN_IN)
+        sums = sums.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("long"))
+        sums = sums.groupBy("n", "part").applyInPandas(lambda p: total(p[["n", "part", "bits"]]), "n long, part long, bits binary")
     counts = np.zeros(1 << bits, np.uint32)
-    for row in salted.groupBy("n").applyInPandas(total, "n long, bits binary").toLocalIterator():
+    for row in sums.toLocalIterator():  # 2 ** bits counters, whatever the corpus
         counts[row.n : row.n + len(row.bits) // 4] = np.frombuffer(row.bits, np.uint32)
     return counts
 
@@ -195,7 +217,7 @@ def choose_boundary(sizes: dict[int, int], counts: np.ndarray, percent: int = PE
 
 
 def _long_list(counts: np.ndarray) -> float:
-    """The counter from which a list may be long: well above what chance puts in a bucket."""
+    """The counter from which a list is dealt to several tasks: well above what chance puts in a bucket."""
     return 4 * float(counts.mean()) + 64
 
 
@@ -216,6 +238,8 @@ def _entries(docs: DataFrame, counts: np.ndarray, boundary: int, k: int, percent
                 sid = xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
                 if sid in done:
                     continue
+                if len(done) >= DIGESTS_KEPT:
+                    done.clear()  # a set that is handed on twice counts once later
                 done.add(sid)
                 c = count[(h >> np.uint64(64 - bits)).astype(np.int64)]
                 p = prefix_length(n, percent)
@@ -250,18 +274,22 @@ def _may_link(n, m, i, j, percent: int):
 
 
 def _scan(entries: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """Scans the lists: pairs (a, b) of the ordinary ones; entries of long ones pass unchanged."""
+    """Scans the lists: pairs (a, b) of the ordinary ones; entries of long ones pass unchanged.
+
+    A list is long if its entries were dealt to several tasks, or if the task counts more than LONG of
+    them; a task holds no more of one list than that."""
 
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
-        rest = None
+        rest, passing = None, None  # the list that goes on in the next batch, and the long one that is passing
+
+        def long_ones(x):
+            m = len(x[0])
+            return pa.RecordBatch.from_arrays([pa.array(x[1]), pa.nulls(m, pa.int64()), pa.array(x[0]), pa.array(x[2].astype(np.int32)), pa.array(x[3].astype(np.int32))], schema=schema)
 
         def pairs(key, sid, n, pos):
-            cut = np.flatnonzero(np.diff(key)) + 1
-            starts, ends = np.r_[0, cut], np.r_[cut, len(key)]
-            size = ends - starts
             left, right = [], []
-            for d in range(1, int(size.max()) if len(size) else 1):
+            for d in range(1, LONG + 1):
                 at = np.flatnonzero(key[d:] == key[:-d])
                 if not len(at):
                     break
@@ -280,14 +308,22 @@ def _scan(entries: DataFrame, boundary: int, percent: int) -> DataFrame:
         for batch in batches:
             key, sid, n, pos, hot = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             n, pos = n.astype(np.int64), pos.astype(np.int64)
-            if hot.any():
-                m = int(hot.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(sid[hot]), pa.nulls(m, pa.int64()), pa.array(key[hot]), pa.array(n[hot].astype(np.int32)), pa.array(pos[hot].astype(np.int32))], schema=schema)
-            cool = ~hot
-            now = [x[cool] for x in (key, sid, n, pos)]
+            now = [x[~hot] for x in (key, sid, n, pos)]
             if rest is not None:
                 now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+            cut = np.flatnonzero(np.diff(now[0])) + 1
+            size = np.diff(np.r_[0, cut, len(now[0])])
+            far = np.repeat(size > LONG, size) if len(now[0]) else np.zeros(0, bool)
+            if passing is not None:
+                far |= now[0] == passing
+            passed = [np.concatenate([x[hot], y[far]]) for x, y in zip((key, sid, n, pos), now, strict=True)]
+            if len(passed[0]):
+                yield long_ones(passed)
+            if len(far) and far[-1]:
+                passing = now[0][-1]
+            now = [x[~far] for x in now]
             if not len(now[0]):
+                rest = None
                 continue
             end = int(np.searchsorted(now[0], now[0][-1]))  # the last list may go on in the next batch
             rest = [x[end:] for x in now]
@@ -304,7 +340,8 @@ def _scan(entries: DataFrame, boundary: int, percent: int) -> DataFrame:
 def _not_joined(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs whose two sets are in different components."""
     a, b = comps.toDF("a", "ca"), comps.toDF("b", "cb")
-    far = pairs.join(a, "a", "left").join(b, "b", "left")
+    pairs = stored(pairs)
+    far = joined(joined(pairs, a, "a", 40, "left"), b, "b", 40, "left", ready=False)
     return far.where(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).select("a", "b")
 
 
@@ -317,16 +354,18 @@ def _long_links(hot: DataFrame, comps: DataFrame, docs: DataFrame, sets: DataFra
     not both are of that component. A pair of blocks gives at most one row for each of its sets.
     """
     labels = comps.toDF("sid", "comp")
-    own = hot.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    own = stored(joined(hot, labels, "sid", 40, "left").withColumn("comp", F.coalesce("comp", "sid")))
     kinds = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    open_ = stored(own.join(kinds, "key").select("key", "sid", "comp"))
+    open_ = stored(joined(own, kinds, "key", 24).select("key", "sid", "comp"))
+    forget(own)
     clusters = components(open_.select(F.col("sid").alias("a"), F.col("key").alias("b"))).toDF("sid", "cluster")
     members = stored(open_.select("sid", "comp").distinct().join(clusters, "sid").join(sets.select("sid", "n"), "sid"))
     main = members.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
     kind = [F.col("cluster"), (F.col("comp") == F.col("main")).alias("is_main"), F.floor(F.log("n") / float(np.log(100 / percent))).cast("int").alias("size")]
-    members = members.join(main, "cluster").select("sid", "comp", "n", *kind)
-    parts = members.groupBy("cluster", "is_main", "size").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).alias("parts"))
-    dealt = members.join(parts, ["cluster", "is_main", "size"]).withColumn("part", F.pmod(F.xxhash64("sid"), "parts"))
+    members = joined(members, main, "cluster", 40).select("sid", "comp", "n", *kind)
+    members = stored(members.withColumn("slot", F.xxhash64("cluster", "is_main", "size")))
+    parts = members.groupBy("slot").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).alias("parts"))
+    dealt = joined(members, parts, "slot", 40).withColumn("part", F.pmod(F.xxhash64("sid"), "parts"))
     block = F.xxhash64("cluster", "is_main", "size", "part").alias("block")
     dealt = stored(dealt.select("sid", "comp", "cluster", "is_main", "size", block))
     blocks = dealt.select("cluster", "is_main", "size", "block").distinct()
@@ -400,13 +439,15 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         return step
 
-    return map_batches(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "xa", "nb", "xb"), start, "a long, b long")
+    width = 60 + int(sets.agg(F.avg(F.length("bits"))).first()[0] or 0)
+    both = joined(joined(stored(pairs), a, "a", width), b, "b", width, ready=False)
+    return map_batches(both.select("a", "b", "na", "xa", "nb", "xb"), start, "a long, b long")
 
 
 def _sets_of(sids: DataFrame, docs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     """(sid, h): the whole sets of the sids, made again from the documents that name them."""
-    wanted = sids.distinct().join(sets.select("sid", "doc_id"), "sid").select(F.col("doc_id").alias("wanted")).distinct()
-    wanted = bounded(stored(wanted), 16)
+    wanted = sids.distinct().join(sets.select("sid", "at"), "sid").select(F.col("at.doc_id").alias("wanted"), F.col("at.mark").alias("said")).distinct()
+    wanted = bounded(stored(wanted), 40)
 
     def start():
         hashes = _WordHashes()
@@ -418,8 +459,7 @@ def _sets_of(sids: DataFrame, docs: DataFrame, sets: DataFrame, k: int) -> DataF
 
         return step
 
-    own = docs.select(F.col("doc_id").cast("long").alias("own"), "text")
-    texts = own.join(wanted, F.col("own").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+    texts = docs.join(wanted, (F.col("mark") == F.col("said")) & F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
     return stored(map_batches(texts, start, "sid long, h binary").groupBy("sid").agg(F.first("h").alias("h")))
 
 
@@ -436,44 +476,58 @@ def _checked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent
 
         return step
 
-    both = pairs.join(found.toDF("a", "ha"), "a").join(found.toDF("b", "hb"), "b").select("a", "b", "ha", "hb")
+    width = 60 + int(found.agg(F.avg(F.length("h"))).first()[0] or 0)
+    both = joined(joined(pairs, found.toDF("a", "ha"), "a", width), found.toDF("b", "hb"), "b", width, ready=False).select("a", "b", "ha", "hb")
     return map_batches(both, compare, "a long, b long")
 
 
-def ngram_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, bits: int = SKETCH_BITS) -> DataFrame:
-    """One row for each row of docs(doc_id, text): (doc_id, n_shingles, component_id).
-
-    component_id is the smallest doc_id that links reach, the row's own included. A null text or
-    one without words has an empty set and links with nothing. Equal texts, and rows that repeat a
-    doc_id, are linked through their equal sets. A row with a null doc_id keeps it; its component
-    is named by the others, or null if there is none. Other columns are ignored; an empty table
-    gives an empty one. Very long texts are taken whole.
-    """
+def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, bits: int | None = None) -> DataFrame:
+    """(doc_id, mark, n_shingles, comp, component_id) for each row of docs(doc_id, text): comp names the
+    class of linked sets that the row's set is in, null for an empty set; component_id is the smallest
+    doc_id of the class, the row's own for an empty set."""
+    docs = keyed(docs)
+    bits = bits or min(SKETCH_MOST, max(SKETCH_BITS, round(log2(docs.count() + 1))))
     profiles = stored(_profiles(docs, k, bits))
     own = profiles.where("kind = 0")
-    sets = stored(own.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits")))
+    at = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("at")
+    sets = stored(own.where("n > 0").groupBy("sid").agg(at, F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits")))
     counts = _rarity(profiles, bits)
     sizes = {r.n: r["count"] for r in sets.where(f"n <= {MOST_LIGHT}").groupBy("n").count().collect()}
     boundary = choose_boundary(sizes, counts, percent)
 
-    keys = own.where("n > 1").select("sid", F.explode("bands").alias("band")).distinct()
-    first = keys.groupBy("band").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a <> z").select("band", "a")
-    stars = keys.join(first, "band").where("a <> sid").select("a", F.col("sid").alias("b")).distinct()
+    keys = stored(own.where("n > 1").select("sid", F.explode("bands").alias("band")).distinct())
+    first = stored(keys.groupBy("band").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a <> z").select("band", "a"))
+    stars = joined(keys, first, "band", 40).where("a <> sid").select("a", F.col("sid").alias("b")).distinct()
     near = stored(_checked(_plausible(stars, sets, percent), docs, sets, k, percent))
     comps = components(near)
+    forget(keys, first, near)
 
     scanned = stored(_scan(_entries(docs, counts, boundary, k, percent, bits), boundary, percent))
     ordinary = scanned.where("key IS NULL").select("a", "b").distinct()
-    hot = scanned.where("key IS NOT NULL").select(F.col("a").alias("sid"), "key", "n", "pos").distinct()
-    more = _checked(_plausible(_not_joined(ordinary, comps), sets, percent), docs, sets, k, percent)
+    hot = stored(scanned.where("key IS NOT NULL").select(F.col("a").alias("sid"), "key", "n", "pos").distinct())
+    more = stored(_checked(_plausible(_not_joined(ordinary, comps), sets, percent), docs, sets, k, percent))
+    forget(scanned)
     comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
-    more = _long_links(hot, comps, docs, sets, k, percent)
+    more = stored(_long_links(hot, comps, docs, sets, k, percent))
     comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
-    grouped = comps.join(sets.select(F.col("sid").alias("node"), "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = comps.join(grouped, "comp").select(F.col("node").alias("sid"), "component_id")
-    named = sets.select("sid", "doc_id").join(named, "sid", "left").select("sid", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = own.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(named, "sid", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    ids = sets.select(F.col("sid").alias("node"), "doc_id").join(comps, "node", "left").select(F.col("node").alias("sid"), F.coalesce("comp", "node").alias("comp"), "doc_id")
+    ids = stored(ids)
+    least = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    named = joined(ids.select("sid", "comp"), least, "comp", 40)
+    out = joined(own.select("doc_id", "mark", F.col("n").alias("n_shingles"), "sid"), stored(named), "sid", 56, "left")
+    return out.select("doc_id", "mark", "n_shingles", "comp", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def ngram_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, bits: int | None = None) -> DataFrame:
+    """One row for each row of docs(doc_id, text): (doc_id, n_shingles, component_id).
+
+    component_id is the smallest doc_id that links reach, the row's own included. A null text or
+    one without words has an empty set and links with nothing. Equal texts, and rows that repeat a
+    doc_id, are linked through their equal sets. A row with a null doc_id keeps it; its component
+    is named by the others, or null if there is none. Other columns are ignored; an empty table
+    gives an empty one. Very long texts are taken whole.
+    """
+    return classes(docs, k, percent, bits).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -482,10 +536,25 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without near duplicates: of each component the one of the smallest doc_id."""
-    groups = stored(ngram_join(docs))
-    kept = groups.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("__sf_rows"))
-    once = docs.join(bounded(kept.where("__sf_rows = 1").select("doc_id"), 16), "doc_id", "left_semi")
-    again = docs.join(bounded(kept.where("__sf_rows > 1").select("doc_id"), 16), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    empty = docs.where(F.col("doc_id").isNull())
-    return once.unionByName(again).unionByName(empty).select(*docs.columns)
+    """The documents without near duplicates: of each group of linked ones the one of the smallest doc_id,
+    ids before none, ties by the text.
+
+    Rows are told apart by doc_id and text together, so rows that share an id but not the text are
+    documents of their own, and copies without an id count as copies. Of rows alike in both one stays.
+    Null, empty and wordless texts link with nothing and all stay. An empty table gives an empty one;
+    all columns are kept as they are.
+    """
+    rows = stored(classes(docs).where("comp IS NOT NULL").groupBy("comp", "doc_id", "mark").agg(F.count("*").alias("rows")))
+    none = F.col("doc_id").isNull().alias("none")
+    first = rows.groupBy("comp").agg(F.min(F.struct(none, "doc_id", "mark")).alias("first"))
+    marked = joined(rows, first, "comp", 64)
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
+    marked = stored(marked.select(F.col("doc_id").alias("__sf_doc"), F.col("mark").alias("__sf_said"), stays.alias("__sf_stays"), "rows"))
+    own = docs.withColumns({"__sf_id": F.col("doc_id").cast("long"), "__sf_mark": F.xxhash64("text")})
+    same = F.col("__sf_id").eqNullSafe(F.col("__sf_doc")) & (F.col("__sf_mark") == F.col("__sf_said"))
+    again = bounded(stored(marked.where("__sf_stays AND rows > 1").select("__sf_doc", "__sf_said")), 40)
+    out = bounded(stored(marked.where("NOT __sf_stays OR rows > 1").select("__sf_doc", "__sf_said")), 40)
+    kept = own.join(out, same, "left_anti").select(*docs.columns)
+    whole = F.struct(*docs.columns)
+    one = own.join(again, same, "left_semi").groupBy("__sf_id", "__sf_mark").agg(F.min_by(whole, F.to_json(whole)).alias("one"))
+    return kept.unionByName(one.select("one.*"))

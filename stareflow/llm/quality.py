@@ -167,9 +167,8 @@ def measured(docs: DataFrame) -> DataFrame:
     return map_batches(own, start, "doc_id long, " + ", ".join(f"{m} long" for m in _MEASURED) + ", pattern int")
 
 
-def judged(rows: DataFrame) -> DataFrame:
-    """rows of measured() with quality, base_failed and kept; the rules are fitted on all rows."""
-    spark = rows.sparkSession
+def verdicts(rows: DataFrame) -> DataFrame:
+    """(pattern, quality): the posterior of each vote pattern that rows(pattern) hold, fitted on all rows."""
     found = rows.groupBy("pattern").count().collect()  # 3 ** VOTES rows at most
     schema = T.StructType([T.StructField("pattern", T.IntegerType()), T.StructField("quality", T.DoubleType())])
     table = []
@@ -179,7 +178,12 @@ def judged(rows: DataFrame) -> DataFrame:
         patterns, counts = patterns[order], counts[order]
         share, chance = fit(patterns, counts)
         table = [(int(p), round(float(q), 9)) for p, q in zip(patterns, posterior(patterns, share, chance), strict=True)]
-    out = rows.join(F.broadcast(spark.createDataFrame(table, schema)), "pattern")
+    return rows.sparkSession.createDataFrame(table, schema)
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """rows of measured() with quality, base_failed and kept; the rules are fitted on all rows."""
+    out = rows.join(F.broadcast(verdicts(rows)), "pattern")  # 3 ** VOTES rows at most
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality") >= KEEP))
 
@@ -204,23 +208,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep.
 
-    The verdict travels with the row, so that repeated ids keep or lose each row by its own text:
-    a second pass measures each text again and keeps the patterns found good in the first.
+    Each text is measured once: its votes travel beside the row, so that rows that repeat an id are kept
+    or lost each by its own text. Null, empty and wordless texts fail the base rules and are lost; null
+    ids are documents like others; all columns are kept as they are; an empty table gives an empty one.
+    Very long texts are measured whole.
     """
-    rows = stored(measured(docs))
-    good = judged(rows).where("kept").select("pattern").distinct()
-    good = {r.pattern for r in good.collect()}  # 3 ** VOTES rows at most
+    pattern, failed = "__sf_pattern", "__sf_failed"
 
     def start():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            at = batch.schema.get_field_index("text")
-            keep = []
-            for text in batch.column(at).to_pylist():
-                f = measures(text)
-                keep.append(f["n_words"] >= 50 and 100 * f["n_repeat_words"] <= 50 * f["n_words"] and vote(f) in good)
-            return batch.filter(pa.array(keep, pa.bool_()))
+            found = [measures(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            bad = [f["n_words"] < 50 or 100 * f["n_repeat_words"] > 50 * f["n_words"] for f in found]
+            cols = [*batch.columns, pa.array([vote(f) for f in found], pa.int32()), pa.array(bad, pa.bool_())]
+            return pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, pattern, failed])
 
         return step
 
-    return map_batches(docs, start, docs.schema)
-
+    schema = T.StructType([*docs.schema.fields, T.StructField(pattern, T.IntegerType()), T.StructField(failed, T.BooleanType())])
+    rows = stored(map_batches(docs, start, schema))
+    good = verdicts(rows.select(F.col(pattern).alias("pattern"))).where(F.col("quality") >= KEEP).select(F.col("pattern").alias(pattern))
+    return rows.where(~F.col(failed)).join(F.broadcast(good), pattern, "left_semi").select(*docs.columns)  # 3 ** VOTES rows at most

@@ -71,55 +71,129 @@ def _alphabet(value: str) -> float:
     return log2(max(size, 10))
 
 
-def guess_bits(value: str, ranks: dict[str, int]) -> float:
-    """The least guess cost of the value in bits, over all its cuts into known and brute-force spans."""
+@functools.cache
+def longest_word(path: str = RANKS) -> int:
+    return max(map(len, words(path)), default=0)
+
+
+def _run(low: str, at: int, period: int) -> tuple[int, int]:
+    """The longest stretch around a place in which each character equals the one a period before it:
+    (first, end), with the first period included."""
+    first, end = at - period, at
+    while first > 0 and low[first - 1] == low[first - 1 + period]:
+        first -= 1
+    while end < len(low) and low[end] == low[end - period]:
+        end += 1
+    return first, end
+
+
+def _blocks_again(low: str, at: int, known: dict[int, tuple[int, int]]) -> list[tuple[int, int]]:
+    """(period, end) for each block that ends at a place and stands there again: the block's length, two or
+    more and not all of one character, and how far the repeats reach. Inside a stretch of one period only
+    that period counts, not its multiples, whose repeats it covers. known keeps stretches between places."""
+    found, head, ones = [], low[at : at + 2], at - 1
+    if at and len(head) == 2 and head[0] == head[1] == low[at - 1]:
+        run = known.get(1)
+        if run is None or not run[0] <= at - 1 < run[1]:
+            run = known[1] = _run(low, at, 1)
+        ones = run[0]
+    q = low.rfind(head, 0, at) if len(head) == 2 else -1
+    while q >= 0:
+        period = at - q
+        if q >= ones:
+            q = ones  # blocks of one character are runs
+        elif low[q:at] == low[at : at + period]:
+            stretch = known.get(period)
+            if stretch is None or not stretch[0] <= q < at < stretch[1]:
+                stretch = known[period] = _run(low, at, period)
+            found.append((period, stretch[1]))
+            q = min(q, stretch[0])  # what starts inside the stretch is a multiple of its period
+        q = low.rfind(head, 0, q + 1) if q else -1
+    return found
+
+
+def guess_bits(value: str, ranks: dict[str, int], enough: float = float("inf"), most: int | None = None) -> float:
+    """The least guess cost of the value in bits, over all its cuts into known and brute-force spans.
+
+    Spans: a word of the vocabulary (most: the length of its longest), plain or with letters written as
+    signs; a date; a run of one character, a keyboard walk (three characters or more, two bits for each
+    turn), a block of several characters that comes again any number of times, and brute force. Places are taken in order, and
+    each hands its cost on to where its spans end. A value that costs enough or more is given as enough:
+    then places that cost so much need no further look, so long values end early or run regular.
+    """
     n, low = len(value), value.lower()
     if len(low) != n:  # lower-casing can change the length of a few characters
         low = value
+    most = max(map(len, ranks), default=0) if most is None else most
     plain, keys, each = low.translate(_LEET), low.translate(_SHIFTED), _alphabet(value)
-    same, walk, turns = [1] * (n + 1), [1] * (n + 1), [0] * (n + 1)
-    for i in range(1, n):  # lengths of the run and of the walk that end with character i
-        same[i + 1] = same[i] + 1 if low[i] == low[i - 1] else 1
-        if keys[i] in _NEXT.get(keys[i - 1], ()):
-            step = ord(keys[i]) - ord(keys[i - 1])
-            before = ord(keys[i - 1]) - ord(keys[i - 2]) if walk[i] > 1 else step
-            walk[i + 1], turns[i + 1] = walk[i] + 1, turns[i] + (step * before < 0)
     best = [0.0] + [float("inf")] * n  # the least cost of the first i characters
-    brute = [float("inf")] * (n + 1)  # the same, where the last span is brute force
-    for i in range(1, n + 1):
-        brute[i] = min(brute[i - 1], best[i - 1] + SPAN_BITS) + each
-        cost = brute[i]
-        for size in range(3, min(i, 18) + 1):
-            part = low[i - size : i]
+    via: list[object] = [None] * (n + 1)  # the run, walk or stretch by which it came
+    brute = float("inf")  # the least cost where the last span is brute force
+    stretches: dict[int, tuple[int, int]] = {}
+    same_end = walk_end = reach = 0
+
+    def put(to: int, cost: float, how: object = None) -> None:
+        nonlocal reach
+        if cost < best[to]:
+            best[to], via[to] = cost, how
+            if cost < enough and to > reach:
+                reach = to
+
+    for i in range(n):
+        if brute < best[i]:
+            best[i], via[i] = brute, None
+        if best[i] >= enough:
+            if i >= reach and brute >= enough:
+                return enough
+            brute += each
+            continue
+        now = best[i] + SPAN_BITS
+        brute = min(brute, now) + each
+        for size in range(3, min(most, n - i) + 1):
+            part = low[i : i + size]
             rank = ranks.get(part)
-            if rank is None and (rank := ranks.get(plain[i - size : i])) is not None:
+            if rank is None and (rank := ranks.get(plain[i : i + size])) is not None:
                 rank = 2 * rank + 2
             if rank is not None:
-                shape = 0.0 if value[i - size : i] == part else 1.0 if value[i - size + 1 : i] == part[1:] else 3.0
-                cost = min(cost, best[i - size] + SPAN_BITS + log2(rank + 2) + shape)
-        for size in (4, 6, 8, 10):
-            if i >= size and value[i - 1].isdigit() and _DATE.match(value[i - size : i]):
-                cost = min(cost, best[i - size] + SPAN_BITS + (7.0 if size == 4 else 15.5))
-        for size in {3, same[i]}:
-            if 3 <= size <= same[i]:
-                cost = min(cost, best[i - size] + SPAN_BITS + each + log2(size))
-        for size in {3, walk[i]}:
-            if 3 <= size <= walk[i]:
-                cost = min(cost, best[i - size] + SPAN_BITS + log2(47) + log2(size) + 2 * turns[i])
-        for unit in range(2, min(i // 2, 12) + 1):  # a block that comes again
-            times = 1
-            while times < 64 and i >= unit * (times + 1) and low[i - unit * (times + 1) : i - unit * times] == low[i - unit : i]:
-                times += 1
-            if times > 1:
-                at = i - unit * (times - 1)
-                cost = min(cost, best[at] + SPAN_BITS + log2(times))
-        best[i] = cost
-    return best[n]
-
-
-def find(text: str | None, ranks: dict[str, int]) -> list[tuple[int, int, int, int, int]]:
+                shape = 0.0 if value[i : i + size] == part else 1.0 if value[i + 1 : i + size] == part[1:] else 3.0
+                put(i + size, now + log2(rank + 2) + shape)
+        if value[i].isdigit():
+            for size in (4, 6, 8, 10):
+                if i + size <= n and _DATE.match(value[i : i + size]):
+                    put(i + size, now + (7.0 if size == 4 else 15.5))
+        # A place reached by a run, walk or repeat need not start the same one anew: going on costs less.
+        if i >= same_end:
+            same_end = i + 1
+            while same_end < n and low[same_end] == low[i]:
+                same_end += 1
+        if via[i] != ("run", same_end):
+            for end in range(i + 3, same_end + 1):
+                put(end, now + each + log2(end - i), ("run", same_end))
+        if i >= walk_end:
+            walk_end = i + 1
+            while walk_end < n and keys[walk_end] in _NEXT.get(keys[walk_end - 1], ()):
+                walk_end += 1
+        if via[i] != ("walk", walk_end):
+            turns, before = 0, 0
+            for end in range(i + 2, walk_end + 1):
+                step = ord(keys[end - 1]) - ord(keys[end - 2])
+                turns += step * before < 0
+                before = step
+                if now + 2 * turns >= enough:
+                    break
+                if end >= i + 3:
+                    put(end, now + log2(47) + log2(end - i) + 2 * turns, ("walk", walk_end))
+        for period, end in _blocks_again(low, i, stretches):
+            if via[i] != (period, end):
+                for t in range(1, (end - i) // period + 1):
+                    put(i + t * period, now + log2(t + 1), (period, end))
+    return min(best[n], brute, enough)
+
+
+def find(text: str | None, ranks: dict[str, int], longest: int | None = None) -> list[tuple[int, int, int, int, int]]:
     """The text's spans as (start, place of the kind in KINDS, end, and start and end of the secret
-    itself), in that order. Starts and ends count code points, ends exclusive."""
+    itself), in that order. Starts and ends count code points, ends exclusive. longest: the length of
+    the longest of the words."""
     if not text:
         return []
     raw = utf8(text)
@@ -140,7 +214,7 @@ def find(text: str | None, ranks: dict[str, int]) -> list[tuple[int, int, int, i
     for start, end in sorted(set(wider)):
         while end > start and text[end - 1] in ".:!?":
             end -= 1
-        if end - start >= 6 and not any(a <= start and end <= b for a, b in known) and guess_bits(text[start:end], ranks) >= SECRET_BITS:
+        if end - start >= 6 and not any(a <= start and end <= b for a, b in known) and guess_bits(text[start:end], ranks, SECRET_BITS, longest) >= SECRET_BITS:
             known.append((start, end))
             found.append((start, 3, end, start, end))
     return sorted(found)
@@ -166,10 +240,10 @@ def scan_secrets(docs: DataFrame, path: str = RANKS) -> DataFrame:
     """
 
     def start():
-        ranks = words(path)
+        ranks, longest = words(path), longest_word(path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [find(t, ranks) for t in batch.column(1).to_pylist()]
+            found = [find(t, ranks, longest) for t in batch.column(1).to_pylist()]
             said = [[(k, f"{KINDS[k]}:{s}:{e}") for s, k, e, *_ in x] for x in found]
             counts = [pa.array([sum(k == kind for k, _ in x) for x in said], pa.int64()) for kind in range(4)]
             base = [hashlib.sha256(",".join(t for k, t in x if k < 3).encode()).hexdigest() for x in said]
@@ -187,15 +261,19 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with each secret replaced by MASK, and n_chars counted anew; no row is lost."""
+    """The documents with each secret replaced by MASK, and n_chars counted anew.
+
+    No row is lost: null and empty texts, repeated rows and null ids stay as they are, and so do all other
+    columns, whatever their names. An empty table gives an empty one. Texts are scanned whole.
+    """
 
     def start():
-        ranks = words(RANKS)
+        ranks, longest = words(RANKS), longest_word(RANKS)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
-            spans = [find(t, ranks) for t in texts]
+            spans = [find(t, ranks, longest) for t in texts]
             texts = [masked(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
             cols = list(batch.columns)
             cols[at] = pa.array(texts, batch.schema.field(at).type)

@@ -210,14 +210,6 @@ def test_targets_stop_at_three_times_the_source():
     assert np.allclose(got, [30, 300, 780])
 
 
-def test_mixed_documents_hold_what_is_taken(spark, docs):
-    out = mixing.mixed_documents(spark, docs, "")
-    assert out.columns == docs.columns
-    have = out.select("doc_id", mixing.n_words(out.text).alias("n")).groupBy("doc_id").sum("n").collect()
-    want = mixing.mixture(mixing.sized(docs), blocks=mixing.BLOCKS_WRITTEN).selectExpr("doc_id", f"aggregate({mixing.RUNS}, 0L, (a, r) -> a + r.words * r.times) AS n").where("n > 0").collect()
-    assert sorted(map(tuple, have)) == sorted(map(tuple, want))
-
-
 def test_mixed_documents_are_whole_and_reach_targets(spark, docs, texts):
     text = {r["doc_id"]: r["text"] for r in texts}
     source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
@@ -235,7 +227,7 @@ def test_mixed_documents_are_whole_and_reach_targets(spark, docs, texts):
 
 
 def test_a_small_source_beside_large_ones_meets_its_target(spark):
-    rows = spark.range(4).selectExpr("id AS doc_id", "element_at(array('a', 'b', 'c', 'd'), CAST(id AS INT) + 1) AS source", "IF(id = 1, 600L, 120000000L) AS size")
+    rows = spark.range(4).selectExpr("id AS doc_id", "id AS mark", "element_at(array('a', 'b', 'c', 'd'), CAST(id AS INT) + 1) AS source", "IF(id = 1, 600L, 120000000L) AS size")
     out = mixing.mixture(rows).selectExpr("doc_id", "target", f"aggregate({mixing.RUNS}, 0L, (a, r) -> a + r.words * r.times) AS n").collect()
     for r in out:
         assert abs(r.n - r.target) <= 0.02 * r.target
@@ -420,20 +412,62 @@ def test_good_documents_are_those_kept(spark, docs):
 # 9: exact top-k
 
 
+def brute_top(rows, k=20):
+    """rows: (vec_id, whole components); each row that asks has its own list."""
+    out = []
+    for i, (qid, q) in enumerate(rows):
+        if qid % 20:
+            continue
+        found = sorted((-max(min(sum(a * b for a, b in zip(q, v, strict=True)), 2**63 - 1), -(2**63)), vid) for j, (vid, v) in enumerate(rows) if j != i and len(v) == len(q))
+        out += [(qid, r + 1, vid, -s) for r, (s, vid) in enumerate(found[:k])]
+    return sorted(out)
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(10)
     vecs = [rng.normal(0, 0.3, 8).astype(np.float32).tolist() for _ in range(300)]
     vecs[40:90] = [vecs[40]] * 50
-    rows = [(i, v) for i, v in enumerate(vecs)] + [(500, None), (520, [1.0] * 7 + [None]), (540, [1.0] * 7 + [float("nan")]), (560, [float("inf")] * 8), (0, vecs[0])]
+    rows = [(i, v) for i, v in enumerate(vecs)] + [(500, None), (520, [1.0] * 7 + [None]), (540, [1.0] * 7 + [float("nan")]), (560, [float("inf")] * 8), (0, vecs[0]), (3, vecs[7]), (20, vecs[9]), (40, [1.0, 2.0]), (41, [-1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
     q = topk.quantised(df)
-    got = sorted(map(tuple, topk.top_k(q, q.where("vec_id % 20 = 0"), 20).collect()))
-    m = np.floor(64 * np.array(vecs, np.float32).astype(float)).astype(int)
-    want = []
-    for i in range(0, 300, 20):
-        s = sorted((-int(m[i] @ m[j]), j) for j in range(300) if j != i)[:20]
-        want += [(i, r + 1, j, -n) for r, (n, j) in enumerate(s)]
-    assert got == sorted(want)
+    whole = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(int).tolist()) for i, v in rows if v and None not in v and np.isfinite(v).all()]
+    want = brute_top(whole)
+    for values, tile in ((topk.SHARD_VALUES, topk.TILE_ROWS), (64, 3), (400, 25)):  # one shard, and a tree of many
+        assert sorted(map(tuple, topk.top_k(q, topk.F.pmod("vec_id", topk.F.lit(20)) == 0, 20, values, tile).collect())) == want
+
+
+def test_top_k_keeps_the_lowest_scores_and_large_components(spark):
+    rows = [(0, [3e6] * 4), (1, [-3e6] * 4), (2, [1.0] * 4), (3, [2.0] * 4), (20, [1e300] * 4), (21, [-1e300] * 4)]
+    q = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    whole = [(i, [max(min(int(np.floor(64 * x)), 2**63 - 1), -(2**63)) for x in v]) for i, v in rows]
+    assert sorted(map(tuple, topk.top_k(q, topk.F.col("vec_id") % 20 == 0).collect())) == brute_top(whole)
+
+
+def test_top_k_sql_agrees_on_repeated_ids(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(11)
+    rows = [(i % 47, rng.normal(0, 1e6 if i % 9 == 0 else 0.4, 4).tolist()) for i in range(90)] + [(None, [1.0] * 4), (60, None), (80, [1.0, 2.0])]
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(path)
+    got = sorted(map(tuple, topk.op9_exact_top_k(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
+    assert got == sorted(con.execute(topk.OP9_SQL).fetchall())
+
+
+def test_top_k_plan_does_not_grow_with_the_queries(spark):
+    import contextlib
+    import io
+
+    def plan(n):
+        v = spark.range(n).selectExpr("id AS vec_id", "array(id % 7, id % 11) AS v")
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            topk.top_k(v, topk.F.col("vec_id") >= 0, 3, shard_values=50).explain()
+        return text.getvalue().count("\n")
+
+    assert plan(40) == plan(400)
 
 
 # 10: chat formatting
@@ -460,7 +494,7 @@ def test_operators_take_odd_and_empty_tables(spark):
         assert packing.unpack(packing.pack(df)).count() == n
         assert quality.quality_rules(df).count() == n
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
-    assert topk.top_k(topk.quantised(none), topk.quantised(none)).count() == 0
+    assert topk.top_k(topk.quantised(none), topk.F.col('vec_id') >= 0).count() == 0
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 

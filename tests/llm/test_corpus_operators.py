@@ -513,3 +513,30 @@ def test_components_of_chains_stars_and_random_links(spark):
                 break
         got = graph.components(spark.createDataFrame(links, "a long, b long")).collect()
         assert {r.node: r.comp for r in got} == up and len(got) == len(up)
+
+
+# 6: rows that share an id, hot keys
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    a, b, c = ("one two three four five six seven eight nine ten", "x y z w v u t s r q p o n", "p q r s t 1 2 3 4 5 6 7")
+    rows = [(1, a, "en"), (1, b, "en"), (2, a, "de"), (None, c, "en"), (None, c, "en"), (None, c, "fr"), (3, None, "en"), (3, None, "en"), (None, "", "en"), (5, b.upper(), "en"), (1, a, "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string").repartition(3)
+    got = sorted((r.doc_id or 0, r.text or "", r.component_id) for r in ngram_join.one_of_each_group(spark, df, "").collect())
+    assert got == sorted([(1, a, "en"), (1, b, "en"), (0, c, "en"), (3, "", "en"), (3, "", "en"), (0, "", "en")])
+
+
+def test_join_without_broadcasts_gives_the_same(spark, docs, texts, monkeypatch):
+    from stareflow.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_SHARE", 40)
+    monkeypatch.setattr(ngram_join, "LONG", 6)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert found == brute_groups([(r["doc_id"], r["text"]) for r in texts])

@@ -358,6 +358,8 @@ def _long_links(hot: DataFrame, comps: DataFrame, docs: DataFrame, sets: DataFra
     kinds = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     open_ = stored(joined(own, kinds, "key", 24).select("key", "sid", "comp"))
     forget(own)
+    if not open_.limit(1).count():
+        return open_.select(F.col("sid").alias("a"), F.col("key").alias("b"))
     clusters = components(open_.select(F.col("sid").alias("a"), F.col("key").alias("b"))).toDF("sid", "cluster")
     members = stored(open_.select("sid", "comp").distinct().join(clusters, "sid").join(sets.select("sid", "n"), "sid"))
     main = members.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
@@ -481,6 +483,13 @@ def _checked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent
     return map_batches(both, compare, "a long, b long")
 
 
+def _with(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """The components with further links, if there are any."""
+    if not more.limit(1).count():
+        return comps
+    return components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
+
+
 def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, bits: int | None = None) -> DataFrame:
     """(doc_id, mark, n_shingles, comp, component_id) for each row of docs(doc_id, text): comp names the
     class of linked sets that the row's set is in, null for an empty set; component_id is the smallest
@@ -507,9 +516,9 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, bits: int |
     hot = stored(scanned.where("key IS NOT NULL").select(F.col("a").alias("sid"), "key", "n", "pos").distinct())
     more = stored(_checked(_plausible(_not_joined(ordinary, comps), sets, percent), docs, sets, k, percent))
     forget(scanned)
-    comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
+    comps = _with(comps, more)
     more = stored(_long_links(hot, comps, docs, sets, k, percent))
-    comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
+    comps = _with(comps, more)
     ids = sets.select(F.col("sid").alias("node"), "doc_id").join(comps, "node", "left").select(F.col("node").alias("sid"), F.coalesce("comp", "node").alias("comp"), "doc_id")
     ids = stored(ids)
     least = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -252,19 +252,14 @@ def test_scores_tell_text_from_shuffled_text(spark, docs, texts):
 
 def small_network(size=40, seed=3):
     rng = np.random.default_rng(seed)
-    net = lm_scoring.Network(lm_scoring.huffman(rng.integers(1, 1000, size)), width=4)
-    net.outer[:] = rng.normal(0, 0.5, net.outer.shape)
-    return net, rng
+    return lm_scoring.Network(size, size, width=4), rng
 
 
 def brute_log_prob(net, around, target):
-    """One token's log-probability, branch by branch."""
+    """One class's log-probability, sum by sum."""
     h = np.tanh(sum(net.inner[p * net.size + a].astype(float) for p, a in enumerate(around)) + net.shift[0])
-    t, total = net.tree, 0.0
-    for i in range(t.start[target], t.start[target] + t.length[target]):
-        z = float(t.signs[i]) * (net.outer[t.nodes[i], :-1].astype(float) @ h + float(net.outer[t.nodes[i], -1]))
-        total -= np.log1p(np.exp(-z))
-    return total
+    x = [float(h @ net.outer[:, c].astype(float) + net.bias[0, c]) for c in range(net.outer.shape[1])]
+    return x[target] - np.log(sum(np.exp(v) for v in x))
 
 
 def test_log_probs_are_a_distribution():
@@ -275,12 +270,24 @@ def test_log_probs_are_a_distribution():
     assert np.allclose(found, [brute_log_prob(net, [1, 2, 3, 4], t) for t in range(net.size)], atol=1e-4)
 
 
+def test_shares_of_a_class_add_up(docs):
+    words = lm_scoring.vocabulary_of(docs, 3)
+    counts = {bytes(r.word): r.n for r in lm_scoring.word_counts(docs).collect()}
+    assert words.frequent == sorted((w for w, n in counts.items() if n >= 3), key=lambda w: (-counts[w], w))
+    ids, total = lm_scoring.TokenIds(words), collections.Counter()
+    for w in counts:
+        total[words.classes[ids[w]]] += np.exp(words.share[ids[w]])
+    assert len(total) > lm_scoring.ALONE + 20
+    for c, x in total.items():  # what is missing is kept for words that the corpus doesn't hold
+        assert x <= 1 + 1e-9 and (abs(x - 1) < 1e-9 if c <= lm_scoring.ALONE else x > 0.5)
+
+
 def test_gradients_match_differences():
     net, rng = small_network(12)
     around, target = rng.integers(0, 12, (4, 30)), rng.integers(0, 12, 30)
     loss = lambda: -net.log_probs(around, target).mean()
     for table, (rows, grads, _) in zip(net.tables, net.gradients(around, target), strict=True):
-        for r, g in zip(rows[:6], grads[:6], strict=True):
+        for r, g in list(zip(np.arange(len(table))[rows], grads, strict=True))[:6]:
             for c in range(table.shape[1]):
                 old = table[r, c]
                 table[r, c] = old + 1e-2
@@ -293,28 +300,27 @@ def test_gradients_match_differences():
 
 def test_averaging_weighs_rows_by_use():
     net, rng = small_network(12)
-    a, b = (lm_scoring.Network(net.tree, width=4) for _ in range(2))
+    a, b = (lm_scoring.Network(12, 12, width=4) for _ in range(2))
     start = a.inner.copy()
     a.train(np.full((4, 3), 2), np.array([5, 5, 5]))
     b.train(np.full((4, 1), 2), np.array([5]))
     sums = [(np.frombuffer(x, np.float32) + np.frombuffer(y, np.float32)).tobytes() for x, y in zip(a.dump(), b.dump(), strict=True)]
-    both = lm_scoring.Network(net.tree, width=4).load(*sums)
+    both = lm_scoring.Network(12, 12, width=4).load(*sums)
     assert np.allclose(both.inner[2], (3 * a.inner[2] + b.inner[2]) / 4) and np.array_equal(both.inner[3], start[3])
 
 
 def test_scores_are_sums_over_the_text(spark):
     rows = [(1, "a b c a b"), (2, None), (None, "a"), (1, "a b c a b"), (3, " zz  A ")]
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    words = lm_scoring.vocabulary_of(df, 2)
-    assert words.frequent == [b"a", b"b", b"c"] and words.hashed == lm_scoring.HASHED_LEAST
+    assert lm_scoring.vocabulary_of(df, 2).frequent == [b"a", b"b", b"c"]
     lm, old = lm_scoring, lm_scoring.LEAST
     found = sorted(((r.doc_id or 0, r.n_tokens, r.log_prob, r.mean_log_prob) for r in lm.score_documents(df).collect()), key=str)
     vocabulary = lm.vocabulary_of(df, old)
-    net, ids = lm.Network(vocabulary.tree).load(*lm.train_network(df, vocabulary)), lm.TokenIds(vocabulary)
+    net, ids = lm.Network(len(vocabulary.share)).load(*lm.train_network(df, vocabulary)), lm.TokenIds(vocabulary)
     want = []
     for i, t in rows:
         seq = [0, 0, *(ids[w] for w in (t or "").lower().encode().split()), 0, 0]
-        total = sum(brute_log_prob(net, seq[j - 2 : j] + seq[j + 1 : j + 3], seq[j]) for j in range(2, len(seq) - 2))
+        total = sum(brute_log_prob(net, seq[j - 2 : j] + seq[j + 1 : j + 3], vocabulary.classes[seq[j]]) + vocabulary.share[seq[j]] for j in range(2, len(seq) - 2))
         want.append((i or 0, len(seq) - 4, total, total / (len(seq) - 4) if len(seq) > 4 else None))
     for x, y in zip(found, sorted(want, key=str), strict=True):
         assert x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-3 and (x[3] is None) == (y[3] is None)

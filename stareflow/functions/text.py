@@ -118,6 +118,29 @@ def clean_url(url: Column) -> Column:
     return F.when(url.rlike(r"^https?://"), tidy)
 
 
+def page_links(page: Column) -> Column:
+    """The targets of all links of a page, navigation included, in order."""
+    return F.regexp_extract_all(F.coalesce(page, F.lit("")), F.lit(r"""(?is)<a\b[^>]*?\shref\s*=\s*["']([^"'>]*)["']"""), F.lit(1))
+
+
+def resolved(link: Column, base: Column) -> Column:
+    """A page's link as a whole URL without its fragment; null if it is not of the web."""
+    root = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
+    path = F.regexp_extract(base, r"^https?://[^/?#]+([^?#]*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, r"^(.*/)", 1), F.lit("")), F.lit("/"))
+    bare = F.regexp_replace(F.trim(link), r"#.*$", "")
+    whole = (
+        F.when(bare.rlike(r"^https?://"), bare)
+        .when(bare.startswith("//"), F.concat(F.regexp_extract(base, r"^(https?:)", 1), bare))
+        .when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(bare.startswith("/"), F.concat(root, bare))
+        .when(bare == "", F.regexp_replace(base, r"#.*$", ""))
+        .when(bare.startswith("?"), F.concat(root, path, bare))
+        .otherwise(F.concat(root, folder, F.regexp_replace(bare, r"^(\./)+", "")))
+    )
+    return F.regexp_replace(whole, r"^(https?://[^/?#]+)$", "$1/")
+
+
 def first_kind(url: Column, rules: list[tuple[str, str]]) -> Column:
     """The kind of the first rule (pattern, kind) that a URL matches."""
     out = None
@@ -201,6 +224,186 @@ def pieces_in_order(text: Column, quote: Column) -> Column:
     return at > 0
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value named once: it is computed once however often then() uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def found_at(text: Column, pattern: str) -> Column:
+    """All matches of a pattern in order, as (start, end, raw); places count code points, ends exclusive."""
+    body = F.coalesce(text, F.lit(""))
+    hits = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
+    between = F.transform(F.split(body, pattern, -1), F.length)
+
+    def sums(sizes: Column) -> Column:
+        return lambda n: F.aggregate(F.slice(sizes, 1, n), F.lit(0), lambda a, x: a + x)
+
+    def spans(h: Column, gaps: Column, lengths: Column) -> Column:
+        start = lambda i: sums(gaps)(i + 1) + sums(lengths)(i)
+        return F.transform(h, lambda x, i: F.struct(start(i).alias("start"), (start(i) + F.length(x)).alias("end"), x.alias("raw")))
+
+    return let(hits, lambda h: let(between, lambda g: let(F.transform(h, F.length), lambda n: spans(h, g, n))))
+
+
+# Where a case name ends when read backwards, words inside a name, and lead-ins before it.
+NAME_BREAK = r"(?<!\bv)(?<!\bvs)(?<!\bNo)[.;:(]\s|\]\s|\n"
+VERSUS = ("v", "v.", "vs", "vs.")
+GLUE = ("and", "another", "others", "of", "the", "&")
+LEAD_IN = ("in", "see", "per", "also", "cf")
+LIST_MARK = r"^\(?[ivx\d]+[.)]$"
+# An eKLR citation, the number right before it, and the court and kind words before that.
+EKLR = r"\[(\d{4})\]\s*eKLR"
+TAIL_NUMBER = r"(?:No\.?\s*)?\b([A-Z]?\d+[A-Z]?)\s+of\s+((?:19|20)\d{2})(?:\s*of)?[\s,;)]*$"
+KIND_TAIL = (
+    r"(?i)(?:[\s,(]*\b(?:S\.\s?C|Sup|Ct|Pet(?:ition)?|No|Misc|Appl(?:ication)?|Civ(?:il)?|Crim(?:inal)?|Appeal|Advisory|Opinion|Motion|Constitutional|Cause|Case|Suit|Reference"
+    r"|Election|Judicial|Review|Succession|Family|HCCC|HC|CA|EP|JR|NRB|Nai|ML|MLD|Formerly|Consolidated|and)\.?)+[\s,(]*$"
+)
+#: How far back a name, and a name with a number, may stand before a citation.
+NAME_REACH, NUMBER_REACH = 200, 300
+
+
+def _low(word: Column) -> Column:
+    """Whether a word begins in lower case."""
+    head = F.left(word, F.lit(1))
+    return (head == F.lower(head)) & (head != F.upper(head))
+
+
+def _tail(text: Column, end: Column, reach: int) -> Column:
+    """The text right before a place, as far back as reach."""
+    return let(F.least(end, F.lit(reach)), lambda n: F.substr(text, end - n + 1, n))
+
+
+def _places(words: Column, fits) -> Column:
+    """The places of the words that fit(word, place), in order."""
+    return F.filter(F.transform(words, lambda w, i: F.when(fits(w, i), i)), lambda i: i.isNotNull())
+
+
+def _name_in(tail: Column) -> Column:
+    last = F.element_at(F.split(tail, NAME_BREAK, -1), -1)
+    words = F.filter(F.split(F.regexp_replace(last, r"^[ ,]+|[ ,]+$", ""), r"\s+"), lambda w: w != "")
+    skip = lambda w: w.isin(*LEAD_IN, *GLUE) | w.rlike(LIST_MARK)
+
+    def named(w: Column, v: Column) -> Column:
+        first = F.coalesce(F.array_max(_places(w, lambda x, i: (i < v) & _low(x) & ~F.lower(x).isin(*GLUE))) + 1, F.lit(0))
+        start = let(first, lambda f: F.coalesce(F.array_min(_places(w, lambda x, i: (i >= f) & (i < v) & ~skip(F.lower(x)))), v))
+        return F.when(v > 0, F.nullif(F.array_join(F.slice(w, start + 1, F.size(w)), " "), F.lit("")))
+
+    return let(words, lambda w: let(F.array_min(_places(w, lambda x, i: F.lower(x).isin(*VERSUS))), lambda v: named(w, v)))
+
+
+def name_before(text: Column, end: Column) -> Column:
+    """The case name 'X v Y' that ends right before a place, or null: it reaches back to a sentence break or
+    an earlier citation, and starts after the last ordinary lower-case word, lead-in or list mark."""
+    return let(_tail(text, end, NAME_REACH), _name_in)
+
+
+def before_eklr(text: Column, end: Column) -> Column:
+    """(name, number) for an eKLR citation at a place: a number counts only right before it and with a name."""
+
+    def read(tail: Column) -> Column:
+        has = tail.rlike(TAIL_NUMBER)
+        number = F.concat(F.upper(F.regexp_extract(tail, TAIL_NUMBER, 1)), F.lit(" of "), F.regexp_extract(tail, TAIL_NUMBER, 2))
+        rest = F.when(has, F.regexp_replace(F.regexp_replace(tail, TAIL_NUMBER, ""), KIND_TAIL, "")).otherwise(tail)
+        name = let(F.right(rest, F.lit(NAME_REACH)), _name_in)
+        return let(name, lambda n: F.struct(n.alias("name"), F.when(has & n.isNotNull(), number).alias("number")))
+
+    return let(_tail(text, end, NUMBER_REACH), read)
+
+
+def party_span(text: Column) -> Column:
+    """The 'X v Y' in a question: it ends at a bracketed citation or year, or the first lower-case word after the v."""
+    head = F.get(F.split(text, r"\[|\(\s*(?:19|20)\d\d\s*\)", 2), F.lit(0))
+
+    def cut(words: Column, v: Column) -> Column:
+        end = F.coalesce(F.array_min(_places(words, lambda x, i: (i > v) & _low(x) & ~x.isin(*GLUE))), F.size(words))
+        return F.when(v.isNotNull(), F.nullif(F.regexp_replace(F.array_join(F.slice(words, 1, end), " "), r"[?.,;]+$", ""), F.lit("")))
+
+    words = F.split(F.coalesce(let(F.right(head, F.lit(NAME_REACH)), _name_in), F.lit("")), " ")
+    return let(words, lambda w: let(F.array_min(_places(w, lambda x, i: F.lower(x).isin(*VERSUS))), lambda v: cut(w, v)))
+
+
+def act_key(name: Column) -> Column:
+    """A law's name for a comparison as a whole: without brackets, numbers, years, "the" and "Act"."""
+    return F.regexp_replace(loose_name(name), r"^the\s+|\s+act$", "")
+
+
+def act_id(citation: Column, work: Column) -> Column:
+    """An act's id from 'Cap. N', else from a named work; anything else is an error."""
+    cap = F.nullif(F.regexp_extract(F.coalesce(citation, F.lit("")), r"^Cap\.\s*(\w+)$", 1), F.lit(""))
+    slug = F.element_at(F.split(work, "/"), -1)
+    wrong = F.raise_error(F.concat(F.lit("no Cap. citation or named work for "), work)).cast("string")
+    return F.when(cap.isNotNull(), F.concat(F.lit("ke/act/cap-"), F.lower(cap))).when(~slug.rlike(r"^\d+$"), F.concat(F.lit("ke/act/"), slug)).otherwise(wrong)
+
+
+def judgment_date(said: Column, fallback: Column) -> Column:
+    """A date as judgments write it, else the version's own."""
+    return F.coalesce(F.try_to_date(said, "d MMMM yyyy"), fallback)
+
+
+def listed(text: Column) -> Column:
+    """A comma list as an array; null if nothing is in it."""
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.size(parts) > 0, parts)
+
+
+def unit(vector: Column) -> Column:
+    """A vector at length 1; a zero vector stays."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(x.cast("double")))
+
+
+def without_footers(text: Column) -> Column:
+    """A text without its page footers, blanks collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^\s*Page \d+ of \d+\s*$", " "), r"(?U)\s+", " "))
+
+
+def saved_url(page: Column) -> Column:
+    """The URL of a page saved by hand: from the browser's comment, else from the page's own source link."""
+    said = F.nullif(F.regexp_extract(F.left(page, F.lit(2000)), r"saved from url=\(\d+\)(\S+?)\s*-->", 1), F.lit(""))
+    link = F.nullif(F.regexp_extract(page, r'href="((?:https://new\.kenyalaw\.org)?/akn/[^"]+?/[a-z]{3}@\d{4}-\d{2}-\d{2})/source', 1), F.lit(""))
+    site = F.lit("https://new.kenyalaw.org")
+    return F.coalesce(said, F.when(link.startswith("/"), F.concat(site, link)).otherwise(link))
+
+
+def evidence_window(text: Column, quote: Column, before: int, after: int, tail: int) -> Column:
+    """The text around a quote's place, and the end of the text if that does not reach it."""
+    at = F.when(quote != "", F.position(F.left(quote, F.lit(80)), text)).otherwise(0)
+    start, stop = F.greatest(at - before, F.lit(1)), at - 1 + F.length(quote) + after
+    near = F.when(at > 0, F.substr(text, start, stop - start + 1))
+    end = F.when((at == 0) | (stop < F.length(text) - tail), F.right(text, F.lit(tail)))
+    return F.concat_ws("\n[...]\n", near, end)
+
+
+def _diff(a: str | None, b: str | None) -> list[dict]:
+    """Words of a and b by a longest common subsequence: same, del (only in a) or add (only in b); on ties del."""
+    x, y = (a or "").split(), (b or "").split()
+    kx, ky = ([re.sub(r"[\W_]+", "", w.lower()) for w in z] for z in (x, y))
+    ahead = [[0] * (len(y) + 1)]
+    for k in reversed(kx):
+        row, below = [0] * (len(y) + 1), ahead[-1]
+        for j in range(len(y) - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if k == ky[j] else max(below[j], row[j + 1])
+        ahead.append(row)
+    ahead.reverse()
+    out, i, j = [], 0, 0
+    while i < len(x) or j < len(y):
+        if i < len(x) and j < len(y) and kx[i] == ky[j]:
+            out.append({"word": y[j], "op": "same"})
+            i, j = i + 1, j + 1
+        elif j == len(y) or i < len(x) and ahead[i + 1][j] >= ahead[i][j + 1]:
+            out.append({"word": x[i], "op": "del"})
+            i += 1
+        else:
+            out.append({"word": y[j], "op": "add"})
+            j += 1
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("op", T.StringType())])))
+def word_diff(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([_diff(x, y) for x, y in zip(a, b, strict=True)])
+
+
 class _Page(html.parser.HTMLParser):
     """Title, visible text and links of a page; scripts, styles and navigation are left out."""
 

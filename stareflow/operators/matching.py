@@ -103,12 +103,17 @@ def settled_by_quote(decided: DataFrame, verbatim: DataFrame) -> DataFrame:
 
 
 def quotes_in(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, doc_id) of quotes(item_id, text) of RUN words or more whose words stand in docs(doc_id, text)
-    one after another. A quote's first run finds candidates by an equi-join; their words are compared whole."""
-    q = quotes.select("item_id", words(F.col("text")).alias("q")).where(F.size("q") >= RUN)
-    q = q.select("item_id", F.xxhash64(F.slice("q", 1, RUN)).alias("run"), F.concat(F.lit(" "), F.array_join("q", " "), F.lit(" ")).alias("said"))
+    """(item_id, doc_id) of quotes(item_id, text) whose words stand in docs(doc_id, text) one after another. A quote's
+    first run, or all of it if it is shorter, finds candidates by an equi-join; their words are compared whole.
+    Quotes without words stand nowhere."""
+    q = quotes.select("item_id", words(F.col("text")).alias("q")).withColumn("k", F.least(F.size("q"), F.lit(RUN))).where("k > 0")
+    q = q.select("item_id", "k", F.xxhash64(F.slice("q", 1, F.col("k"))).alias("run"), F.concat(F.lit(" "), F.array_join("q", " "), F.lit(" ")).alias("said"))
     d = docs.select("doc_id", words(F.col("text")).alias("w"))
-    found = d.select("doc_id", F.explode(F.array_distinct(runs(F.col("w")))).alias("run")).join(q.select("item_id", "run"), "run").select("doc_id", "item_id").distinct()
+    lengths = [r.k for r in q.select("k").distinct().collect()]  # RUN rows at most
+    found = None
+    for k in lengths or [RUN]:
+        some = d.select("doc_id", F.explode(F.array_distinct(runs(F.col("w"), k))).alias("run")).join(q.where(F.col("k") == k).select("item_id", "run"), "run").select("doc_id", "item_id").distinct()
+        found = some if found is None else found.unionByName(some)
     whole = d.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("body"))
     return found.join(q.select("item_id", "said"), "item_id").join(whole, "doc_id").where(F.contains("body", "said")).select("item_id", "doc_id")
 
@@ -121,7 +126,8 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def quote_match(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, doc_id, result, similarity) for each quote and document that share a run of words: verbatim,
-    close, or not_found. The place where most runs line up is compared."""
+    close, or not_found. The place where most runs line up is compared. A quote that shares none with any document
+    is not_found, without a doc_id."""
     q = quotes.select("item_id", words(F.col("text")).alias("q"))
     d = docs.select("doc_id", words(F.col("text")).alias("w"))
     qr = q.select("item_id", F.posexplode(runs(F.col("q"))).alias("k", "run"))
@@ -132,7 +138,9 @@ def quote_match(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     passage = F.slice("w", F.greatest(F.col("at"), F.lit(0)) + 1, F.size("q"))
     both = both.withColumn("p", passage).withColumn("similarity", F.when(F.col("p") == F.col("q"), F.lit(1.0)).otherwise(ratio("q", "p")))
     result = F.when(F.col("p") == F.col("q"), "verbatim").when(F.col("similarity") >= CLOSE, "close").otherwise("not_found")
-    return both.select("item_id", "doc_id", result.alias("result"), "similarity")
+    out = both.select("item_id", "doc_id", result.alias("result"), "similarity")
+    nowhere = quotes.select("item_id").distinct().join(votes.select("item_id").distinct(), "item_id", "left_anti")
+    return out.unionByName(nowhere.select("item_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit("not_found").alias("result"), F.lit(None).cast("double").alias("similarity")))
 
 
 def word_ranks(docs: DataFrame, terms: list[str], depth: int = DEPTH) -> DataFrame:

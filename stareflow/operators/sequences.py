@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from stareflow.functions.text import PLACEHOLDER, plain_heading
 from stareflow.operators.matching import ratio
+from stareflow.operators.staging import staged
 
 #: Ratio from which two headings are the same up to small slips.
 SAME_HEADING = 0.9
@@ -66,11 +67,13 @@ def chains(links: DataFrame) -> DataFrame:
 
     Every id has one older id at most, so chains are paths; each round doubles how far back an id sees.
     """
+    links = staged(links)
     back = links.select(F.col("new_id").alias("provision_id"), F.col("old_id").alias("chain"), F.lit(1).alias("pos"))
     heads = links.select(F.col("old_id").alias("provision_id")).join(links.select(F.col("new_id").alias("provision_id")), "provision_id", "left_anti")
     while back.join(back.select(F.col("provision_id").alias("chain")), "chain", "left_semi").limit(1).count():
         on = back.select(F.col("provision_id").alias("chain"), F.col("chain").alias("_c"), F.col("pos").alias("_p"))
-        back = back.join(on, "chain", "left").select("provision_id", F.coalesce("_c", "chain").alias("chain"), (F.col("pos") + F.coalesce("_p", F.lit(0))).alias("pos")).cache()
+        back = back.join(on, "chain", "left").select("provision_id", F.coalesce("_c", "chain").alias("chain"), (F.col("pos") + F.coalesce("_p", F.lit(0))).alias("pos"))
+        back = staged(back)
     return back.union(heads.select("provision_id", F.col("provision_id").alias("chain"), F.lit(0).alias("pos")))
 
 
@@ -144,9 +147,19 @@ def rate_limited(calls: DataFrame, rate: int = 60, window: float = 60.0) -> Data
 
 
 def both_limits(calls: DataFrame, rate: int, everyone: int, window: float = 60.0) -> DataFrame:
-    """rate_limited() for each key, then for all keys together over the calls that passed their own."""
-    own = rate_limited(calls, rate, window)
-    total = rate_limited(own.where("allowed").select(F.lit("*").alias("key"), "at", "id"), everyone, window).select("id", F.col("allowed").alias("_all"))
+    """rate_limited() for each key, then for all keys together over the calls that passed their own.
+
+    Time is cut into slices as long as the window. Calls on either side of an empty slice can't count against each
+    other, so each stretch of slices with calls is judged by itself. The slices, not the calls, are put in one order:
+    as many as the whole time holds windows. A stretch without a gap is one stream by nature and goes through one task.
+    """
+    own = staged(rate_limited(calls, rate, window))
+    passed = own.where("allowed").withColumn("slice", F.floor(F.col("at") / window))
+    slices = passed.select("slice").distinct()
+    time = Window.orderBy("slice")
+    opens = slices.withColumn("opens", (F.col("slice") - F.lag("slice").over(time) > 1).cast("int"))
+    stretch = opens.select("slice", F.coalesce(F.sum("opens").over(time.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).cast("string").alias("key"))
+    total = rate_limited(passed.drop("key").join(stretch, "slice"), everyone, window).select("id", F.col("allowed").alias("_all"))
     return own.join(total, "id", "left").select("key", "at", "id", F.coalesce("_all", F.lit(False)).alias("allowed"))
 
 

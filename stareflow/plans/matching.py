@@ -35,9 +35,8 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies inside blocks of one language, source and rough length."""
-    docs = read(spark, sf_dir, "documents").withColumn("bucket", F.floor(F.col("n_chars") / 400))
-    return mt.copies(docs, ["lang", "source", "bucket"], "doc_id", "text").select("doc_id", "canonical", F.round("overlap", 6).alias("overlap"))
+    """Copies of the longest text among those of one language and source, as records of one case are compared."""
+    return mt.copies(read(spark, sf_dir, "documents"), ["lang", "source"], "doc_id", "text").select("doc_id", "canonical", F.round("overlap", 6).alias("overlap"))
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +48,7 @@ def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def idf_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cited names, some with a case number, linked to titles of their year."""
     titles = _titles(spark, sf_dir)
-    cited = titles.where("title_id % 7 = 0").select(
+    cited = titles.select(
         F.col("title_id").alias("cite_id"), "year", F.when(F.col("title_id") % 3 == 0, F.slice("words", 1, 1)).otherwise(F.concat("words", F.array(F.lit("zzz")))).alias("words"), "number"
     )
     return mt.name_match(cited, titles).select("cite_id", "result", "basis", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
@@ -91,14 +90,14 @@ ORACLE_SQL = {
         FROM (SELECT * FROM fts UNION ALL SELECT * FROM sem) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""",
     "word_search": f"WITH {_FTS} SELECT * FROM fts",
     "vector_search": f"WITH {_SEM} SELECT * FROM sem",
-    "near_dupes": f"""WITH d AS (SELECT doc_id, lang, source, n_chars // 400 AS bucket, {_WORDS} AS w FROM documents),
-        r AS (SELECT doc_id, lang, source, bucket, len(w) AS n, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS r FROM d),
-        k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY lang, source, bucket ORDER BY n DESC, doc_id DESC) AS canonical FROM r)
+    "near_dupes": f"""WITH d AS (SELECT doc_id, lang, source, {_WORDS} AS w FROM documents),
+        r AS (SELECT doc_id, lang, source, len(w) AS n, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS r FROM d),
+        k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY lang, source ORDER BY n DESC, doc_id DESC) AS canonical FROM r)
         SELECT doc_id, canonical, overlap FROM (SELECT a.doc_id, a.canonical, round(CAST(len(list_intersect(a.r, b.r)) AS DOUBLE) / greatest(1, least(len(a.r), len(b.r))), 6) AS overlap,
           CAST(len(list_intersect(a.r, b.r)) AS DOUBLE) / greatest(1, least(len(a.r), len(b.r))) AS exact
         FROM k a JOIN k b ON a.canonical = b.doc_id WHERE a.doc_id <> a.canonical) WHERE exact >= 0.7""",
     "idf_name_match": f"""WITH {_TITLES},
-        cited AS (SELECT title_id AS cite_id, year, CASE WHEN title_id % 3 = 0 THEN words[1:1] ELSE list_append(words, 'zzz') END AS words, number FROM titles WHERE title_id % 7 = 0),
+        cited AS (SELECT title_id AS cite_id, year, CASE WHEN title_id % 3 = 0 THEN words[1:1] ELSE list_append(words, 'zzz') END AS words, number FROM titles),
         tw AS (SELECT DISTINCT title_id, year, unnest(words) AS word FROM titles),
         idf AS (SELECT word, ln(CAST((SELECT count(*) FROM titles) AS DOUBLE) / count(*)) AS idf FROM tw GROUP BY 1),
         cw AS (SELECT DISTINCT cite_id, year, unnest(words) AS word FROM cited),
@@ -122,5 +121,5 @@ ORACLE_SQL = {
         SELECT * FROM h WHERE hits >= 2 AND (hits = 3 OR (SELECT max(hits) FROM h) < 3) ORDER BY hits DESC, title_id LIMIT 5""",
     "quote_verbatim": f"""WITH q AS (SELECT item_id, ' ' || array_to_string({_WORDS}, ' ') || ' ' AS said, len({_WORDS}) AS n FROM benchmark),
         d AS (SELECT doc_id, ' ' || array_to_string({_WORDS}, ' ') || ' ' AS body FROM documents)
-        SELECT item_id, doc_id FROM q JOIN d ON contains(body, said) WHERE n >= 5""",
+        SELECT item_id, doc_id FROM q JOIN d ON contains(body, said) WHERE n >= 1""",
 }

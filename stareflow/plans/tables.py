@@ -10,10 +10,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rulings on sections: the event log, a section for each user modulo 50.
+#: Rulings on sections: the event log, a section for each user modulo 5003.
 EVENTS_SQL = """
 ev0 AS (
-  SELECT event_id, user_id % 50 AS provision_id, user_id AS judgment_id, value, props,
+  SELECT event_id, user_id % 5003 AS provision_id, user_id AS judgment_id, value, props,
     CASE WHEN event_type = 'error' AND event_id % 97 = 0 THEN 'repealed_by_statute'
       WHEN event_type = 'purchase' AND event_id % 7 = 0 THEN 'amended_by_statute'
       WHEN event_type = 'error' THEN 'declared_unconstitutional' WHEN event_type = 'purchase' THEN 'read_down'
@@ -37,8 +37,7 @@ ev0 AS (
 
 def section_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log of sections, as EVENTS_SQL has it."""
-    read(spark, sf_dir, "events").createOrReplaceTempView("events")
-    return spark.sql(f"WITH {EVENTS_SQL.format(text='STRING')} SELECT * FROM ev")
+    return spark.sql(f"WITH {EVENTS_SQL.format(text='STRING').replace('FROM events', 'FROM {events}')} SELECT * FROM ev", events=read(spark, sf_dir, "events"))
 
 
 #: Mentions of provisions in judgments: a line item cites a part in an order.

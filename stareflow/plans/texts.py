@@ -55,10 +55,10 @@ def excerpt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a reader of rulings reads of each document: merged spans of head, tail and around its licences."""
+    """What a reader of rulings reads of each document: merged spans of head, tail and around all its licences."""
     docs = read(spark, sf_dir, "documents")
     n = F.length("text")
-    spots = F.when(F.col("text").contains("icense"), F.array(F.position(F.lit("icense"), "text") - 1)).otherwise(F.array().cast("array<int>"))
+    spots = F.transform(tx.found_at(F.col("text"), "icense"), lambda s: s["start"])
     spans = docs.select("doc_id", F.explode(seq.excerpt_spans(n, spots)).alias("s")).select("doc_id", "s.start", "s.end")
     return seq.merged_intervals(spans, ["doc_id"], "start", "end")
 
@@ -133,11 +133,12 @@ def html_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known-path links of pages that are not themselves fetched, each with the least depth at which it is found."""
+    """All links of pages to URLs that are not pages themselves: the first page that has it, and how many do."""
     pages = read(spark, sf_dir, "pages")
-    links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="(/[A-Za-z]+)"'), F.lit(1))).alias("path"))
-    known = pages.where("page_id % 10 = 0").select(F.explode(F.regexp_extract_all("html", F.lit('<a href="(/[A-Za-z]+)"'), F.lit(1))).alias("path")).distinct()
-    return links.join(known, "path", "left_anti").groupBy("path").agg(F.min("page_id").alias("found_at"), F.count("*").alias("n"))
+    links = pages.select("page_id", F.explode(tx.page_links(F.col("html"))).alias("link"), F.col("url").alias("base"))
+    links = links.select("page_id", tx.resolved(F.col("link"), F.col("base")).alias("url")).where("url IS NOT NULL")
+    known = pages.select(tx.resolved(F.col("url"), F.col("url")).alias("url")).distinct()
+    return links.join(known, "url", "left_anti").groupBy("url").agg(F.min("page_id").alias("found_at"), F.count_distinct("page_id").alias("n"))
 
 
 def headings_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +182,7 @@ ORACLE_SQL = {
         i AS (SELECT *, sum(opens) OVER (PARTITION BY l_partkey ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM o)
         SELECT l_partkey, min(a) AS start, max(b) AS "end", count(*) AS n FROM i GROUP BY l_partkey, island""",
     "excerpts": """WITH s AS (SELECT doc_id, 0 AS a, 2000 AS b FROM documents UNION ALL SELECT doc_id, greatest(length(text) - 12000, 0), length(text) FROM documents
-          UNION ALL SELECT doc_id, greatest(position('icense' IN text) - 1 - 1500, 0), position('icense' IN text) - 1 + 1500 FROM documents WHERE contains(text, 'icense')),
+          UNION ALL SELECT doc_id, greatest(spot - 1500, 0), spot + 1500 FROM (SELECT doc_id, unnest(list_transform(range(1, len(p)), lambda i: CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + 6 * (i - 1) AS INT))) AS spot FROM (SELECT doc_id, string_split(text, 'icense') AS p FROM documents))),
         o AS (SELECT *, CASE WHEN a > coalesce(max(b) OVER w, a - 1) THEN 1 ELSE 0 END AS opens FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         i AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM o)
         SELECT doc_id, CAST(min(a) AS INT) AS start, CAST(max(b) AS INT) AS "end", count(*) AS n FROM i GROUP BY doc_id, island""",
@@ -199,8 +200,6 @@ ORACLE_SQL = {
         CAST(2 + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS removed FROM orders""",
     "history_turns": """SELECT conv_id, count(*) AS n_turns, arg_min(text, turn) AS opening, arg_max(role, turn) AS closing FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1""",
     "clean_url": r"""SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN regexp_replace(regexp_replace(regexp_replace(url, '([?&])utm_[^&#]*', '\1', 'g'), '([?&])&+', '\1', 'g'), '[?&]+(#|$)', '\1') END AS url FROM pages""",
-    "link_discovery": """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="(/[A-Za-z]+)"', 1)) AS path FROM pages)
-        SELECT path, min(page_id) AS found_at, count(*) AS n FROM l WHERE path NOT IN (SELECT path FROM l WHERE page_id % 10 = 0) GROUP BY 1""",
     "headings_split": """SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN (p_partkey % 300) || 'A' END AS number, p_name AS heading, p_size || 'B of 2016' AS case_number,
         CASE WHEN p_size % 2 = 0 THEN 'checked by a person' ELSE 'checked by an AI reviewer' END AS checked FROM part""",
     "trigger_candidates": "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 2",

@@ -156,3 +156,39 @@ def answer_scores(answers: DataFrame) -> DataFrame:
         F.exists("expected", lambda x: F.array_contains(F.col("refs"), x)).alias("sections_found"),
         (F.size(F.array_except("key_events", "refs")) == 0).alias("rulings_found"),
     )
+
+
+def planted_quotes(docs: DataFrame, length: int, seed: int = 2026) -> DataFrame:
+    """(judgment_id, kind, quote): from each of docs(judgment_id, text) a passage of so many words as it stands
+    (control), and the same with a word dropped, swapped or put in; places are chosen by a seeded hash. Texts with fewer
+    than two words more are left out."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    rows = docs.select("judgment_id", words.alias("w")).where(F.size("w") >= length + 2)
+    start = F.pmod(F.xxhash64(F.lit(seed), "judgment_id"), F.size("w") - length - 1).cast("int") + 1
+    at = F.pmod(F.xxhash64(F.lit(seed + 1), "judgment_id"), F.lit(length - 4)).cast("int") + 3
+    rows = rows.select("judgment_id", F.slice("w", start, length).alias("p"), at.alias("at"))
+    head, rest = F.slice("p", 1, F.col("at") - 1), F.slice("p", F.col("at") + 1, length)
+    same = F.slice("p", F.col("at"), 1)
+    kinds = [("control", F.col("p")), ("drop a word", F.concat(head, rest)), ("swap a word", F.concat(head, F.array(F.lit("swappedword")), rest)), ("insert a word", F.concat(head, F.array(F.lit("insertedword")), same, rest))]
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.array_join(q, " ").alias("quote")) for k, q in kinds)))
+    return rows.select("judgment_id", each.alias("x")).select("judgment_id", "x.kind", "x.quote")
+
+
+def filing_sample(docs: DataFrame, used: DataFrame, sets: int, per_set: int, seed: int = 7) -> DataFrame:
+    """(judgment_id, set_no): sets of per_set judgments that cite two cases or more and that no earlier set used, in
+    the order of a seeded hash."""
+    cites = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\[(\d{4})\]\s*eKLR"), F.lit(0))) >= 2
+    pool = docs.where(cites).select("judgment_id").join(used, "judgment_id", "left_anti").withColumn("h", F.xxhash64(F.lit(seed), "judgment_id"))
+    top = pool.orderBy("h", "judgment_id").limit(sets * per_set)  # then the window sees the sample only
+    place = F.row_number().over(Window.orderBy("h", "judgment_id")) - 1
+    return top.select("judgment_id", F.floor(place / per_set).cast("int").alias("set_no"))
+
+
+def answers_by_place(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """gold(filing_id, char_start, gold) with verdict: right, wrong or missed by what was found(filing_id, char_start,
+    result, judgment_id) at the same place. gold names alternatives, or not_held where nothing should be found."""
+    f = found.where("result = 'found'").select("filing_id", "char_start", F.col("judgment_id").alias("_id"))
+    out = gold.join(f, ["filing_id", "char_start"], "left")
+    held = F.col("gold") != "not_held"
+    verdict = F.when(F.col("_id").isNull(), F.when(held, "missed").otherwise("right")).when(held & is_right(F.col("_id"), F.col("gold")), "right").otherwise("wrong")
+    return out.select("filing_id", "char_start", "gold", verdict.alias("verdict"))

@@ -76,8 +76,8 @@ def find_titles(asked: DataFrame, titles: DataFrame) -> DataFrame:
     """(ask_id, title_id, hits, confirmed, year_mismatch) for asked(ask_id, name): the first TITLES_MOST of titles(
     title_id, title, year) that hold all asked words, or where none does and three or more are asked, all but one.
 
-    Filters narrow the titles that hold all words until one is left: the span 'X v Y' as the title's beginning, then the
-    year in brackets. The only title left is confirmed; if its year is another, it is a year mismatch instead. Words
+    Filters narrow the titles that hold all words until one is left: every word of the span 'X v Y', the span as the
+    title's beginning, then the year in brackets. The only title left is confirmed; if its year is another, it is a year mismatch instead. Words
     find titles by an equi-join.
     """
     span = tx.party_span(F.col("name"))
@@ -91,9 +91,11 @@ def find_titles(asked: DataFrame, titles: DataFrame) -> DataFrame:
     after = F.substr(low, F.length("span") + 1, F.lit(3))
     as_span = F.col("span").isNull() | (low.startswith(F.col("span")) & ((after == "") | (after == " v ") | after.rlike(r"^(\(|\[| &| \(| \[)")))
     full = F.col("hits") == F.col("n")
+    every = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(rf"\b{TITLE_WORD}\b"), F.lit(0))
+    spanned = F.size(F.array_except(every(F.col("span")), every(low))) == 0
     in_year = F.col("year") == F.col("asked_year")
     each = Window.partitionBy("ask_id")
-    hit = hit.withColumns({"f1": full, "f2": full & as_span, "f3": full & as_span & F.coalesce(in_year, F.lit(False))})
+    hit = hit.withColumns({"f1": full & spanned, "f2": full & spanned & as_span, "f3": full & spanned & as_span & F.coalesce(in_year, F.lit(False))})
     hit = hit.withColumns({f"n{i}": F.count_if(f"f{i}").over(each) for i in (1, 2, 3)})
     # The first filter that leaves one decides; one that leaves none ends the search.
     one = F.when(F.col("n1") == 1, F.col("f1")).when(F.col("n2") == 1, F.col("f2")).when((F.col("n2") > 1) & F.col("asked_year").isNotNull() & (F.col("n3") == 1), F.col("f3")).otherwise(False)

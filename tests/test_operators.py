@@ -1,0 +1,342 @@
+"""Grammar, names, quotes, limits and loaders on small hand-made cases."""
+
+import difflib
+import html.parser
+import json
+import random
+import re
+from urllib.parse import urldefrag, urljoin
+
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from stareflow.functions import citations as cit
+from stareflow.functions import text as tx
+from stareflow.operators import evaluation as ev
+from stareflow.operators import filing as fi
+from stareflow.operators import matching as mt
+from stareflow.operators import rulings as ru
+from stareflow.operators import sequences as seq
+from stareflow.operators import status as st
+from stareflow.operators import views as vw
+from stareflow.sources import readers
+from stareflow.streaming import limits
+
+
+def one(spark, *columns, **values):
+    """The columns on one row of named strings."""
+    df = spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items()))
+    row = df.select(*(c.alias(f"c{i}") for i, c in enumerate(columns))).first()
+    return row[0] if len(columns) == 1 else tuple(row)
+
+
+CITED = [
+    ("Section 8(2) and (3) of the Sexual Offences Act", [("8(2)and(3)", "cap-63a", 0.95)]),
+    ("Sections 3, 4 and 5 of the Penal Code apply", [("3", "cap-63", 0.95), ("4", "cap-63", 0.95), ("5", "cap-63", 0.95)]),
+    ("see s. 204 as read with s. 203 of the Penal Code.", [("204", "cap-63", 0.95), ("203", "cap-63", 0.95)]),
+    ("Articles 27, 28 and section 162 of the Penal Code", [("27", "constitution", 0.85), ("28", "constitution", 0.85), ("162", "cap-63", 0.95)]),
+    ("under section 12 of the CPC it lies", [("12", "cap-75", 0.9)]),
+    ("section 3 of the XYZ is new", [("3", None, 0.5)]),
+    ("section 77 of the former Constitution", [("77", None, 0.95)]),
+    ("section 77 of the Constitution", [("77", None, 0.8)]),
+    ("Article 50 of the Constitution of Kenya, 2010", [("50", "constitution", 0.95)]),
+    ("Penal Code section 204 says so", [("204", "cap-63", 0.95)]),
+    ("section 5 of Cap. 999 and more", [("5", None, 0.9)]),
+    ("sections 8 to 11 of the Evidence Act", [(str(n), "cap-80", 0.95) for n in range(8, 12)]),
+    ("sections 8 to 99 of the Evidence Act", [("8", "cap-80", 0.95), ("99", "cap-80", 0.95)]),
+    ("section 9 alone", [("9", None, 0.0)]),
+    ("the Evidence Act was read. Section 4 of the Act then", [("4", "cap-80", 0.6)]),
+    ("no law here, page 7", []),
+]
+
+
+def test_citation_grammar(spark):
+    rows = [(i, t, None) for i, (t, _) in enumerate(CITED)] + [(99, None, None), (98, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, decision_date date")
+    got = {}
+    for r in cit.mentions(docs).orderBy("doc_id", "char_start", "pos").collect():
+        got.setdefault(r.doc_id, []).append((r.section_ref, r.act_slug, r.confidence))
+    for i, (text, want) in enumerate(CITED):
+        assert got.get(i, []) == want, text
+    assert not {98, 99} & set(got)
+
+
+def test_paragraph_styles(spark):
+    bracket = " ".join(f"[{n}] The point {n} is section {n} of the Penal Code." for n in range(1, 8))
+    dots = "1. First. 2. Then section 9 of the Penal Code. 4. Last, section 10 of the Penal Code."
+    docs = spark.createDataFrame([(1, bracket, None), (2, dots, None)], "doc_id long, text string, decision_date date")
+    got = {(r.doc_id, r.section_ref): r.paragraph for r in cit.mentions(docs).collect()}
+    assert got == {(1, str(n)): str(n) for n in range(1, 8)} | {(2, "9"): "2", (2, "10"): "4"}
+
+
+def test_case_names_before_a_citation(spark):
+    cases = [
+        ("It was held. In Muruatetu & another v Republic ", "Muruatetu & another v Republic"),
+        ("the Court in Okuta v Attorney General, ", "Okuta v Attorney General"),
+        ("cited [1983] KLR 445 in JAC v PW ", "JAC v PW"),
+        ("(v) See also Mwangi vs. Kamau ", "Mwangi vs. Kamau"),
+        ("no name at all ", None),
+        ("v Republic ", None),
+    ]
+    for text, want in cases:
+        assert one(spark, tx.name_before(F.col("t"), F.length("t")), t=text) == want, text
+    tails = [("Okuta v AG (Petition No. 397 of 2016) ", ("Okuta v AG", "397 of 2016")), ("Munene v Speaker, S.C. Petition No. 10 of 2013; ", ("Munene v Speaker", "10 of 2013")), ("(Petition No. 3 of 2011) ", (None, None))]
+    for text, want in tails:
+        assert tuple(one(spark, tx.before_eklr(F.col("t"), F.length("t")), t=text)) == want, text
+    assert one(spark, tx.party_span(F.lit("What was held in Okuta v Attorney General [2017] eKLR on defamation?"))) == "Okuta v Attorney General"
+    assert one(spark, tx.names_agree(F.lit("Okuta v Republic"), F.lit("Okuta v AG"))) and not one(spark, tx.names_agree(F.lit("Okuta v R"), F.lit("Mwangi v R")))
+
+
+def test_quotes_go_to_the_nearest_citation_of_their_paragraph(spark):
+    q = "a b c d e f g h"
+    text = f'A v B [2017] KESC 1 (KLR) said "{q} one" and C v D [2018] KESC 2 (KLR) "{q} two" and "too short".\n\n"{q} three"\n\nE v F [2019] eKLR “{q} four”'
+    filings = spark.createDataFrame([(1, text), (2, None)], "filing_id long, text string")
+    cases = fi.cited_cases(filings)
+    assert [(r.form, r.name) for r in cases.orderBy("case_no").collect()] == [("neutral", "A v B"), ("neutral", "C v D"), ("eklr", "E v F")]
+    got = {r.quote[-5:].split()[-1]: r.case_no for r in fi.quotes_given(filings, cases).collect()}
+    assert got == {"one": 0, "two": 1, "four": 2}
+
+
+def test_quotes_are_checked_by_parts_and_budget(spark):
+    body = "the court finds that the minimum sentence is not to be read as mandatory in every case before it"
+    docs = spark.createDataFrame([(7, body, True, [1]), (8, None, True, []), (9, body, False, [])], "judgment_id long, text string, has_full_text boolean, ocr_pages array<int>")
+    said = ["the court finds ... sentence is not to be read", "sentence is not ... the court finds that the minimum", "that the minimum sentence is NOT to be read as — mandatory!", "that the minimum sentence is never to be read as mandatory in every", "nothing of this kind stands anywhere in that text at all", "x"]
+    quotes = spark.createDataFrame([(1, i, 0, t) for i, t in enumerate(said)] + [(2, 0, 0, said[0]), (3, 0, 0, said[0])], "filing_id long, quote_no int, case_no int, quote string")
+    found = spark.createDataFrame([(1, 0, 7), (2, 0, 8), (3, 0, 9)], "filing_id long, case_no int, judgment_id long")
+    got = {(r.filing_id, r.quote_no): (r.result, r.ocr) for r in fi.checked_quotes(quotes, found, docs, most=5).collect()}
+    assert [got[1, i][0] for i in range(6)] == ["verbatim", "not_found", "verbatim", "close", "not_found", "not_checked"]
+    assert got[2, 0] == got[3, 0] == ("not_checked", False) and got[1, 0][1]
+
+
+def test_only_what_the_model_wrote_is_judged(spark):
+    findings = spark.createDataFrame([(1, 5, "case", "found"), (1, 25, "case", "not_in_collection"), (1, 45, "section", "not_covered")], "filing_id long, char_start int, kind string, result string")
+    parts = spark.createDataFrame([(1, 0, 20, "text"), (1, 20, 40, "case"), (1, 40, 60, "text")], "filing_id long, start int, end int, kind string")
+    assert sorted(map(tuple, fi.draft_flags(findings, parts).collect())) == [(1, 5, "case", "found", False), (1, 45, "section", "not_covered", True)]
+
+
+def test_titles_are_confirmed_only_alone(spark):
+    titles = spark.createDataFrame([(1, "Okuta v Attorney General [2017] eKLR", 2017), (2, "Mwangi v Republic [2010] eKLR", 2010), (3, "Mwangi v Republic [2012] eKLR", 2012), (4, "Mwangi Kamau v Otieno & 2 others [2015] eKLR", 2015)], "title_id long, title string, year int")
+    asked = spark.createDataFrame([(1, "Okuta"), (2, "Mwangi"), (3, "Mwangi v Republic [2012] eKLR"), (4, "Okuta v Attorney General (2019)"), (5, "kamau otieno nosuchname"), (6, "of the")], "ask_id long, name string")
+    got = {}
+    for r in vw.find_titles(asked, titles).collect():
+        got.setdefault(r.ask_id, set()).add((r.title_id, r.confirmed, r.year_mismatch))
+    assert got == {1: {(1, True, False)}, 2: {(2, False, False), (3, False, False), (4, False, False)}, 3: {(2, False, False), (3, True, False), (4, False, False)}, 4: {(1, False, True)}, 5: {(4, False, False)}}
+    cited = spark.createDataFrame([(2, 4)], "ask_id long, judgment_id long")
+    events = spark.createDataFrame([(1, True), (4, True), (4, False)], "judgment_id long, verified boolean")
+    found = {r.ask_id: (r.judgment_ids, r.ambiguous, r.n_events) for r in vw.find_cases(cited, vw.find_titles(asked, titles), events).collect()}
+    assert found == {1: ([1], False, 1), 2: ([4], False, 1), 3: ([3], False, 0), 4: ([], False, 0), 5: ([], False, 0)}
+
+
+def test_answers_are_applied_to_open_mentions_only(spark):
+    m = spark.createDataFrame([(1, 1, 0, 5, "204", None, None, "regex"), (2, 1, 9, 12, "5", "Evidence Act", None, "regex"), (3, 1, 20, 25, "6", "the Act", None, "regex"), (4, 1, 30, 35, "7", None, None, "regex")], "mention_id long, judgment_id long, char_start int, char_end int, section_ref string, act_ref string, decision_date date, method string")
+    a = spark.createDataFrame([(1, 0, 5, "Penal Code", "high"), (1, 9, 12, "Penal Code", "high"), (1, 20, 25, "unknown", "low")], "judgment_id long, char_start int, char_end int, law string, level string")
+    held = spark.createDataFrame([("cap-63", "204", "sec_204", "p204")], "act_slug string, number string, eid string, provision_id string")
+    got = {r.mention_id: (r.outcome, r.act_ref, r.provision_id, r.confidence, r.method) for r in ru.apply_answers(m, a, held).collect()}
+    assert got == {1: ("applied", "Penal Code", "p204", 0.8, "llm"), 2: ("kept", "Evidence Act", None, None, "regex"), 3: ("unknown", "the Act", None, None, "regex"), 4: ("kept", None, None, None, "regex")}
+    laws = F.array(F.lit("Penal Code"), F.lit("Evidence Act"))
+    assert one(spark, *(ru.allowed_law(F.lit(x), laws) for x in ("Penal Code", "the  penal code, 1930", "Zoning Act", "unknown"))) == ("Penal Code", "Penal Code", None, "unknown")
+
+
+def test_named_laws_windows_and_relinking(spark):
+    m = spark.createDataFrame([(1, 1, 1000 + i, 1005 + i, "9", None if i % 2 else "Penal Code", "regex", None, "3") for i in range(60)] + [(99, 1, 5, 8, "204", "the Penal Code", "regex", None, None)], "mention_id long, judgment_id long, char_start int, char_end int, section_ref string, act_ref string, method string, provision_id string, paragraph string")
+    assert ru.named_laws(m).first().laws == ["Constitution (repealed)", "Constitution of Kenya", "Penal Code", "the Penal Code"]
+    w = ru.windows(m, spark.createDataFrame([(1, "x" * 3000)], "judgment_id long, text string")).collect()
+    assert len(w) == 30 and sorted(r.chunk for r in w) == [0] * 25 + [1] * 5 and all(len(r.window) == r.char_end + 150 - (r.char_start - 900) for r in w)
+    held = spark.createDataFrame([("cap-63", "204", "sec_204", "p204")], "act_slug string, number string, eid string, provision_id string")
+    rows = m.withColumn("decision_date", F.lit(None).cast("date"))
+    assert [tuple(r) for r in ru.relinked(rows.where("mention_id = 99"), held).collect()] == [(99, "Penal Code", "p204")]
+    texts = spark.createDataFrame([(1, "1. One. 2. Two section 3. 3. Three.")], "judgment_id long, text string")
+    stored = spark.createDataFrame([(1, 1, 9, "2"), (2, 1, 14, None), (3, 1, 30, "9")], "mention_id long, judgment_id long, char_start int, paragraph string")
+    assert sorted(map(tuple, ru.changed_paragraphs(stored, texts).collect())) == [(2, "2"), (3, "3")]
+
+
+def test_answers_are_valid_by_whole_or_short_label(spark):
+    labels = spark.createDataFrame([(1, "s. 1 (murder)", "p1"), (1, "s. 2 (a)", "p2"), (1, "s. 2 (b)", "p3")], "judgment_id long, label string, provision_id string")
+    a = spark.createDataFrame([(1, "s. 1", "upheld", "total", "high", "q"), (1, "s. 2", "upheld", "total", "high", "q"), (1, "s. 2 (b)", "upheld", "partial", "low", "q"), (1, "s. 1", "nonsense", "total", "high", "q"), (1, "s. 1", "upheld", "total", "high", None)], "judgment_id long, section string, event_type string, scope string, confidence string, quote string")
+    got = sorted((r.section, r.event_type, r.provision_id or "", r.problem or "") for r in ru.valid_answers(a, labels, ["upheld"]).collect())
+    assert got == sorted([("s. 1", "upheld", "p1", ""), ("s. 2", "upheld", "", "invalid_answer"), ("s. 2 (b)", "upheld", "p3", ""), ("s. 1", "nonsense", "p1", "invalid_answer"), ("s. 1", "upheld", "p1", "invalid_answer")])
+
+
+def test_readers(spark, tmp_path):
+    doc = {"work": "/akn/ke/judgment/kesc/2017/2", "title": "A v B", "expression_date": "2017-12-14", "metadata": {"Citation": "[2017] KESC 2 (KLR)", "Judges": "X, Y ,", "Judgment date": "14 December 2017"}, "text": "One\nPage 1 of 2\n two", "ocr_pages": [3]}
+    (tmp_path / "a.json").write_text(json.dumps(doc, indent=1))
+    (tmp_path / "b.json").write_text(json.dumps({"work": "/akn/ke/judgment/x", "expression_date": "2001-01-01", "metadata": {"Judgment date": "soon"}}))
+    rows = {r.judgment_id: r for r in readers.judgment_records(readers.documents(spark, str(tmp_path / "*.json"))).collect()}
+    a, b = rows["ke/judgment/kesc/2017/2"], rows["ke/judgment/x"]
+    assert (str(a.decision_date), a.judges, a.text, a.has_ocr, a.citation) == ("2017-12-14", ["X", "Y"], "One two", True, "[2017] KESC 2 (KLR)")
+    assert (str(b.decision_date), b.judges, b.text, b.has_ocr) == ("2001-01-01", None, "", False)
+    (tmp_path / "key.csv").write_text('event_key,judgment_id,provision_id,event_type,scope,scope_text,quote,affects_event\nE1,j,p,upheld,total,,"said ""so""\nand more",\n')
+    key = readers.answer_key(spark, str(tmp_path / "key.csv")).collect()
+    assert len(key) == 1 and key[0].quote == 'said "so"\nand more' and key[0].scope_text is None
+    lines = ["20200101 http://x.org:80/a text/html 200", "20210101 https://x.org/a application/pdf 200", "20210101 https://x.org/a application/pdf 200", "20190101 https://x.org/a application/pdf 200", "bad"]
+    caps = readers.captures(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert caps.count() == 3
+    assert [tuple(r) for r in readers.best_capture(caps, ["application/pdf", "text/html"]).select("original", "timestamp").collect()] == [("https://x.org/a", "20210101")]
+    pages = ["<!-- saved from url=(0042)https://new.kenyalaw.org/akn/x -->", '<a href="/akn/ke/act/1/eng@2020-01-02/source">s</a>', "none"]
+    assert [one(spark, tx.saved_url(F.col("t")), t=p) for p in pages] == ["https://new.kenyalaw.org/akn/x", "https://new.kenyalaw.org/akn/ke/act/1/eng@2020-01-02", None]
+
+
+def test_frontier(spark):
+    rows = spark.createDataFrame([("u1", "act", 2, "a"), ("u1", "act", 1, "b"), ("u2", "x", 3, "c")], "url string, kind string, depth int, source string")
+    assert {(r.url, r.depth, r.source) for r in readers.frontier(rows).collect()} == {("u1", 1, "b"), ("u2", 3, "c")}
+    q = spark.createDataFrame([(1, "a", 2, None, "pending"), (2, "b", 1, 50, "pending"), (3, "c", 1, 200, "pending"), (4, "d", 1, None, "done")], "id long, url string, depth int, not_before int, status string")
+    assert readers.next_pending(q, F.lit(100)).first().id == 2 and readers.next_pending(q, F.lit(100), 1, 2).first().id == 1
+
+
+def test_links_resolve_as_a_browser_does(spark, sf):
+    class Links(html.parser.HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag == "a" and dict(attrs).get("href") is not None:
+                found.append(dict(attrs)["href"])
+
+    pages = pq.read_table(f"{sf}/pages.parquet").to_pylist()
+    seen = {}
+    for p in pages:
+        found = []
+        Links().feed(p["html"] or "")
+        for link in found:
+            url = urldefrag(urljoin(p["url"], link))[0]
+            if url.startswith("http"):
+                seen.setdefault(url, set()).add(p["page_id"])
+    own = {urldefrag(p["url"])[0] for p in pages}
+    from stareflow.plans.texts import link_discovery
+
+    got = {r.url: (r.found_at, r.n) for r in link_discovery(spark, sf).collect()}
+    assert got == {u: (min(s), len(s)) for u, s in seen.items() if u not in own}
+    base = "https://h.org/a/b.html?q=1"
+    for link in ("c", "/d", "?x=2", "#top", "//o.org/z", "https://p.org", "mailto:x@y", "./e"):
+        want = urldefrag(urljoin(base, link))[0]
+        want = None if link.startswith("mailto") else "https://p.org/" if link == "https://p.org" else want
+        assert one(spark, tx.resolved(F.lit(link), F.lit(base))) == want, link
+
+
+def brute_limits(calls, rate, everyone, window):
+    out, own, total = {}, {}, []
+    for key, at, i in sorted(calls, key=lambda c: (c[1], c[2])):
+        mine = own[key] = [t for t in own.get(key, []) if at - t <= window]
+        ok = len(mine) < rate
+        if ok:
+            mine.append(at)
+            total = [t for t in total if at - t <= window]
+            ok = len(total) < everyone
+            if ok:
+                total.append(at)
+        out[i] = ok
+    return out
+
+
+def test_both_limits_match_one_stream(spark):
+    rng = random.Random(2)
+    calls = [(rng.choice("abc"), float(rng.choice([0, 500, 1300, 9000]) + rng.randrange(120)), i) for i in range(400)]
+    df = spark.createDataFrame(calls, "key string, at double, id long").repartition(3)
+    got = {r.id: r.allowed for r in seq.both_limits(df, 7, 12, 30.0).collect()}
+    assert got == brute_limits(calls, 7, 12, 30.0)
+
+
+def test_rate_limit_as_a_stream(spark, tmp_path):
+    calls = [("a", float(t), t) for t in range(10)] + [("b", 3.0, 99)]
+    spark.createDataFrame(calls, "key string, at double, id long").write.parquet(str(tmp_path / "in"))
+    stream = limits.rate_limited_stream(spark.readStream.schema("key string, at double, id long").parquet(str(tmp_path / "in")), 3, 4.0)
+    run = stream.writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    got = {r.id: r.allowed for r in spark.table("limited").collect()}
+    assert got == {t: t % 5 < 3 for t in range(10)} | {99: True}
+
+
+def test_word_diff(spark):
+    rng = random.Random(5)
+    for _ in range(20):
+        a, b = ([rng.choice("pqrs") for _ in range(rng.randrange(0, 9))] for _ in range(2))
+        ops = one(spark, tx.word_diff(F.lit(" ".join(a)), F.lit(" ".join(b))))
+        assert [o.word for o in ops if o.op != "add"] == a and [o.word for o in ops if o.op != "del"] == b
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert sum(o.op == "same" for o in ops) == best[-1][-1]
+
+
+def test_small_text_functions(spark):
+    assert one(spark, tx.reader_quote(F.lit("“So – it’s”  said"))) == "\"so - it's\" said"
+    assert one(spark, tx.pieces_in_order(F.lit("a b c d e"), F.lit("a b [...] d")), tx.pieces_in_order(F.lit("a b c d e"), F.lit("d [...] a"))) == (True, False)
+    assert one(spark, tx.tidied(F.lit("a   b\n\n\n\nc ﬁ"))) == "a b\n\nc fi"
+    assert tuple(one(spark, tx.located(F.lit("b  c"), F.lit("a b c b c d")))) == (6, 9)
+    assert one(spark, tx.loose_name(F.lit("The Penal Code (Cap. 63), No. 3 of 1990"))) == "the penal code"
+    assert one(spark, tx.party_part(F.lit("A v B (Petition 1) [2017]"))) == "A v B"
+    assert one(spark, tx.neutral_citations(F.lit("[2017] KESC 2 and [2018] KEHC 30 (KLR)"))) == ["[2017] KESC 2 (KLR)", "[2018] KEHC 30 (KLR)"]
+    assert one(spark, seq.without_references(F.lit("so [[event:1]] it is [[sec"))) == "so  it is "
+    assert one(spark, st.court_rank(F.lit("Supreme Court")), st.court_rank(F.lit("Tribunal"))) == (3, 0)
+    assert one(spark, tx.evidence_window(F.lit("x" * 50 + "QUOTE" + "y" * 100), F.lit("QUOTE"), 5, 5, 10)) == "xxxxxQUOTEyyyyy\n[...]\n" + "y" * 10
+    stream = spark.createDataFrame([(1, 1, "delta", "a"), (1, 2, "reset", None), (1, 3, "delta", "b"), (1, 4, "delta", "c"), (2, 1, "delta", "x"), (2, 2, "answer", "whole")], "stream_id long, seq long, kind string, text string")
+    assert {r.stream_id: r.text for r in seq.final_text(stream).collect()} == {1: "bc", 2: "whole"}
+
+
+def test_fuzzy_renumbering(spark):
+    rows = [("a", "1", 1, "Jurisdiction of the court in civil matters", 2000, 2001), ("a", "2", 2, "Jurisdiction of the courts in civil matters", 2002, 2003), ("a", "3", 3, "Other", 2000, 2001)]
+    df = spark.createDataFrame(rows, "act_id string, number string, provision_id long, heading string, first int, last int")
+    assert seq.renumbered(df).count() == 0
+    assert [tuple(r) for r in seq.renumbered(df, fuzzy=True).collect()] == [(1, 2)]
+
+
+def test_close_quotes_match_a_plain_search(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    body = [rng.choice(words) for _ in range(120)]
+    quotes = []
+    for i in range(20):
+        at = rng.randrange(100)
+        q = body[at : at + 16]
+        for _ in range(i % 4):
+            q[rng.randrange(len(q))] = "zz"
+        quotes.append((i, " ".join(q)))
+    quotes.append((99, "never said by any court at all"))
+    got = {r.item_id: r for r in mt.quote_match(spark.createDataFrame(quotes, "item_id long, text string"), spark.createDataFrame([(1, " ".join(body))], "doc_id long, text string")).collect()}
+    for i, t in quotes:
+        q = t.split()
+        best = max(difflib.SequenceMatcher(None, q, body[s : s + len(q)], autojunk=False).ratio() for s in range(len(body)))
+        if any(q[k : k + 5] == body[s : s + 5] for k in range(len(q) - 4) for s in range(len(body) - 4)):
+            assert got[i].similarity == pytest.approx(best, abs=0.15) and (got[i].result == "verbatim") == (t in " ".join(body))
+        else:
+            assert got[i].result == "not_found"
+
+
+def test_a_quote_settles_which_case_it_is(spark):
+    results = spark.createDataFrame([(1, 0, "possible_match", None, None, [7, 8]), (2, 0, "possible_match", None, None, [7, 9])], "filing_id long, case_no int, result string, basis string, judgment_id long, candidates array<bigint>")
+    quotes = spark.createDataFrame([(1, 0, "b c d"), (2, 0, "b c d")], "filing_id long, case_no int, quote string")
+    docs = spark.createDataFrame([(7, "a b c d e", True), (8, "x", True), (9, "b c d", True)], "judgment_id long, text string, has_full_text boolean")
+    got = {r.filing_id: (r.result, r.judgment_id) for r in fi.settled(results, quotes, docs).collect()}
+    assert got == {1: ("found", 7), 2: ("possible_match", None)}
+
+
+def test_held_names_are_not_invented(spark):
+    acts = spark.createDataFrame([("ke/act/cap-63", "Penal Code")], "act_id string, title string")
+    refs = spark.createDataFrame([(1, "act", "penal CODE"), (1, "act", "Zoning Act"), (1, "event", "5"), (1, "event", "6")], "answer_id long, kind string, id string")
+    seen = spark.createDataFrame([(1, "event", "5")], "answer_id long, kind string, id string")
+    assert sorted((r.kind, r.id) for r in vw.invented(refs, seen, acts).collect()) == [("act", "Zoning Act"), ("event", "6")]
+
+
+def test_planted_errors_are_caught(spark):
+    body = " ".join(f"word{i} of{i % 7}" for i in range(60))
+    docs = spark.createDataFrame([(1, body)], "judgment_id long, text string")
+    planted = ev.planted_quotes(docs, 12, seed=3)
+    rows = planted.join(docs, "judgment_id").withColumn("hit", fi.parts_in_order(F.col("quote"), fi.token_text(F.col("text")))).collect()
+    assert {r.kind for r in rows} == {"control", "drop a word", "swap a word", "insert a word"}
+    assert all(r.hit == (r.kind == "control") for r in rows)
+
+
+def test_filing_samples_leave_out_what_was_used(spark):
+    texts = [(i, "A v B [2017] eKLR and C v D [2018] eKLR" if i % 2 else "A v B [2017] eKLR") for i in range(1, 200)]
+    docs = spark.createDataFrame(texts, "judgment_id long, text string")
+    used = spark.createDataFrame([(1,), (3,)], "judgment_id long")
+    got = ev.filing_sample(docs, used, sets=2, per_set=40).collect()
+    assert len(got) == 80 and {r.set_no for r in got} == {0, 1} and all(r.judgment_id % 2 and r.judgment_id > 3 for r in got)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, ev.filing_sample(docs.repartition(5), used, sets=2, per_set=40).collect()))
+
+
+def test_answers_meet_items_by_place(spark):
+    gold = spark.createDataFrame([(1, 10, "a|b"), (1, 50, "not_held"), (2, 5, "c")], "filing_id long, char_start int, gold string")
+    found = spark.createDataFrame([(1, 10, "found", "b"), (1, 50, "found", "x"), (2, 6, "found", "c")], "filing_id long, char_start int, result string, judgment_id string")
+    got = {(r.filing_id, r.char_start): r.verdict for r in ev.answers_by_place(gold, found).collect()}
+    assert got == {(1, 10): "right", (1, 50): "wrong", (2, 5): "missed"}
+    assert re.fullmatch("right|wrong|missed", got[1, 10])

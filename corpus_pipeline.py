@@ -20,7 +20,7 @@ STAGES = [
     ("byte_bpe", token_ids),
 ]
 
-#: SQL can't express the stages; tests hold run() against a brute-force version.
+#: SQL can't express the stages; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
 
 

@@ -340,3 +340,25 @@ def test_answers_meet_items_by_place(spark):
     got = {(r.filing_id, r.char_start): r.verdict for r in ev.answers_by_place(gold, found).collect()}
     assert got == {(1, 10): "right", (1, 50): "wrong", (2, 5): "missed"}
     assert re.fullmatch("right|wrong|missed", got[1, 10])
+
+
+@pytest.mark.parametrize(
+    ("url", "origin", "work", "day", "slug", "clean"),
+    [
+        ("https://law.example/akn/ke/act/2007/11/eng@2022-12-31", None, "/akn/ke/act/2007/11", "2022-12-31", "akn_ke_act_2007_11_eng@2022-12-31", None),
+        ("https://web.archive.org/web/20230101000000id_/https://law.example/akn/ke/act/1/eng", "https://law.example/akn/ke/act/1/eng", "/akn/ke/act/1", None, "web_20230101000000id__https_law.example_akn_ke_act_1_eng", None),
+        ("https://law.example/akn/ke/act/1/source.pdf", None, "/akn/ke/act/1", None, "akn_ke_act_1_source.pdf", None),
+        ("http://law.example/?utm_source=x&a=1&utm_medium=y", None, "/", None, "root", "http://law.example/?a=1"),
+        ("http://law.example/p?utm_source=x#top", None, "/p", None, "p", "http://law.example/p#top"),
+    ],
+)
+def test_parts_of_a_url(spark, url, origin, work, day, slug, clean):
+    u = F.col("u")
+    found = spark.createDataFrame([(url,)], "u string").select(tx.origin(u), tx.work_of(u), tx.version_date(u), tx.url_slug(u), tx.clean_url(u)).first()
+    assert tuple(found) == (origin or url, work, day, slug, clean or url)
+
+
+def test_urls_that_are_none(spark):
+    u = F.col("u")
+    df = spark.createDataFrame([(None,), ("",), ("ftp://a/b",)], "u string")
+    assert [tuple(r) for r in df.select(tx.clean_url(u), tx.url_slug(u), tx.version_date(u)).collect()] == [(None, "root", None), (None, "root", None), (None, "b", None)]

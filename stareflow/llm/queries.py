@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from stareflow.llm.bpe import op3_byte_bpe
 from stareflow.llm.chat import OP10_SQL, op10_chat_formatting
+from stareflow.llm.conversation_repair import op13_conversation_repair
+from stareflow.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from stareflow.llm.lm_scoring import op5_lm_scoring
 from stareflow.llm.mixing import op4_mix_sources
 from stareflow.llm.ngram_join import op6_ngram_jaccard_join
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_chat_formatting": op10_chat_formatting,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: The others have no SQL: their methods are iterative, trained, or over ids that SQL can't make.
@@ -31,4 +35,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op9_exact_top_k": OP9_SQL,
     "op10_chat_formatting": OP10_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }

@@ -12,6 +12,7 @@ from stareflow.llm.ngram_join import op6_ngram_jaccard_join
 from stareflow.llm.packing import op7_packed_ids
 from stareflow.llm.quality import op8_quality_rules
 from stareflow.llm.secrets import op1_secret_scan
+from stareflow.llm.suffix_dedup import op11_suffix_dedup
 from stareflow.llm.token_counts import op2_token_counts
 from stareflow.llm.topk import OP9_SQL, op9_exact_top_k
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_conversation_repair": op13_conversation_repair,
 }

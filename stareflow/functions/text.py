@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html.parser
 import re
 import unicodedata
 
@@ -402,55 +401,3 @@ def _diff(a: str | None, b: str | None) -> list[dict]:
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("op", T.StringType())])))
 def word_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_diff(x, y) for x, y in zip(a, b, strict=True)])
-
-
-class _Page(html.parser.HTMLParser):
-    """Title, visible text and links of a page; scripts, styles and navigation are left out."""
-
-    SKIP = {"script", "style", "nav", "button", "noscript"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.skip, self.title, self.parts, self.links, self.heads, self.open = 0, [], [], [], [], None
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.SKIP:
-            self.skip += 1
-        if tag == "title" or re.fullmatch("h[1-6]", tag):
-            self.open = tag
-            if tag != "title":
-                self.heads.append("")
-        if tag == "a" and not self.skip and dict(attrs).get("href"):
-            self.links.append(dict(attrs)["href"])
-
-    def handle_endtag(self, tag):
-        if tag in self.SKIP and self.skip:
-            self.skip -= 1
-        if tag == self.open:
-            self.open = None
-
-    def handle_data(self, data):
-        if self.skip:
-            return
-        if self.open == "title":
-            self.title.append(data)
-            return
-        if self.open:
-            self.heads[-1] += data
-        self.parts.append(data)
-
-
-def parse_page(source: str | None) -> dict:
-    page = _Page()
-    page.feed(source or "")
-    page.close()
-    one = lambda x: " ".join(x.split())
-    return {"title": one("".join(page.title)), "headings": [one(h) for h in page.heads], "links": page.links, "text": one(" ".join(page.parts))}
-
-
-PAGE = T.StructType([T.StructField("title", T.StringType()), T.StructField("headings", T.ArrayType(T.StringType())), T.StructField("links", T.ArrayType(T.StringType())), T.StructField("text", T.StringType())])
-
-
-@F.pandas_udf(PAGE)
-def parsed_page(source: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_page(x) for x in source], columns=["title", "headings", "links", "text"])

@@ -9,6 +9,7 @@ from stareflow.functions import citations as cit
 from stareflow.functions import text as tx
 from stareflow.operators import sequences as seq
 from stareflow.plans.tables import read
+from stareflow.sources import pages
 
 #: Judgments' texts made from order keys, so that what they cite is known.
 _TEXT = """CASE o_orderkey % 5
@@ -63,6 +64,13 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seq.merged_intervals(spans, ["doc_id"], "start", "end")
 
 
+#: What stands around a page's article as an act: a metadata list, a remark in a nested section, links to versions.
+_ACT_HEAD = """<dl class="document-metadata-list"><dt>Citation</dt><dd>Cap. <b>{k}</b></dd><dt>Date</dt><dd>1 May 2019</dd><dt>Language</dt></dl>
+<a href="/akn/ke/act/2001/{k}/eng@2001-01-31">first</a><a href="/akn/ke/act/1998/2/eng@1998-01-01">other</a><a href="/akn/ke/act/2001/{k}/eng@2019-05-01/source.pdf">file</a>
+<div class="document-content" data-display-type="akn"><nav>skip <a href="/akn/none">this</a></nav><section class="akn-section" data-eid="sec_{k}">"""
+_ACT_FOOT = """<p>See <a href="/akn/ke/act/1998/2">that act</a>.<div class="akn-section" data-eid="sec_{k}__a"><h3>{k}A.  Nested</h3> <span class="note"><span class="akn-remark">[Act No. {k}
+of 2003]</span></span></div><span class="akn-remark">[Repealed]</span></section><button>Buy</button></div>"""
+
 _NOTES = [("[Act No. {k} of 2003, s. 2.]", "sec_{k}"), ("[Repealed by Act No. {k} of 2003, s. 5.]", "sec_{k}__p_1"), ("[L.N. {k}/1999]", "sec_{k}__subsec_3__p_2"), ("[Corr. L.N. 4/1990]", "sec_{k}"), ("[Repealed by L.N. {k}/1999]", "sec_{k}__subsec_4"), ("[Act No. 7 of 1990]", "sch_1")]
 
 
@@ -129,15 +137,47 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def html_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, headings, links and visible text of pages."""
-    return read(spark, sf_dir, "pages").select("page_id", tx.parsed_page("html").alias("p")).select("page_id", "p.title", F.array_join("p.headings", "|").alias("headings"), F.size("p.links").alias("n_links"), F.length("p.text").alias("n_chars"))
+    rows = read(spark, sf_dir, "pages").select("page_id", pages.markup("html").alias("m"))
+    said = lambda n: tx.clean(F.array_join(F.slice(F.col("m.strings"), n["first"] + 1, n["last"] - n["first"]), ""))
+    some = lambda *tags: F.filter(F.col("m.nodes"), lambda n: n["tag"].isin(*tags))
+    heads = F.transform(some("h1", "h2", "h3", "h4", "h5", "h6"), said)
+    text = tx.clean(F.array_join("m.strings", " "))
+    return rows.select("page_id", said(F.get(some("title"), F.lit(0))).alias("title"), F.array_join(heads, "|").alias("headings"), F.size(some("a")).alias("n_links"), F.length(text).alias("n_chars"))
+
+
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' articles as acts of one section, with a metadata list, a nested section, remarks and links to versions: their records."""
+    k = F.col("page_id").cast("string")
+    part = lambda s: F.replace(F.lit(s), F.lit("{k}"), k)
+    source = F.replace(F.col("html"), F.lit("<article>"), part(_ACT_HEAD))
+    source = F.replace(source, F.lit("</article>"), part(_ACT_FOOT))
+    url = F.concat(F.lit("https://law.example.org/akn/ke/act/2001/"), k, F.lit("/eng@2019-05-0"), (F.col("page_id") % 9 + 1).cast("string"))
+    found = pages.page_records(read(spark, sf_dir, "pages").select("page_id", url.alias("url"), source.alias("html")))
+    r = F.col("record")
+    section = F.get(r["sections"], F.lit(0))
+    return found.select(
+        "page_id",
+        r["work"].alias("work"),
+        r["title"].alias("title"),
+        r["expression_date"].cast("string").alias("own_date"),
+        F.array_join(F.transform(F.array_sort(F.map_entries(r["metadata"])), lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit("none")))), ";").alias("metadata"),
+        F.array_join(r["versions"], ",").alias("versions"),
+        r["source_url"].alias("source_url"),
+        F.array_join(F.transform(r["sections"], lambda s: s["eid"]), ",").alias("eids"),
+        F.array_join(F.transform(r["sections"], lambda s: s["heading"]), "|").alias("headings"),
+        F.array_join(F.transform(r["remarks"], lambda s: F.concat_ws(":", s["eid"], s["text"])), "|").alias("remarks"),
+        F.size(r["akn_links"]).alias("n_links"),
+        section["text"].alias("section_text"),
+        F.length(r["text"]).alias("n_chars"),
+    )
 
 
 def link_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All links of pages to URLs that are not pages themselves: the first page that has it, and how many do."""
-    pages = read(spark, sf_dir, "pages")
-    links = pages.select("page_id", F.explode(tx.page_links(F.col("html"))).alias("link"), F.col("url").alias("base"))
+    rows = read(spark, sf_dir, "pages")
+    links = rows.select("page_id", F.explode(tx.page_links(F.col("html"))).alias("link"), F.col("url").alias("base"))
     links = links.select("page_id", tx.resolved(F.col("link"), F.col("base")).alias("url")).where("url IS NOT NULL")
-    known = pages.select(tx.resolved(F.col("url"), F.col("url")).alias("url")).distinct()
+    known = rows.select(tx.resolved(F.col("url"), F.col("url")).alias("url")).distinct()
     return links.join(known, "url", "left_anti").groupBy("url").agg(F.min("page_id").alias("found_at"), F.count_distinct("page_id").alias("n"))
 
 
@@ -156,7 +196,7 @@ def trigger_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("text").rlike(tx.TRIGGER)).select("o_orderkey")
 
 
-QUERIES = {f.__name__: f for f in (citation_extract, provision_pick, mention_kinds, excerpt_merge, excerpts, statutory_events, renumber_links, renumber_chains, rate_limit, ref_resolve, history_turns, clean_url, url_parts, html_parse, link_discovery, headings_split, trigger_candidates)}
+QUERIES = {f.__name__: f for f in (citation_extract, provision_pick, mention_kinds, excerpt_merge, excerpts, statutory_events, renumber_links, renumber_chains, rate_limit, ref_resolve, history_turns, clean_url, url_parts, html_parse, page_records, link_discovery, headings_split, trigger_candidates)}
 
 _T = f"t AS (SELECT o_orderkey AS doc_id, {_TEXT} AS text, {_DATE} AS d FROM orders)"
 _MENTIONS = f"""{_T}, x AS (
@@ -200,6 +240,13 @@ ORACLE_SQL = {
         CAST(2 + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS removed FROM orders""",
     "history_turns": """SELECT conv_id, count(*) AS n_turns, arg_min(text, turn) AS opening, arg_max(role, turn) AS closing FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1""",
     "clean_url": r"""SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN regexp_replace(regexp_replace(regexp_replace(url, '([?&])utm_[^&#]*', '\1', 'g'), '([?&])&+', '\1', 'g'), '[?&]+(#|$)', '\1') END AS url FROM pages""",
+    "page_records": r"""WITH a AS (SELECT page_id, trim(regexp_replace(replace(replace(regexp_replace(string_split(string_split(html, '<article>')[2], '</article>')[1], '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS body,
+          trim(regexp_replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages),
+        t AS (SELECT *, trim(regexp_replace(body || ' See that act . ' || page_id || 'A. Nested [Act No. ' || page_id || ' of 2003] [Repealed]', '\s+', ' ', 'g')) AS said FROM a)
+        SELECT page_id, '/akn/ke/act/2001/' || page_id AS work, title, '2019-05-0' || (page_id % 9 + 1) AS own_date, 'Citation=Cap. ' || page_id || ';Date=1 May 2019;Language=none' AS metadata,
+          '2001-01-31,2019-05-0' || (page_id % 9 + 1) AS versions, 'https://law.example.org/akn/ke/act/2001/' || page_id || '/eng@2019-05-01/source.pdf' AS source_url,
+          'sec_' || page_id || ',sec_' || page_id || '__a' AS eids, title || '|' || page_id || 'A. Nested' AS headings,
+          'sec_' || page_id || '__a:[Act No. ' || page_id || ' of 2003]|sec_' || page_id || ':[Repealed]' AS remarks, CAST(1 AS INT) AS n_links, said AS section_text, CAST(length(said) AS INT) AS n_chars FROM t""",
     "headings_split": """SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN (p_partkey % 300) || 'A' END AS number, p_name AS heading, p_size || 'B of 2016' AS case_number,
         CASE WHEN p_size % 2 = 0 THEN 'checked by a person' ELSE 'checked by an AI reviewer' END AS checked FROM part""",
     "trigger_candidates": "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 2",

@@ -9,7 +9,8 @@ from stareflow.functions import text as tx
 
 #: A parsed document: an act's sections or a judgment's text, with what its page says of it.
 DOCUMENT = """work string, url string, title string, expression_date date, metadata map<string, string>, text string, ocr_pages array<int>,
-sections array<struct<eid: string, heading: string, text: string>>"""
+sections array<struct<eid: string, heading: string, text: string>>, display_type string, source_url string, versions array<string>,
+remarks array<struct<eid: string, text: string>>, akn_links array<string>"""
 ANSWER_KEY = "event_key string, judgment_id string, provision_id string, event_type string, scope string, scope_text string, quote string, affects_event string"
 
 

@@ -193,26 +193,103 @@ def tidied(text: pd.Series) -> pd.Series:
     return text.map(tidy_text)
 
 
-_QUOTES = str.maketrans("‘’‛“”„«»–—", "'''\"\"\"\"\"--")
+# Quotes and dashes of one kind as they are compared, what stands for words left out, and what joins the parts.
+_CURLY, _STRAIGHT = "‘’‛“”„«»–—", "'''\"\"\"\"\"--"
+_LEFT_OUT, _JOINED = r"(?U)\s*(?:\.\.\.|…)\s*", " [...] "
 
 
-def locate(quote: str | None, text: str | None) -> tuple[int, int] | None:
-    """Where a quote last stands in a text of collapsed blanks; blanks and quote style do not count."""
-    body = " ".join((text or "").split())
-    place = [i for i, c in enumerate(body) if c != " "]
-    bare = "".join(body[i] for i in place).translate(_QUOTES)
-    said = "".join((quote or "").split()).translate(_QUOTES)
-    at = bare.rfind(said) if said else -1
-    return None if at < 0 else (place[at], place[at + len(said) - 1] + 1)
+def squeezed(text: Column) -> Column:
+    """A text without white space, its quotes and dashes of one kind: each character stands for one of the text."""
+    return F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", ""), _CURLY, _STRAIGHT)
 
 
-_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+def _last_place(part: Column, body: Column) -> Column:
+    """Where a part last stands in a text, from 0; null if nowhere or empty."""
+    back = F.position(F.reverse(part), F.reverse(body))
+    return F.when((part != "") & (back > 0), F.length(body) - back - F.length(part) + 1)
 
 
-@F.pandas_udf(_SPAN)
-def located(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
-    found = [locate(q, t) or (None, None) for q, t in zip(quote, text, strict=True)]
-    return pd.DataFrame(found, columns=["start", "end"]).astype("Int32")
+def _with_places(text: Column, then) -> Column:
+    """then(body, body squeezed, place), body being the text with single blanks and place(k) where its k-th character that
+    is no blank stands: as many places on as words have begun before."""
+
+    def of(body: Column) -> Column:
+        begins = lambda w: let(F.transform(w, F.length), lambda n: _running(n, lambda upto: F.transform(w, lambda x, i: upto(i))))
+        return let(begins(F.split(body, " ")), lambda starts: let(squeezed(body), lambda bare: then(body, bare, lambda k: k + F.size(F.filter(starts, lambda s: s <= k)) - 1)))
+
+    return let(clean(text), of)
+
+
+def _span(part: Column, bare: Column, place) -> Column:
+    return let(_last_place(part, bare), lambda at: F.when(at.isNotNull(), F.struct(place(at).alias("start"), (place(at + F.length(part) - 1) + 1).alias("end"))))
+
+
+def located(quote: Column, text: Column) -> Column:
+    """(start, end) of the last place of a quote in a text with single blanks, or null; blanks and the kind of quotes do not
+    count. The last, because orders say again what was said before."""
+    return _with_places(text, lambda body, bare, place: let(squeezed(quote), lambda q: _span(q, bare, place)))
+
+
+def quoted_from(quote: Column, text: Column) -> Column:
+    """(quote, start) in the text's own words, or null: each part of a quote around its ellipses is taken where it last
+    stands, and the parts must stand there in order, none over another."""
+    parts = F.filter(F.split(F.coalesce(quote, F.lit("")), _LEFT_OUT, -1), lambda p: squeezed(p) != "")
+
+    def joined(spans: Column, body: Column) -> Column:
+        last = lambda a: F.element_at(a, -1)
+        fine = F.forall(spans, lambda s: s.isNotNull()) & F.forall(F.transform(spans, lambda s, i: (i == 0) | (s["start"] >= spans[F.greatest(i - 1, F.lit(0))]["end"])), lambda ok: ok)
+        words = F.transform(spans, lambda s: F.substr(body, s["start"] + 1, s["end"] - s["start"]))
+        return F.when((F.size(spans) > 0) & fine, F.struct(F.array_join(words, _JOINED).alias("quote"), spans[0]["start"].alias("start")))
+
+    return _with_places(text, lambda body, bare, place: let(F.transform(parts, lambda p: let(squeezed(p), lambda q: _span(q, bare, place))), lambda spans: joined(spans, body)))
+
+
+# A section's numbering, where a clause may begin, roman numbers, and a reviser's note.
+_ROMAN = r"^(i|ii|iii|iv|v|vi|vii|viii|ix|x|xi|xii)$"
+_NOTE, _IS_NOTE = r"\[([^\[\]]{3,240})\]", r"\b(Act|L\.N\.|No\.|Deleted|Repealed|Inserted|Sch\.|Rev\.|Cap\.)"
+_DASH, _CLAUSE = r"(\w)\s?[-–]\s+\(", r"([.;:—])((?:\s+(?:and|or))?)\s+\(([0-9]+[A-Z]?|[a-z]{1,2}|[ivx]+)\)\s"
+_LABELLED = r"^\(([^)]+)\)\s(.*)$"
+
+
+def reviser_notes(text: Column) -> Column:
+    """The reviser's notes of a section's text, in order."""
+    return F.filter(F.transform(F.regexp_extract_all(tidy_spaces(text), F.lit(_NOTE), F.lit(1)), lambda n: F.trim(n)), lambda n: n.rlike(_IS_NOTE))
+
+
+def clauses(text: Column) -> Column:
+    """The clauses of a section's text in order, as (level, label, text, parent): 1 for numbers, 2 for letters, 3 for roman
+    numbers, 0 for text without a label; parent is the place of the clause that it stands under, null at the top.
+
+    A label begins a clause only behind punctuation. A roman letter counts as a letter if it follows the
+    letter before it. Notes are left out, unless there is nothing else.
+    """
+    tidy = tidy_spaces(text)
+    pieces = let(parts_at(tidy, _NOTE), lambda p: F.transform(p, lambda x: x["raw"]))
+    notes = F.regexp_extract_all(tidy, F.lit(_NOTE), F.lit(0))
+    bare = let(notes, lambda n: let(pieces, lambda p: F.array_join(F.transform(p, lambda x, i: F.concat(x, F.when(F.get(n, i).rlike(_IS_NOTE), "").otherwise(F.coalesce(F.get(n, i), F.lit(""))))), "")))
+    lines = F.split(F.regexp_replace(F.regexp_replace(tidy_spaces(bare), _DASH, "$1— ("), _CLAUSE, "$1$2\n($3) "), "\n")
+    one = "struct<level:int,label:string,text:string,parent:int>"
+
+    def step(a: Column, line: Column) -> Column:
+        label = F.nullif(F.regexp_extract(line, _LABELLED, 1), F.lit(""))
+        rest = F.trim(F.when(label.isNotNull(), F.regexp_extract(line, _LABELLED, 2)).otherwise(line))
+        follows = (F.length(label) == 1) & (F.ascii(label) == F.ascii(a["letter"]) + 1)
+        level = F.when(label.isNull(), 0).when(label.rlike(r"^\d"), 1).when(label.rlike(_ROMAN) & ~F.coalesce(follows, F.lit(False)), 3).otherwise(2)
+
+        def put(v: Column) -> Column:
+            here = F.size(a["out"])
+            above = [F.when(v > i, a["open"][i]) for i in range(1, 4)]  # the open clause of each level above
+            parent = F.when(v > 0, F.coalesce(*reversed(above)))
+            opened = F.array(*(F.when(F.lit(i) == v, here).when(F.lit(i) < v, a["open"][i]) for i in range(4)))
+            new = F.struct(v.alias("level"), F.when(label.isNotNull(), F.concat(F.lit("("), label, F.lit(")"))).alias("label"), rest.alias("text"), parent.alias("parent")).cast(one)
+            return F.struct(F.array_append(a["out"], new).alias("out"), F.when(v == 2, label).otherwise(a["letter"]).alias("letter"), F.when(v > 0, opened).otherwise(a["open"]).cast("array<int>").alias("open"))
+
+        return F.when(label.isNull() & (rest == ""), a).otherwise(let(level, put))
+
+    start = F.struct(F.array().cast(f"array<{one}>").alias("out"), F.lit(None).cast("string").alias("letter"), F.array(*[F.lit(None).cast("int")] * 4).alias("open"))
+    found = F.aggregate(lines, start, step, lambda a: a["out"])
+    alone = F.transform(F.slice(reviser_notes(text), 1, 1), lambda n: F.struct(F.lit(0).alias("level"), F.lit(None).cast("string").alias("label"), F.concat(F.lit("["), n, F.lit("]")).alias("text"), F.lit(None).cast("int").alias("parent")).cast(one))
+    return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(alone))
 
 
 def pieces_in_order(text: Column, quote: Column) -> Column:
@@ -228,20 +305,45 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+#: Sizes that are added up together, so that a running sum over many takes few steps for each.
+STRETCH = 128
+
+
+def _running(sizes: Column, then) -> Column:
+    """then(f), f(i) being the sum of the first i of sizes."""
+    zero = F.lit(0)
+    added = lambda a: F.aggregate(a, zero, lambda x, y: x + y)
+    whole = F.transform(F.sequence(zero, F.floor(F.size(sizes) / STRETCH).cast("int")), lambda j: added(F.slice(sizes, j * STRETCH + 1, STRETCH)))
+    before = F.aggregate(whole, F.array(zero), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+    within = lambda i: F.floor(i / STRETCH).cast("int") * STRETCH
+    return let(before, lambda b: then(lambda i: F.get(b, F.floor(i / STRETCH).cast("int")) + added(F.slice(sizes, within(i) + 1, i - within(i)))))
+
+
 def found_at(text: Column, pattern: str) -> Column:
     """All matches of a pattern in order, as (start, end, raw); places count code points, ends exclusive."""
     body = F.coalesce(text, F.lit(""))
     hits = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
     between = F.transform(F.split(body, pattern, -1), F.length)
 
-    def sums(sizes: Column) -> Column:
-        return lambda n: F.aggregate(F.slice(sizes, 1, n), F.lit(0), lambda a, x: a + x)
+    def spans(h: Column, gaps: Column) -> Column:
+        units = F.transform(h, lambda x, i: gaps[i] + F.length(x))
+        one = lambda x, start: F.struct(start.alias("start"), (start + F.length(x)).alias("end"), x.alias("raw"))
+        return let(units, lambda u: _running(u, lambda upto: F.transform(h, lambda x, i: let(upto(i) + gaps[i], lambda start: one(x, start)))))
+
+    return let(hits, lambda h: let(between, lambda g: spans(h, g)))
+
+
+def parts_at(text: Column, between: str | Column) -> Column:
+    """The parts of a text around the matches of a pattern, as (start, raw)."""
+    body, pattern = F.coalesce(text, F.lit("")), F.lit(between) if isinstance(between, str) else between
+    parts = F.split(body, pattern, -1)
+    gaps = F.transform(F.regexp_extract_all(body, pattern, F.lit(0)), F.length)
 
-    def spans(h: Column, gaps: Column, lengths: Column) -> Column:
-        start = lambda i: sums(gaps)(i + 1) + sums(lengths)(i)
-        return F.transform(h, lambda x, i: F.struct(start(i).alias("start"), (start(i) + F.length(x)).alias("end"), x.alias("raw")))
+    def spans(p: Column, g: Column) -> Column:
+        units = F.transform(p, lambda x, i: F.length(x) + F.coalesce(F.get(g, i), F.lit(0)))
+        return let(units, lambda u: _running(u, lambda upto: F.transform(p, lambda x, i: F.struct(upto(i).alias("start"), x.alias("raw")))))
 
-    return let(hits, lambda h: let(between, lambda g: let(F.transform(h, F.length), lambda n: spans(h, g, n))))
+    return let(parts, lambda p: let(gaps, lambda g: spans(p, g)))
 
 
 # Where a case name ends when read backwards, words inside a name, and lead-ins before it.
@@ -356,12 +458,11 @@ def without_footers(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^\s*Page \d+ of \d+\s*$", " "), r"(?U)\s+", " "))
 
 
-def saved_url(page: Column) -> Column:
-    """The URL of a page saved by hand: from the browser's comment, else from the page's own source link."""
+def saved_url(page: Column, site: str) -> Column:
+    """The URL of a page of a site saved by hand: from the browser's comment, else from the page's own source link."""
     said = F.nullif(F.regexp_extract(F.left(page, F.lit(2000)), r"saved from url=\(\d+\)(\S+?)\s*-->", 1), F.lit(""))
-    link = F.nullif(F.regexp_extract(page, r'href="((?:https://new\.kenyalaw\.org)?/akn/[^"]+?/[a-z]{3}@\d{4}-\d{2}-\d{2})/source', 1), F.lit(""))
-    site = F.lit("https://new.kenyalaw.org")
-    return F.coalesce(said, F.when(link.startswith("/"), F.concat(site, link)).otherwise(link))
+    link = F.nullif(F.regexp_extract(page, rf'href="((?:{re.escape(site)})?/akn/[^"]+?/[a-z]{{3}}@\d{{4}}-\d{{2}}-\d{{2}})/source', 1), F.lit(""))
+    return F.coalesce(said, F.when(link.startswith("/"), F.concat(F.lit(site), link)).otherwise(link))
 
 
 def evidence_window(text: Column, quote: Column, before: int, after: int, tail: int) -> Column:

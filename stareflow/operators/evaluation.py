@@ -109,16 +109,50 @@ def event_scores(key: DataFrame, got: DataFrame) -> DataFrame:
     )
 
 
-def mention_scores(gold: DataFrame, found: DataFrame) -> DataFrame:
-    """Detection scores of found(doc_id, start, end, number, law) against gold(doc_id, at, number, law): a gold
-    place inside a span of the same number is met, each span once, in order of place."""
-    met = gold.alias("g").join(found.alias("f"), ["doc_id", "number"]).where("f.start <= g.at AND g.at < f.end")
-    pick = Window.partitionBy("doc_id", "number", "start", "end").orderBy("at")
-    once = met.withColumn("_r", F.row_number().over(pick)).where("_r = 1")
-    one = Window.partitionBy("doc_id", "number", "at").orderBy("start")
-    once = once.withColumn("_s", F.row_number().over(one)).where("_s = 1")
-    hits = once.agg(F.count("*").alias("matched"), F.count_if(F.col("g.law") == F.col("f.law")).alias("law_right"))
-    return hits.crossJoin(gold.agg(F.count("*").alias("gold"))).crossJoin(found.agg(F.count("*").alias("extracted")))
+def event_alarms(key: DataFrame, negatives: DataFrame, got: DataFrame) -> DataFrame:
+    """(negatives, false_alarms, extras): pairs(judgment_id, provision_id) that hold no event, how many of them got one,
+    and the events got in judgments of the key for sections that it does not name."""
+    pair = ["judgment_id", "provision_id"]
+    alarm = negatives.join(got.select(*pair).distinct().withColumn("_hit", F.lit(True)), pair, "left")
+    extra = got.join(key.select("judgment_id").distinct(), "judgment_id", "left_semi").join(key.select(*pair).distinct(), pair, "left_anti")
+    return alarm.agg(F.count("*").alias("negatives"), F.count_if("_hit").alias("false_alarms")).crossJoin(extra.agg(F.count("*").alias("extras")))  # each is one row
+
+
+#: What a citation without a law of its own is said to name.
+BARE = ("the Act", "the Code")
+
+
+def matched_spans(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, number, at, law, got) of gold(doc_id, at, number, law): the law of the span that meets it, and met.
+
+    Golds of a document and number are taken in order of place, and each takes the first span of
+    found(doc_id, start, end, number, law), by start and end, that holds its place and is not taken yet.
+    """
+    keys = ["doc_id", "number"]
+    g = gold.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "law"))).alias("golds"))  # of one document each
+    s = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end", "law"))).alias("spans"))
+    both = g.join(s, keys, "left")
+    free = lambda x, taken: F.array_min(F.filter(F.transform("spans", lambda y, i: F.when((y["start"] <= x["at"]) & (x["at"] < y["end"]) & ~F.array_contains(taken, i), i)), lambda i: i.isNotNull()))
+    none = F.array().cast("array<int>")
+    picks = F.aggregate("golds", F.struct(none.alias("taken"), none.alias("picks")), lambda a, x: F.struct(*(F.array_append(a[c], F.coalesce(free(x, a["taken"]), F.lit(-1))).alias(c) for c in ("taken", "picks"))), lambda a: a["picks"])
+    both = both.withColumn("picks", F.when(F.col("spans").isNotNull(), picks)).select(*keys, "spans", "picks", F.posexplode("golds").alias("i", "gold"))
+    pick = F.coalesce(F.get("picks", F.col("i")), F.lit(-1))
+    return both.select(*keys, "gold.at", "gold.law", (pick >= 0).alias("met"), F.when(pick >= 0, F.get("spans", pick)["law"]).alias("got"))
+
+
+def mention_scores(gold: DataFrame, found: DataFrame, held: list[str], bare: tuple[str, ...] = BARE) -> DataFrame:
+    """One row: golds matched and missed by matched_spans(), spans extracted and spurious, and the law of matched ones:
+    right, wrong, unresolved or, where the gold law is unknown, unscored. Laws that are not held are all alike."""
+    met = matched_spans(gold, found).where("met")
+    law, got = F.col("law"), F.col("got")
+    known = law.isin(*held)
+    unscored = law.eqNullSafe(F.lit("unknown"))
+    open_ = ~unscored & (got.isNull() | got.isin(*bare))
+    right = ~unscored & ~open_ & F.coalesce(F.when(known, got == law).otherwise(~got.isin(*held)), F.lit(False))
+    hits = met.agg(F.count("*").alias("matched"), F.count_if(right).alias("law_right"), F.count_if(~unscored & ~open_ & ~right).alias("law_wrong"), F.count_if(open_).alias("law_unresolved"), F.count_if(unscored).alias("law_unscored"))
+    sizes = gold.agg(F.count("*").alias("gold")).crossJoin(found.agg(F.count("*").alias("extracted")))  # each is one row
+    out = hits.crossJoin(sizes)
+    return out.select("gold", "matched", (F.col("gold") - F.col("matched")).alias("missed"), "extracted", (F.col("extracted") - F.col("matched")).alias("spurious"), "law_right", "law_wrong", "law_unresolved", "law_unscored")
 
 
 def key_errors(events: DataFrame, provisions: DataFrame, texts: DataFrame, types: list[str]) -> DataFrame:

@@ -45,17 +45,18 @@ def _day(date: Column) -> Column:
     return F.coalesce(F.unix_date(date), F.lit(_NO_DAY))
 
 
-def reversals(events: DataFrame) -> DataFrame:
-    """(provision_id, event_id, reverser): of each event that an appeal in the same section reverses,
-    the last such appeal."""
+def reversals(events: DataFrame, counted: dict[str, Column]) -> DataFrame:
+    """(provision_id, event_id, a column for each kind of counted events): of each event that an appeal in the same section
+    reverses, the last such appeal among those counted."""
     rev = events.where((F.col("event_type") == "reversed_on_appeal") & F.col("affects_event_id").isNotNull())
-    last = F.max_by("event_id", F.struct(_day(F.col("effective_date")), "event_id"))
-    return rev.groupBy("provision_id", F.col("affects_event_id").alias("event_id")).agg(last.alias("reverser"))
+    order = F.struct(_day(F.col("effective_date")), "event_id")
+    last = [F.max_by("event_id", F.when(which, order)).alias(name) for name, which in counted.items()]
+    return rev.groupBy("provision_id", F.col("affects_event_id").alias("event_id")).agg(*last)
 
 
-def displacements(events: DataFrame) -> DataFrame:
-    """(provision_id, day, dir, rank, issue, displacer): for each kind of event that a section has, the
-    first later ruling that displaces it, if any."""
+def displacements(events: DataFrame, counted: dict[str, Column]) -> DataFrame:
+    """(provision_id, day, dir, rank, issue, a column for each kind of counted events): for each kind of event that a
+    section has, the first later ruling among those counted that displaces it, if any. All are found in one pass."""
     kinds = events.where(~is_statutory(F.col("event_type"))).select(
         "provision_id",
         _day(F.col("effective_date")).alias("day"),
@@ -63,24 +64,37 @@ def displacements(events: DataFrame) -> DataFrame:
         pull(F.col("event_type"), F.col("stance")).alias("pull"),
         F.nullif("issue", F.lit("")).alias("issue"),
         "rank",
-        "event_id",
+        *(F.when(which, F.col("event_id")).alias(name) for name, which in counted.items()),
     )
-    kinds = kinds.groupBy("provision_id", "day", "dir", "pull", "issue", "rank").agg(F.min("event_id").alias("event_id"))
+    kinds = kinds.groupBy("provision_id", "day", "dir", "pull", "issue", "rank").agg(*(F.min(name).alias(name) for name in counted))
     later = Window.partitionBy("provision_id").orderBy("day").rangeBetween(1, Window.unboundedFollowing)
     on_issue = Window.partitionBy("provision_id", "issue").orderBy("day").rangeBetween(1, Window.unboundedFollowing)
-    what = F.struct("day", "event_id")
-    first = None
-    for way, against in (("limits", "validates"), ("validates", "limits")):
-        for rank in (3, 2, 1, 0):
-            hit = (F.col("pull") == against) & (F.col("rank") >= rank)
-            anything = F.min(F.when(hit, what)).over(later)
-            unlabelled = F.min(F.when(hit & F.col("issue").isNull(), what)).over(later)
-            same = F.min(F.when(hit, what)).over(on_issue)
-            best = F.when(F.col("issue").isNull(), anything).otherwise(F.least(unlabelled, same))
-            case = (F.col("dir") == way) & (F.col("rank") == rank)
-            first = F.when(case, best) if first is None else first.when(case, best)
-    kinds = kinds.withColumn("first", first).where(F.col("first").isNotNull())
-    return kinds.groupBy("provision_id", "day", "dir", "rank", "issue").agg(F.min("first.event_id").alias("displacer"))
+    firsts = {}
+    for name in counted:
+        what, first = F.struct("day", F.col(name).alias("event_id")), None
+        for way, against in (("limits", "validates"), ("validates", "limits")):
+            for rank in (3, 2, 1, 0):
+                hit = (F.col("pull") == against) & (F.col("rank") >= rank) & F.col(name).isNotNull()
+                anything = F.min(F.when(hit, what)).over(later)
+                unlabelled = F.min(F.when(hit & F.col("issue").isNull(), what)).over(later)
+                same = F.min(F.when(hit, what)).over(on_issue)
+                best = F.when(F.col("issue").isNull(), anything).otherwise(F.least(unlabelled, same))
+                case = (F.col("dir") == way) & (F.col("rank") == rank)
+                first = F.when(case, best) if first is None else first.when(case, best)
+        firsts[f"_{name}"] = first
+    kinds = kinds.withColumns(firsts).where(" OR ".join(f"{c} IS NOT NULL" for c in firsts))
+    return kinds.groupBy("provision_id", "day", "dir", "rank", "issue").agg(*(F.min(F.col(f"_{name}")["event_id"]).alias(name) for name in counted))
+
+
+def _told(events: DataFrame, counted: dict[str, Column], choose) -> DataFrame:
+    """events with state and superseded_by; choose picks the column of counted events that a row goes by."""
+    keyed = events.withColumns({"_day": _day(F.col("effective_date")), "_dir": F.when(~is_statutory(F.col("event_type")), direction(F.col("event_type"))), "_issue": F.coalesce(F.nullif("issue", F.lit("")), F.lit(""))})
+    back = reversals(events, counted).select("provision_id", "event_id", *(F.col(n).alias(f"_r_{n}") for n in counted))
+    moved = displacements(events, counted).select("provision_id", F.col("day").alias("_day"), F.col("dir").alias("_dir"), "rank", F.coalesce("issue", F.lit("")).alias("_issue"), *(F.col(n).alias(f"_d_{n}") for n in counted))
+    out = keyed.join(back, ["provision_id", "event_id"], "left").join(moved, ["provision_id", "_day", "_dir", "rank", "_issue"], "left")
+    reverser, displacer = choose("_r_"), choose("_d_")
+    state = F.when(reverser.isNotNull(), "reversed on appeal").when(displacer.isNotNull(), "displaced by a later ruling").otherwise("in effect")
+    return out.withColumns({"state": state, "superseded_by": F.coalesce(reverser, displacer)}).select(*events.columns, "state", "superseded_by")
 
 
 def history(events: DataFrame) -> DataFrame:
@@ -89,11 +103,7 @@ def history(events: DataFrame) -> DataFrame:
     events: provision_id, event_id, event_type, scope, rank, effective_date, issue, stance,
     affects_event_id; other columns pass through.
     """
-    keyed = events.withColumns({"_day": _day(F.col("effective_date")), "_dir": F.when(~is_statutory(F.col("event_type")), direction(F.col("event_type"))), "_issue": F.coalesce(F.nullif("issue", F.lit("")), F.lit(""))})
-    moved = displacements(events).select("provision_id", F.col("day").alias("_day"), F.col("dir").alias("_dir"), "rank", F.coalesce("issue", F.lit("")).alias("_issue"), "displacer")
-    out = keyed.join(reversals(events), ["provision_id", "event_id"], "left").join(moved, ["provision_id", "_day", "_dir", "rank", "_issue"], "left")
-    state = F.when(F.col("reverser").isNotNull(), "reversed on appeal").when(F.col("displacer").isNotNull(), "displaced by a later ruling").otherwise("in effect")
-    return out.withColumns({"state": state, "superseded_by": F.coalesce("reverser", "displacer")}).select(*events.columns, "state", "superseded_by")
+    return _told(events, {"every": F.lit(True)}, lambda kind: F.col(f"{kind}every"))
 
 
 def standing(told: DataFrame) -> DataFrame:
@@ -164,10 +174,9 @@ def summary(told: DataFrame) -> DataFrame:
 
 def with_leads(events: DataFrame) -> DataFrame:
     """History where verified events are judged among verified ones only; leads get the state that
-    they would have among all."""
-    checked = history(events.where("verified"))
-    leads = history(events).where("NOT verified")
-    return checked.unionByName(leads)
+    they would have among all. Both are found in one pass over the events."""
+    counted = {"every": F.lit(True), "checked": F.col("verified")}
+    return _told(events, counted, lambda kind: F.when(F.col("verified"), F.col(f"{kind}checked")).otherwise(F.col(f"{kind}every")))
 
 
 def visible(events: DataFrame, judgments: DataFrame, include_unverified: bool = False) -> DataFrame:

@@ -42,6 +42,22 @@ def section_pages(provisions: DataFrame, chains: DataFrame, texts: DataFrame, st
     return out.select("provision_id", "number", "heading", "version_date", "text", F.coalesce("status", F.lit("no_rulings")).alias("status"), "was_number", "next_number")
 
 
+def section_records(provisions: DataFrame, told: DataFrame, cited: DataFrame, leads: DataFrame) -> DataFrame:
+    """Each of provisions(provision_id, ...) with its whole record: status and summary events from verified events alone,
+    history (leads included, newest first) and counts. told: status.with_leads(); cited, leads: (chain, cited_by) and
+    (chain, lead_count) of sections that are chains of their own."""
+    checked = told.where("verified")
+    standing = st.standing(checked).select("provision_id", "status")
+    base = st.summary(checked).groupBy("provision_id").agg(F.sort_array(F.collect_list("event_id")).alias("summary"))
+    line = F.struct("effective_date", "event_id", "event_type", "state", "superseded_by", "verified")
+    past = told.groupBy("provision_id").agg(F.sort_array(F.collect_list(line), asc=False).alias("history"))  # one section's events
+    out = provisions.join(standing, "provision_id", "left").join(base, "provision_id", "left").join(past, "provision_id", "left")
+    out = out.join(cited.withColumnRenamed("chain", "provision_id"), "provision_id", "left").join(leads.withColumnRenamed("chain", "provision_id"), "provision_id", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("cited_by", "lead_count")}
+    none = F.coalesce("status", F.lit("in force; no recorded court rulings"))
+    return out.withColumns(zero | {"status": none, "summary": F.coalesce("summary", F.array().cast("array<bigint>"))})
+
+
 def held_act(asked: DataFrame, acts: DataFrame) -> DataFrame:
     """asked(ask_id, act, ...) with act_id, or null: by the names that citations use, then a held Cap. number, then a
     held title as a whole. acts: (act_id, title)."""

@@ -86,12 +86,25 @@ def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.event_scores(key, got)
 
 
+def event_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted events where an answer key has none."""
+    events = section_events(spark, sf_dir)
+    key = events.where("event_id % 6 = 0").select("judgment_id", "provision_id")
+    negatives = events.where("event_id % 6 = 3").select("judgment_id", "provision_id").distinct().join(key.distinct(), ["judgment_id", "provision_id"], "left_anti")
+    return ev.event_alarms(key, negatives, events.where("event_id % 4 = 1").select("judgment_id", "provision_id"))
+
+
+_LAWS = "CASE {} % 5 WHEN 0 THEN 'Penal Code' WHEN 1 THEN 'Evidence Act' WHEN 2 THEN 'Zoning Act' WHEN 3 THEN 'the Act' END"
+_GOLD = f"SELECT l_orderkey AS doc_id, CAST(l_linenumber * 10 AS INT) AS spot, min(l_partkey % 3) AS number, coalesce(min({_LAWS.format('l_partkey')}), 'unknown') AS law FROM lineitem GROUP BY 1, 2"
+#: Spans that overlap: each reaches the next place, some the one behind it.
+_SPANS = f"SELECT l_orderkey AS doc_id, CAST(l_linenumber * 10 - 2 AS INT) AS start, CAST(l_linenumber * 10 + 11 + l_suppkey % 2 * 10 AS INT) AS stop, l_partkey % 3 AS number, {_LAWS.format('(l_partkey + l_suppkey)')} AS law FROM lineitem WHERE (l_orderkey + l_linenumber) % 7 <> 0"
+
+
 def mention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detected citations against gold places."""
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 10).alias("at"), (F.col("l_partkey") % 3).alias("number"), (F.col("l_partkey") % 4).alias("law"))
-    rows = rows.dropDuplicates(["doc_id", "at"])
-    found = rows.where("(doc_id + at) % 7 <> 0").select("doc_id", (F.col("at") - 2).alias("start"), (F.col("at") + 3).alias("end"), "number", F.when(F.col("doc_id") % 5 == 0, -1).otherwise(F.col("law")).alias("law"))
-    return ev.mention_scores(rows.where("doc_id % 2 = 0").groupBy("doc_id", "at").agg(F.min("number").alias("number"), F.min("law").alias("law")), found.groupBy("doc_id", "start", "end").agg(F.min("number").alias("number"), F.min("law").alias("law")))
+    """Detected citations, whose spans overlap, against gold places, one for one."""
+    rows = read(spark, sf_dir, "lineitem")
+    gold, found = (spark.sql(q.replace("FROM lineitem", "FROM {rows}"), rows=rows) for q in (_GOLD, _SPANS))
+    return ev.mention_scores(gold.withColumnRenamed("spot", "at"), found.withColumnRenamed("stop", "end"), ["Penal Code", "Evidence Act"])
 
 
 def key_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +142,7 @@ def saved_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.join(last, ["judgment_id", "event_type", "quote"]).groupBy("decision").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (label_eval, grid_search, label_merge, label_agreement, review_precision, checker_rounds, review_scores, event_scores, mention_scores, key_errors, bench_recall, answer_scores, saved_verdicts)}
+QUERIES = {f.__name__: f for f in (label_eval, grid_search, label_merge, label_agreement, review_precision, checker_rounds, review_scores, event_scores, event_alarms, mention_scores, key_errors, bench_recall, answer_scores, saved_verdicts)}
 
 
 def _verdict_sql(salt: int) -> str:
@@ -162,6 +175,21 @@ ORACLE_SQL = {
     "event_scores": f"""WITH {_EV}, k AS (SELECT DISTINCT judgment_id, provision_id, event_type, scope FROM ev WHERE method = 'manual'), g AS (SELECT judgment_id, provision_id, event_type, scope FROM ev WHERE method <> 'manual' AND event_id % 4 = 1),
         b AS (SELECT k.*, g.event_type AS gt, g.scope AS gs, row_number() OVER (PARTITION BY k.judgment_id, k.provision_id, k.event_type, k.scope ORDER BY g.event_type IS NULL, g.event_type <> k.event_type, g.event_type, g.scope) AS rn FROM k LEFT JOIN g USING (judgment_id, provision_id))
         SELECT count(*) AS events, count(gt) AS found, count(*) FILTER (WHERE gt = event_type) AS type_right, count(*) FILTER (WHERE gs = scope) AS scope_right FROM b WHERE rn = 1""",
+    "event_alarms": f"""WITH {_EV}, k AS (SELECT judgment_id, provision_id FROM ev WHERE event_id % 6 = 0), n AS (SELECT DISTINCT judgment_id, provision_id FROM ev WHERE event_id % 6 = 3 AND (judgment_id, provision_id) NOT IN (SELECT (judgment_id, provision_id) FROM k)),
+        g AS (SELECT judgment_id, provision_id FROM ev WHERE event_id % 4 = 1)
+        SELECT (SELECT count(*) FROM n) AS negatives, (SELECT count(*) FROM n WHERE (judgment_id, provision_id) IN (SELECT (judgment_id, provision_id) FROM g)) AS false_alarms,
+          (SELECT count(*) FROM g WHERE judgment_id IN (SELECT judgment_id FROM k) AND (judgment_id, provision_id) NOT IN (SELECT (judgment_id, provision_id) FROM k)) AS extras""",
+    "mention_scores": f"""WITH RECURSIVE gold AS ({_GOLD}), found AS ({_SPANS}),
+        g AS (SELECT doc_id, number, list({{'p': spot, 'law': law}} ORDER BY spot, law) AS gs FROM gold GROUP BY 1, 2),
+        s AS (SELECT doc_id, number, list({{'a': start, 'b': stop, 'law': law}} ORDER BY start, stop, law NULLS FIRST) AS ss FROM found GROUP BY 1, 2),
+        b AS (SELECT doc_id, number, gs, coalesce(ss, []) AS ss FROM g LEFT JOIN s USING (doc_id, number)),
+        r AS (SELECT doc_id, number, gs, ss, 0 AS k, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS pick FROM b
+          UNION ALL SELECT doc_id, number, gs, ss, k + 1, list_append(taken, pick2), pick2 FROM (SELECT *, list_filter(range(1, len(ss) + 1), lambda i: ss[i].a <= gs[k + 1].p AND gs[k + 1].p < ss[i].b AND NOT list_contains(taken, i))[1] AS pick2 FROM r WHERE k < len(gs))),
+        m AS (SELECT gs[k].law AS law, ss[pick].law AS got FROM r WHERE k > 0 AND pick IS NOT NULL),
+        c AS (SELECT *, law = 'unknown' AS uns, law <> 'unknown' AND (got IS NULL OR got = 'the Act') AS op,
+          CASE WHEN law IN ('Penal Code', 'Evidence Act') THEN got = law ELSE got NOT IN ('Penal Code', 'Evidence Act') END AS fits FROM m)
+        SELECT (SELECT count(*) FROM gold) AS gold, count(*) AS matched, (SELECT count(*) FROM gold) - count(*) AS missed, (SELECT count(*) FROM found) AS extracted, (SELECT count(*) FROM found) - count(*) AS spurious,
+          count(*) FILTER (WHERE NOT uns AND NOT op AND fits) AS law_right, count(*) FILTER (WHERE NOT uns AND NOT op AND NOT fits) AS law_wrong, count(*) FILTER (WHERE op) AS law_unresolved, count(*) FILTER (WHERE uns) AS law_unscored FROM c""",
     "key_errors": """WITH e AS (SELECT event_id, user_id, event_type, event_id % 60 AS p, CASE WHEN event_id % 3 = 0 THEN 'partial' WHEN event_id % 31 = 0 THEN 'some' ELSE 'total' END AS scope FROM events), m AS (SELECT max(event_id) AS m, min(event_id) AS lo FROM events)
         SELECT 'no text' AS error, count(*) AS n FROM e WHERE user_id % 20 = 0 HAVING count(*) > 0
         UNION ALL SELECT 'quote not found', count(*) FROM e WHERE user_id % 20 <> 0 AND event_id % 41 = 0 HAVING count(*) > 0

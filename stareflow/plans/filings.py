@@ -15,15 +15,18 @@ from stareflow.plans.tables import EVENTS_SQL, mentions, read, section_events
 _EV = EVENTS_SQL.format(text="VARCHAR")
 _P = "CASE o_orderkey % 5 WHEN 0 THEN 'Okuta' WHEN 1 THEN 'Mwangi' WHEN 2 THEN 'Kimaru' WHEN 3 THEN 'Njoroge' ELSE 'Achieng' END"
 _SAID = "one two three four five six seven eight nine"
+#: The same words as other filings quote them: other marks and letters, or words left out.
+_HELD = _SAID.replace("three", "THREE,")
+_QUOTED = f"""CASE o_orderkey // 4 % 3 WHEN 0 THEN '{_SAID}' WHEN 1 THEN 'One two, THREE - four (five); six seven: eight nine!' ELSE 'one two three four ... six seven eight nine' END"""
 _FILING = f"""CASE o_orderkey % 4
   WHEN 0 THEN 'The court in ' || {_P} || ' & another v Republic (Petition No. ' || (o_orderkey % 400) || ' of 2016) [2017] eKLR held so.'
-  WHEN 1 THEN 'See ' || {_P} || ' v Attorney General [2018] KESC ' || (o_orderkey % 90 + 1) || ' (KLR); it was said "{_SAID}" there.'
+  WHEN 1 THEN 'A stray " mark.' || chr(10) || ' ' || chr(10) || 'See ' || {_P} || ' v Attorney General [2018] KESC ' || (o_orderkey % 90 + 1) || ' (KLR); it was said "' || {_QUOTED} || '" there.'
   WHEN 2 THEN 'It is settled. Per ' || {_P} || ' v Otieno [2015] eKLR the rule of section ' || (o_orderkey % 300 + 1) || ' of the Penal Code stands.' || chr(10) || chr(10) || 'A quote "{_SAID}" here.'
   ELSE 'Section ' || (o_orderkey % 300 + 1) || ' of the Penal Code alone, and [2018] KESC ' || (o_orderkey % 90 + 1) || ' (KLR).' END"""
 
 
 def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").selectExpr("o_orderkey AS filing_id", f"{_FILING} AS text")
+    return read(spark, sf_dir, "orders").selectExpr("o_orderkey AS filing_id", f"{_FILING.replace('//', 'DIV')} AS text")
 
 
 def _titles(spark: SparkSession) -> DataFrame:
@@ -39,7 +42,8 @@ def _titles(spark: SparkSession) -> DataFrame:
 
 def _texts(spark: SparkSession) -> DataFrame:
     """Held judgments' texts: with the words quoted, with one word changed, or not whole."""
-    body = f"CASE WHEN id % 4 = 0 THEN 'before {_SAID.replace('three', 'THREE,')} after' ELSE 'before {_SAID.replace('nine', 'ten')} after' END"
+    passage = f"IF(id % 4 = 0, '{_HELD}', '{_HELD.replace('nine', 'ten')}')"
+    body = f"'1. Before. 2. It was held that ' || {passage} || ' after. 3. The end.'"
     return spark.range(1, 91).where("id % 2 = 0").selectExpr("id AS judgment_id", f"{body} AS text", "id % 8 <> 6 AS has_full_text", "IF(id % 3 = 0, array(1), array()) AS ocr_pages")
 
 
@@ -58,13 +62,15 @@ def _quotes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     filings = _filings(spark, sf_dir)
     cases = fi.cited_cases(filings)
     results = fi.case_results(cases, _titles(spark))
+    quotes = fi.budgeted(fi.quotes_given(filings, cases), results)
+    results = fi.settled(results, quotes, _texts(spark))
     found = results.where("result = 'found'").select("filing_id", "case_no", "judgment_id")
-    return cases, results, fi.checked_quotes(fi.quotes_given(filings, cases), found, _texts(spark))
+    return cases, results, fi.checked_quotes(quotes, found, _texts(spark))
 
 
 def filing_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every quote that belongs to a cited case, checked against the case's text."""
-    return _quotes(spark, sf_dir)[2].select("filing_id", "quote", "judgment_id", "result", "similarity", "ocr")
+    return _quotes(spark, sf_dir)[2].select("filing_id", "quote", "judgment_id", "result", "similarity", "court_text", "char_start", "paragraph", "ocr")
 
 
 def _penal_code(spark: SparkSession) -> DataFrame:
@@ -200,14 +206,15 @@ _CASES = f"""{_F}, c AS (
   UNION ALL SELECT k, 'neutral', position('[2018]' IN text) - 1, '[2018] KESC ' || (k % 90 + 1) || ' (KLR)', 2018, CASE WHEN k % 4 = 1 THEN p || ' v Attorney General' END, NULL FROM f WHERE k % 4 IN (1, 3)
   UNION ALL SELECT k, 'eklr', position('[2015]' IN text) - 1, NULL, 2015, p || ' v Otieno', NULL FROM f WHERE k % 4 = 2),
   r AS (SELECT *, k % 90 + 1 AS id, CASE WHEN form = 'eklr' OR (k % 90 + 1) % 2 = 1 THEN 'not_in_collection' WHEN name IS NULL OR k % 5 = (k % 90 + 1) % 5 THEN 'found' ELSE 'name_mismatch' END AS result FROM c),
-  q AS (SELECT k, CASE WHEN result = 'found' THEN id END AS judgment_id, CASE WHEN result <> 'found' OR id % 8 = 6 THEN 'not_checked' WHEN id % 4 = 0 THEN 'verbatim' ELSE 'close' END AS result, result = 'found' AND id % 8 <> 6 AND id % 3 = 0 AS ocr FROM r WHERE k % 4 = 1)"""
+  q AS (SELECT k, CASE WHEN result = 'found' THEN id END AS judgment_id, CASE WHEN result <> 'found' OR id % 8 = 6 THEN 'not_checked' WHEN id % 4 = 0 THEN 'verbatim' WHEN k // 4 % 3 = 2 THEN 'not_found' ELSE 'close' END AS result, {_QUOTED.replace('o_orderkey', 'k')} AS quote, result = 'found' AND id % 8 <> 6 AND id % 3 = 0 AS ocr FROM r WHERE k % 4 = 1)"""
 _CH = """o AS (SELECT p_brand AS act_id, p_partkey AS provision_id, CAST(p_partkey * 7 % 113 AS VARCHAR) || CASE WHEN p_partkey % 9 = 0 THEN 'A' ELSE '' END AS number, p_name AS heading,
     CASE WHEN p_partkey % 6 IN (0, 1) AND p_partkey > 1 THEN p_partkey - p_partkey % 6 ELSE p_partkey END AS chain, CASE WHEN p_partkey % 6 = 1 AND p_partkey > 1 THEN 1 ELSE 0 END AS pos FROM part)"""
 
 ORACLE_SQL = {
     "filing_cases": f"WITH {_CASES} SELECT k AS filing_id, form, CAST(char_start AS INT) AS char_start, citation, CAST(year AS INT) AS year, name, number FROM c",
     "filing_matches": f"WITH {_CASES} SELECT k AS filing_id, CAST(0 AS INT) AS case_no, result, CASE WHEN result <> 'not_in_collection' THEN id END AS judgment_id FROM r",
-    "filing_quotes": f"WITH {_CASES} SELECT k AS filing_id, '{_SAID}' AS quote, judgment_id, result, CASE result WHEN 'verbatim' THEN 1e0 WHEN 'close' THEN 0.89e0 END AS similarity, ocr FROM q",
+    "filing_quotes": f"""WITH {_CASES}, s AS (SELECT *, result IN ('verbatim', 'close') AS shown FROM q) SELECT k AS filing_id, quote, judgment_id, result, CASE result WHEN 'verbatim' THEN 1e0 WHEN 'close' THEN 0.89e0 END AS similarity,
+        CASE WHEN result = 'verbatim' THEN '{_HELD}' WHEN shown THEN '{_HELD.replace("nine", "ten")}' END AS court_text, CASE WHEN shown THEN 31 END AS char_start, CASE WHEN shown THEN '2' END AS paragraph, ocr FROM s""",
     "filing_report": f"""WITH {_CASES}, a AS (
           SELECT r.k, 'case' AS kind, char_start, r.result, CASE WHEN q.k IS NULL THEN 0 ELSE 1 END AS n_quotes, CASE WHEN q.result = 'verbatim' THEN 1 ELSE 0 END AS n_verbatim FROM r LEFT JOIN q USING (k)
           UNION ALL SELECT k, 'section', position(CASE WHEN k % 4 = 2 THEN 'section' ELSE 'Section' END IN text) - 1, CASE WHEN k % 300 + 1 <= 200 THEN 'linked' ELSE 'not_covered' END, 0, 0 FROM f WHERE k % 4 IN (2, 3))

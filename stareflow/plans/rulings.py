@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stareflow.operators import status
-from stareflow.plans.tables import EVENTS_SQL, section_events
+from stareflow.operators import relational as rel
+from stareflow.operators import status, views
+from stareflow.plans.tables import EVENTS_SQL, JUDGMENTS_SQL, judgments, mentions, read, section_events
 
 _EV = EVENTS_SQL.format(text="VARCHAR")
 
@@ -109,6 +110,18 @@ def leads_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.with_leads(section_events(spark, sf_dir)).select("provision_id", "event_id", "verified", "state")
 
 
+def section_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each section's whole record: status, what it rests on, history with leads, and counts."""
+    events, m = section_events(spark, sf_dir), mentions(spark, sf_dir)
+    held = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("provision_id"))
+    own = lambda df: df.select("provision_id").distinct().select(F.col("provision_id").alias("chain"), "provision_id")
+    rulings = events.select("judgment_id").distinct().withColumn("duplicate_of", F.when(F.col("judgment_id") % 13 == 0, F.col("judgment_id") - 1))
+    told = status.with_leads(events.join(held, "provision_id", "left_semi"))
+    out = views.section_records(held, told, rel.cited_counts(m, judgments(spark, sf_dir), own(m)), rel.lead_counts(events, rulings, own(events)))
+    line = lambda h: F.concat_ws(":", h["event_id"].cast("string"), h["state"], F.when(h["verified"], "checked").otherwise("lead"))
+    return out.select("provision_id", "status", F.array_join(F.transform("summary", lambda x: x.cast("string")), ",").alias("summary"), F.array_join(F.transform("history", line), ";").alias("history"), "cited_by", "lead_count")
+
+
 def visible_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that may be shown, leads included: not of a second copy, not failed by the check."""
     events = section_events(spark, sf_dir)
@@ -137,6 +150,7 @@ QUERIES = {
     "status_small_histories": status_by_month,
     "status_summary": status_summary,
     "leads_overlay": leads_overlay,
+    "section_record": section_record,
     "visible_events": visible_events,
     "event_dedup": event_dedup,
     "chain_event_dedup": chain_event_dedup,
@@ -150,6 +164,16 @@ ORACLE_SQL = {
     "leads_overlay": f"""
         SELECT provision_id, event_id, verified, state FROM (WITH {_history_sql('(SELECT * FROM ev WHERE verified)')} SELECT * FROM told)
         UNION ALL SELECT provision_id, event_id, verified, state FROM (WITH {_history_sql()} SELECT * FROM told) WHERE NOT verified""",
+    "section_record": f"""WITH {JUDGMENTS_SQL}, chk AS (WITH {_history_sql('(SELECT * FROM ev WHERE verified AND provision_id IN (SELECT p_partkey FROM part))')} {_STANDING_SQL} SELECT provision_id, {_LABEL_SQL} AS status FROM facts),
+        smr AS (SELECT provision_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS summary FROM (WITH {_history_sql('(SELECT * FROM ev WHERE verified AND provision_id IN (SELECT p_partkey FROM part))')} {_SUMMARY_SQL}) GROUP BY 1),
+        h AS (SELECT provision_id, event_id, effective_date, state, verified FROM (WITH {_history_sql('(SELECT * FROM ev WHERE verified)')} SELECT * FROM told)
+          UNION ALL SELECT provision_id, event_id, effective_date, state, verified FROM (WITH {_history_sql()} SELECT * FROM told) WHERE NOT verified),
+        hs AS (SELECT provision_id, string_agg(event_id || ':' || state || ':' || CASE WHEN verified THEN 'checked' ELSE 'lead' END, ';' ORDER BY effective_date DESC, event_id DESC) AS history FROM h GROUP BY 1),
+        cited AS (SELECT provision_id, count(DISTINCT coalesce(duplicate_of, judgment_id)) AS n FROM m JOIN j USING (judgment_id) GROUP BY 1),
+        leads AS (WITH {_EV} SELECT provision_id, count(*) AS n FROM (SELECT DISTINCT provision_id, judgment_id, event_type FROM ev e WHERE NOT verified AND check_verdict IS DISTINCT FROM 'fail' AND judgment_id % 13 <> 0
+          AND NOT EXISTS (SELECT 1 FROM ev v WHERE v.provision_id = e.provision_id AND v.verified AND v.judgment_id IS NOT DISTINCT FROM e.judgment_id AND v.event_type = e.event_type)) GROUP BY 1)
+        SELECT p_partkey AS provision_id, coalesce(status, 'in force; no recorded court rulings') AS status, coalesce(summary, '') AS summary, history, coalesce(cited.n, 0) AS cited_by, coalesce(leads.n, 0) AS lead_count
+        FROM part LEFT JOIN chk ON chk.provision_id = p_partkey LEFT JOIN smr ON smr.provision_id = p_partkey LEFT JOIN hs ON hs.provision_id = p_partkey LEFT JOIN cited ON cited.provision_id = p_partkey LEFT JOIN leads ON leads.provision_id = p_partkey""",
     "visible_events": f"""WITH {_EV}, r AS (SELECT DISTINCT judgment_id, CASE WHEN judgment_id % 13 = 0 THEN judgment_id - 1 END AS duplicate_of
           FROM ev WHERE judgment_id % 10 <> 0)
         SELECT event_id, provision_id, verified FROM ev LEFT JOIN r USING (judgment_id)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stareflow.functions import citations as cit
 from stareflow.functions import text as tx
+from stareflow.operators import discovery as dc
 from stareflow.operators import sequences as seq
 from stareflow.plans.tables import read
 from stareflow.sources import pages
@@ -181,6 +182,21 @@ def link_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.join(known, "url", "left_anti").groupBy("url").agg(F.min("page_id").alias("found_at"), F.count_distinct("page_id").alias("n"))
 
 
+#: Pages as acts, judgments and others of a site, each with three links to others.
+_URL = "'https://law.example.org/akn/' || CASE {k} % 3 WHEN 0 THEN 'act' WHEN 1 THEN 'judgment' ELSE 'page' END || '/' || CAST(floor({k} / 9) AS INT) || '/eng@20' || ({k} % 90 + 10) || '-01-01'"
+_SCOPE = dc.Scope(hosts=("law.example.org",), kinds=(("/akn/act/", "act"), ("/akn/judgment/", "judgment"), ("/akn/", "other")), follow={"act": ("act", "judgment"), "judgment": ("act", "judgment", "other"), "other": ("judgment",)}, same_work=("act",), max_depth=6)
+
+
+def link_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two seeds lead to over a site's pages under the rules of a scope: kinds, depths and parents."""
+    rows = read(spark, sf_dir, "pages")
+    n = F.broadcast(rows.agg(F.count("*").alias("n")))  # one row
+    link = lambda k: F.concat(F.lit('<a href="'), F.expr(_URL.format(k=f"({k})")), F.lit('#x">to</a>'))
+    site = rows.crossJoin(n).select(F.expr(_URL.format(k="page_id")).alias("url"), F.concat(link("(page_id + 3) % n"), link("(page_id * 2 + 1) % n"), link("(page_id * 5 + 2) % n"), F.lit('<a href="https://elsewhere.example.org/akn/act/1">out</a>')).alias("html"))
+    seeds = rows.where("page_id < 2").select(F.expr(_URL.format(k="page_id")).alias("url"), F.when(F.col("page_id") == 0, "act").otherwise("judgment").alias("kind"))
+    return dc.discovered(site, seeds, _SCOPE)
+
+
 def headings_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers and headings, dates and judges of records."""
     rows = read(spark, sf_dir, "part")
@@ -196,7 +212,7 @@ def trigger_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("text").rlike(tx.TRIGGER)).select("o_orderkey")
 
 
-QUERIES = {f.__name__: f for f in (citation_extract, provision_pick, mention_kinds, excerpt_merge, excerpts, statutory_events, renumber_links, renumber_chains, rate_limit, ref_resolve, history_turns, clean_url, url_parts, html_parse, page_records, link_discovery, headings_split, trigger_candidates)}
+QUERIES = {f.__name__: f for f in (citation_extract, provision_pick, mention_kinds, excerpt_merge, excerpts, statutory_events, renumber_links, renumber_chains, rate_limit, ref_resolve, history_turns, clean_url, url_parts, html_parse, page_records, link_discovery, link_frontier, headings_split, trigger_candidates)}
 
 _T = f"t AS (SELECT o_orderkey AS doc_id, {_TEXT} AS text, {_DATE} AS d FROM orders)"
 _MENTIONS = f"""{_T}, x AS (
@@ -247,6 +263,13 @@ ORACLE_SQL = {
           '2001-01-31,2019-05-0' || (page_id % 9 + 1) AS versions, 'https://law.example.org/akn/ke/act/2001/' || page_id || '/eng@2019-05-01/source.pdf' AS source_url,
           'sec_' || page_id || ',sec_' || page_id || '__a' AS eids, title || '|' || page_id || 'A. Nested' AS headings,
           'sec_' || page_id || '__a:[Act No. ' || page_id || ' of 2003]|sec_' || page_id || ':[Repealed]' AS remarks, CAST(1 AS INT) AS n_links, said AS section_text, CAST(length(said) AS INT) AS n_chars FROM t""",
+    "link_frontier": f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), p AS (SELECT page_id AS k, {_URL.format(k="page_id")} AS url FROM pages),
+        e AS (SELECT DISTINCT k AS src, d AS dst FROM (SELECT k, unnest([(k + 3) % n, (k * 2 + 1) % n, (k * 5 + 2) % n]) AS d FROM p, n) WHERE d <> k
+          AND CASE k % 3 WHEN 0 THEN d % 3 < 2 WHEN 1 THEN true ELSE d % 3 = 1 END AND (d % 3 <> 0 OR (k % 3 = 0 AND d // 9 = k // 9))),
+        r AS (SELECT k, 0 AS depth FROM p WHERE k < 2 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = k WHERE depth < 6),
+        m AS (SELECT k, min(depth) AS depth FROM r GROUP BY 1),
+        q AS (SELECT e.dst AS k, min(p.url) AS parent FROM e JOIN m a ON a.k = e.src JOIN m b ON b.k = e.dst AND b.depth = a.depth + 1 JOIN p ON p.k = e.src GROUP BY 1)
+        SELECT p.url, CASE p.k % 3 WHEN 0 THEN 'act' WHEN 1 THEN 'judgment' ELSE 'other' END AS kind, CAST(m.depth AS INT) AS depth, CASE WHEN m.depth > 0 THEN q.parent END AS parent FROM m JOIN p USING (k) LEFT JOIN q USING (k)""",
     "headings_split": """SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN (p_partkey % 300) || 'A' END AS number, p_name AS heading, p_size || 'B of 2016' AS case_number,
         CASE WHEN p_size % 2 = 0 THEN 'checked by a person' ELSE 'checked by an AI reviewer' END AS checked FROM part""",
     "trigger_candidates": "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 2",

@@ -26,10 +26,3 @@ def rate_limited_stream(calls: DataFrame, rate: int = 60, window: float = 60.0)
         yield rows.assign(key=key[0], allowed=allowed)[["key", "at", "id", "allowed"]]
 
     return calls.groupBy("key").applyInPandasWithState(step, OUT, "passed array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
-def event_counts(events: DataFrame, late: str = "10 minutes", span: str = "1 hour") -> DataFrame:
-    """Events by type in windows of event time, for events that come late by no more than a bound."""
-    from pyspark.sql import functions as F
-
-    return events.withWatermark("ts", late).groupBy(F.window("ts", span), "event_type").agg(F.count("*").alias("n"))

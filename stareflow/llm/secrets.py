@@ -130,6 +130,7 @@ def guess_bits(value: str, ranks: dict[str, int], enough: float = float("inf"),
     via: list[object] = [None] * (n + 1)  # the run, walk or stretch by which it came
     brute = float("inf")  # the least cost where the last span is brute force
     stretches: dict[int, tuple[int, int]] = {}
+    cheapest: dict[tuple[int, int, int], tuple[float, int]] = {}  # of a stretch's starts at a distance of whole periods
     same_end = walk_end = reach = 0
 
     def put(to: int, cost: float, how: object = None) -> None:
@@ -185,7 +186,14 @@ def guess_bits(value: str, ranks: dict[str, int], enough: float = float("inf"),
                     put(end, now + log2(47) + log2(end - i) + 2 * turns, ("walk", walk_end))
         for period, end in _blocks_again(low, i, stretches):
             if via[i] != (period, end):
-                for t in range(1, (end - i) // period + 1):
+                times = (end - i) // period
+                start = cheapest.get((period, end, i % period))
+                if start is None or now <= start[0]:
+                    cheapest[period, end, i % period] = now, i
+                else:  # each block counts for less the more there are, so the cheaper start is ahead from some count on
+                    ratio = 2.0 ** min(now - start[0], 60.0) - 1.0
+                    times = min(times, int((i - start[1]) // period / ratio) + 1) if ratio > 1e-9 else times
+                for t in range(1, times + 1):
                     put(i + t * period, now + log2(t + 1), (period, end))
     return min(best[n], brute, enough)
 
@@ -205,7 +213,7 @@ def find(text: str | None, ranks: dict[str, int], longest: int | None = None) ->
         found += [(m.start(), 1, m.end(), *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     if _HEX_RUN.search(raw):
         found += [(m.start(), 2, m.end(), *m.span()) for m in HEX.finditer(text)]
-    known = [x[3:] for x in found]
+    known, at, reach = sorted(x[3:] for x in found), 0, 0
     wider = []
     if any(x in low for x in _CONTEXT_NEEDS):
         wider += [m.span(1) for m in _CONTEXT.finditer(text)]
@@ -214,8 +222,11 @@ def find(text: str | None, ranks: dict[str, int], longest: int | None = None) ->
     for start, end in sorted(set(wider)):
         while end > start and text[end - 1] in ".:!?":
             end -= 1
-        if end - start >= 6 and not any(a <= start and end <= b for a, b in known) and guess_bits(text[start:end], ranks, SECRET_BITS, longest) >= SECRET_BITS:
-            known.append((start, end))
+        while at < len(known) and known[at][0] <= start:
+            reach = max(reach, known[at][1])  # how far secrets that begin no later go
+            at += 1
+        if end - start >= 6 and end > reach and guess_bits(text[start:end], ranks, SECRET_BITS, longest) >= SECRET_BITS:
+            reach = end
             found.append((start, 3, end, start, end))
     return sorted(found)
 
@@ -231,12 +242,13 @@ def masked(text: str, spans: list[tuple[int, int, int, int, int]]) -> str:
 
 
 def scan_secrets(docs: DataFrame, path: str = RANKS) -> DataFrame:
-    """For each row of docs(doc_id, text): doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans.
+    """For each row of docs(doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess.
 
     spans: kind:start:end of all spans, by start, then kind in the order of KINDS, comma-joined;
     base_sha256 is the digest of the same over the first three kinds. A null or empty text has no
     span and the digest of an empty string. Repeated rows and null ids stay; other columns are
-    ignored; an empty table gives an empty one. Texts are scanned whole.
+    ignored; an empty table gives an empty one. Texts are scanned whole, in time that grows with their
+    length and the words in it, however many secrets or repeats they hold.
     """
 
     def start():
@@ -247,12 +259,13 @@ def scan_secrets(docs: DataFrame, path: str = RANKS) -> DataFrame:
             said = [[(k, f"{KINDS[k]}:{s}:{e}") for s, k, e, *_ in x] for x in found]
             counts = [pa.array([sum(k == kind for k, _ in x) for x in said], pa.int64()) for kind in range(4)]
             base = [hashlib.sha256(",".join(t for k, t in x if k < 3).encode()).hexdigest() for x in said]
-            return pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(base, pa.string()), pa.array([",".join(t for _, t in x) for x in said], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"])
+            told = [pa.array(base, pa.string()), pa.array([",".join(t for _, t in x) for x in said], pa.string())]
+            return pa.RecordBatch.from_arrays([batch.column(0), *counts[:3], *told, counts[3]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess"])
 
         return step
 
     own = docs.select(F.col("doc_id").cast("long"), "text")
-    return map_batches(own, start, "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string")
+    return map_batches(own, start, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -610,3 +611,38 @@ def test_join_without_broadcasts_gives_the_same(spark, docs, texts, monkeypatch)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert found == brute_groups([(r["doc_id"], r["text"]) for r in texts])
+
+
+# long texts: time in proportion
+
+
+def cheapest_cuts(value):
+    """Brute force over all spans of a value without words, dates and walks."""
+    n, each = len(value), secrets._alphabet(value)
+    best = [0.0] + [float("inf")] * n
+    for j in range(1, n + 1):
+        for i in range(j):
+            now, size = best[i] + secrets.SPAN_BITS, j - i
+            costs = [now + each * size]
+            if size >= 3 and len(set(value[i:j])) == 1:
+                costs.append(now + each + np.log2(size))
+            costs += [now + np.log2(size // p + 1) for p in range(2, size + 1) if size % p == 0 and p <= i and value[i - p : j - p] == value[i:j] and len(set(value[i - p : i])) > 1]
+            best[j] = min(best[j], *costs)
+    return best[n]
+
+
+def test_repeated_blocks_cost_the_least_of_all_cuts():
+    rng = random.Random(11)
+    for _ in range(150):
+        base = "".join(rng.choice("éñ°§") for _ in range(rng.randrange(1, 5)))
+        value = "".join(rng.choice([base * rng.randrange(1, 7), base[::-1], "°", "ñ" * rng.randrange(1, 5)]) for _ in range(rng.randrange(1, 6)))[:40]
+        assert secrets.guess_bits(value, {}) == pytest.approx(cheapest_cuts(value)), value
+
+
+def test_long_texts_are_scanned_in_proportion():
+    ranks, longest = secrets.words(), secrets.longest_word()
+    began = time.time()
+    assert len(secrets.find("password is a1b2c3d4 " * 40_000, ranks, longest)) == 40_000
+    assert len(secrets.find("password = Xk9#vQ2!mZ7w" + "q8R!" * 1_000_000, ranks, longest)) == 1
+    assert secrets.guess_bits("ab!" * 20_000, ranks, secrets.SECRET_BITS, longest) < secrets.SECRET_BITS
+    assert time.time() - began < 25

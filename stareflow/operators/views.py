@@ -90,7 +90,9 @@ def _words_of(x: Column) -> Column:
 
 def find_titles(asked: DataFrame, titles: DataFrame) -> DataFrame:
     """(ask_id, title_id, hits, confirmed, year_mismatch) for asked(ask_id, name): the first TITLES_MOST of titles(
-    title_id, title, year) that hold all asked words, or where none does and three or more are asked, all but one.
+    title_id, title, year) that hold all asked words, or where none does and three or more are asked, all but one: those of
+    the asked year first, then with a checked ruling (a column ruled, if there is one), then the newest (a column day).
+    A title is of a year that it names in brackets, or in which it was decided.
 
     Filters narrow the titles that hold all words until one is left: every word of the span 'X v Y', the span as the
     title's beginning, then the year in brackets. The only title left is confirmed; if its year is another, it is a year mismatch instead. Words
@@ -99,9 +101,11 @@ def find_titles(asked: DataFrame, titles: DataFrame) -> DataFrame:
     span = tx.party_span(F.col("name"))
     year = F.nullif(F.regexp_extract("name", r"[\[(]\s*((?:19|20)\d\d)\s*[\])]", 1), F.lit("")).cast("int")
     a = asked.select("ask_id", F.lower(span).alias("span"), year.alias("asked_year"), F.slice(_words_of(F.coalesce(span, F.col("name"))), 1, WORDS_MOST).alias("words")).where(F.size("words") > 0)
-    t = titles.select("title_id", "title", "year", F.explode(_words_of(F.col("title"))).alias("word"))
+    ruled = F.coalesce(F.col("ruled"), F.lit(False)) if "ruled" in titles.columns else F.lit(False)
+    day = F.col("day").cast("date") if "day" in titles.columns else F.lit(None).cast("date")
+    t = titles.select("title_id", "title", "year", ruled.alias("ruled"), day.alias("day"), F.explode(_words_of(F.col("title"))).alias("word"))
     hit = a.select("*", F.explode("words").alias("word")).join(t, "word")
-    hit = hit.groupBy("ask_id", "title_id").agg(F.count("*").cast("int").alias("hits"), *(F.first(c).alias(c) for c in ("span", "asked_year", "title", "year")), F.first(F.size("words")).alias("n"))
+    hit = hit.groupBy("ask_id", "title_id").agg(F.count("*").cast("int").alias("hits"), *(F.first(c).alias(c) for c in ("span", "asked_year", "title", "year", "ruled", "day")), F.first(F.size("words")).alias("n"))
     hit = hit.where(F.col("hits") >= F.when(F.col("n") >= 3, F.col("n") - 1).otherwise(F.col("n")))
     low = F.lower("title")
     after = F.substr(low, F.length("span") + 1, F.lit(3))
@@ -109,7 +113,7 @@ def find_titles(asked: DataFrame, titles: DataFrame) -> DataFrame:
     full = F.col("hits") == F.col("n")
     every = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(rf"\b{TITLE_WORD}\b"), F.lit(0))
     spanned = F.size(F.array_except(every(F.col("span")), every(low))) == 0
-    in_year = F.col("year") == F.col("asked_year")
+    in_year = (F.col("year") == F.col("asked_year")) | F.contains("title", F.concat(F.lit("["), F.col("asked_year").cast("string")))
     each = Window.partitionBy("ask_id")
     hit = hit.withColumns({"f1": full & spanned, "f2": full & spanned & as_span, "f3": full & spanned & as_span & F.coalesce(in_year, F.lit(False))})
     hit = hit.withColumns({f"n{i}": F.count_if(f"f{i}").over(each) for i in (1, 2, 3)})
@@ -117,7 +121,7 @@ def find_titles(asked: DataFrame, titles: DataFrame) -> DataFrame:
     one = F.when(F.col("n1") == 1, F.col("f1")).when(F.col("n2") == 1, F.col("f2")).when((F.col("n2") > 1) & F.col("asked_year").isNotNull() & (F.col("n3") == 1), F.col("f3")).otherwise(False)
     wrong = one & F.col("asked_year").isNotNull() & ~F.coalesce(in_year, F.lit(False))
     keep = (F.col("n1") == 0) | full
-    order = Window.partitionBy("ask_id").orderBy(F.desc("hits"), F.desc("_year"), "title_id")
+    order = Window.partitionBy("ask_id").orderBy(F.desc("hits"), F.desc("_year"), F.desc("ruled"), F.desc_nulls_last("day"), "title_id")
     out = hit.where(keep).withColumns({"_year": F.coalesce(in_year, F.lit(False)), "_one": one, "_wrong": wrong})
     out = out.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= TITLES_MOST)
     return out.select("ask_id", "title_id", "hits", (F.col("_one") & ~F.col("_wrong")).alias("confirmed"), F.col("_wrong").alias("year_mismatch"))

@@ -25,8 +25,8 @@ def ordered_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citing_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ten judgments of each provision's list."""
-    return rel.citing_list(mentions(spark, sf_dir), judgments(spark, sf_dir)).where("rank <= 10")
+    """Every provision's list of judgments, ranked."""
+    return rel.citing_list(mentions(spark, sf_dir), judgments(spark, sf_dir))
 
 
 def citing_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +214,7 @@ ORACLE_SQL = {
         SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY CAST(l_shipdate AS DATE) DESC, l_orderkey DESC, l_linenumber DESC) AS rn FROM lineitem) WHERE rn = 1""",
     "ordered_versions": """SELECT o_custkey, string_agg(d, ',' ORDER BY d) AS versions, count(*) AS n_versions, min(d) AS first_version
         FROM (SELECT DISTINCT o_custkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d FROM orders) GROUP BY 1""",
-    "citing_rank": f"{_CITING} SELECT * FROM r WHERE rank <= 10",
+    "citing_rank": f"{_CITING} SELECT * FROM r",
     "citing_page": f"{_CITING} SELECT judgment_id, rank, (SELECT count(*) FROM r WHERE provision_id = 7) AS total FROM r WHERE provision_id = 7 AND rank BETWEEN 6 AND 10",
     "cited_by": f"WITH {JUDGMENTS_SQL} SELECT provision_id // 2 AS chain, count(DISTINCT coalesce(duplicate_of, judgment_id)) AS cited_by FROM m JOIN j USING (judgment_id) GROUP BY 1",
     "lead_counts": f"""WITH {_EV}, k AS (SELECT provision_id // 2 AS chain, * FROM ev)

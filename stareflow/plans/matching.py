@@ -35,8 +35,9 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies of the longest text among those of one language and source, as records of one case are compared."""
-    return mt.copies(read(spark, sf_dir, "documents"), ["lang", "source"], "doc_id", "text").select("doc_id", "canonical", F.round("overlap", 6).alias("overlap"))
+    """Copies of the longest text among those that begin with the same five words, as records of one case do."""
+    docs = read(spark, sf_dir, "documents").withColumn("begins", F.array_join(F.slice(mt.words(F.col("text")), 1, 5), " "))
+    return mt.copies(docs, ["begins"], "doc_id", "text").select("doc_id", "canonical", F.round("overlap", 6).alias("overlap"))
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,9 +91,9 @@ ORACLE_SQL = {
         FROM (SELECT * FROM fts UNION ALL SELECT * FROM sem) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""",
     "word_search": f"WITH {_FTS} SELECT * FROM fts",
     "vector_search": f"WITH {_SEM} SELECT * FROM sem",
-    "near_dupes": f"""WITH d AS (SELECT doc_id, lang, source, {_WORDS} AS w FROM documents),
-        r AS (SELECT doc_id, lang, source, len(w) AS n, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS r FROM d),
-        k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY lang, source ORDER BY n DESC, doc_id DESC) AS canonical FROM r)
+    "near_dupes": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        r AS (SELECT doc_id, array_to_string(w[1:5], ' ') AS begins, len(w) AS n, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS r FROM d),
+        k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY begins ORDER BY n DESC, doc_id DESC) AS canonical FROM r)
         SELECT doc_id, canonical, overlap FROM (SELECT a.doc_id, a.canonical, round(CAST(len(list_intersect(a.r, b.r)) AS DOUBLE) / greatest(1, least(len(a.r), len(b.r))), 6) AS overlap,
           CAST(len(list_intersect(a.r, b.r)) AS DOUBLE) / greatest(1, least(len(a.r), len(b.r))) AS exact
         FROM k a JOIN k b ON a.canonical = b.doc_id WHERE a.doc_id <> a.canonical) WHERE exact >= 0.7""",

@@ -263,6 +263,9 @@ ORACLE_SQL = {
           '2001-01-31,2019-05-0' || (page_id % 9 + 1) AS versions, 'https://law.example.org/akn/ke/act/2001/' || page_id || '/eng@2019-05-01/source.pdf' AS source_url,
           'sec_' || page_id || ',sec_' || page_id || '__a' AS eids, title || '|' || page_id || 'A. Nested' AS headings,
           'sec_' || page_id || '__a:[Act No. ' || page_id || ' of 2003]|sec_' || page_id || ':[Repealed]' AS remarks, CAST(1 AS INT) AS n_links, said AS section_text, CAST(length(said) AS INT) AS n_chars FROM t""",
+    "link_discovery": r"""WITH l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS url FROM pages),
+        k AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '#.*$', ''), '^(https?://[^/?#]+)$', '\1/') AS url FROM pages)
+        SELECT url, min(page_id) AS found_at, count(DISTINCT page_id) AS n FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM l) WHERE url NOT IN (SELECT url FROM k) GROUP BY 1""",
     "link_frontier": f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), p AS (SELECT page_id AS k, {_URL.format(k="page_id")} AS url FROM pages),
         e AS (SELECT DISTINCT k AS src, d AS dst FROM (SELECT k, unnest([(k + 3) % n, (k * 2 + 1) % n, (k * 5 + 2) % n]) AS d FROM p, n) WHERE d <> k
           AND CASE k % 3 WHEN 0 THEN d % 3 < 2 WHEN 1 THEN true ELSE d % 3 = 1 END AND (d % 3 <> 0 OR (k % 3 = 0 AND d // 9 = k // 9))),

@@ -12,6 +12,7 @@ from urllib.parse import urldefrag, urljoin
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stareflow.functions import citations as cit
@@ -133,10 +134,14 @@ def test_many_open_marks_take_no_longer(spark):
     rows = [(1, "[2017] KESC 2 (KLR) " + "“a " * 20_000), (2, "[2017] KESC 2 (KLR) " + '"one two three four five six seven eight" ' * 20_000)]
     filings = spark.createDataFrame(rows, "filing_id long, text string")
     cases = fi.cited_cases(filings)
-    fi.quotes_given(filings.limit(0), cases.limit(0)).count()
-    began = time.time()
-    n = {r.filing_id: r["count"] for r in fi.quotes_given(filings, cases).groupBy("filing_id").count().collect()}
-    assert n == {2: 20_000} and time.time() - began < 20
+    assert {r.filing_id: r["count"] for r in fi.quotes_given(filings, cases).groupBy("filing_id").count().collect()} == {2: 20_000}
+    took = {}
+    for n in (100, 8_000, 64_000):  # the first one compiles
+        df = spark.createDataFrame([('"one two three four five six seven eight" ' * n,)], "t string")
+        began = time.time()
+        assert df.select(F.size(tx.found_at(F.col("t"), fi.QUOTE))).first()[0] == n
+        took[n] = time.time() - began
+    assert took[64_000] < 4 + 16 * took[8_000]
 
 
 def test_quotes_are_checked_by_parts_and_budget(spark):
@@ -413,6 +418,18 @@ def test_close_quotes_match_a_plain_search(spark):
             assert got[i].result == "not_found" and got[i].similarity is None
 
 
+def test_titles_come_by_year_ruling_and_day(spark):
+    rows = [(1, "Mwangi v Republic [2010] eKLR", 2010, None, False), (2, "Mwangi v Republic [2011] eKLR", 2011, "2011-05-01", False), (3, "Mwangi v Republic", 2012, "2012-05-01", False), (4, "Mwangi v Republic [2009] eKLR", 2009, "2009-05-01", True), (5, "Mwangi v Republic [2013] eKLR", 2014, "2014-01-01", None)]
+    titles = spark.createDataFrame(rows, "title_id long, title string, year int, day string, ruled boolean")
+    asked = spark.createDataFrame([(1, "Mwangi"), (2, "Mwangi (2013)"), (3, "Mwangi v Republic [2012]"), (4, "Mwangi v Republic (1999)")], "ask_id long, name string")
+    w = F.row_number().over(Window.partitionBy("ask_id").orderBy(F.monotonically_increasing_id()))
+    got = {}
+    for r in vw.find_titles(asked, titles).withColumn("n", w).orderBy("ask_id", "n").collect():
+        got.setdefault(r.ask_id, []).append((r.title_id, r.confirmed))
+    assert [i for i, _ in got[1]] == [4, 5, 3, 2, 1] and [i for i, _ in got[2]] == [5, 4, 3, 2, 1]
+    assert dict(got[3])[3] and not any(c for _, c in got[4])
+
+
 def test_a_quote_settles_which_case_it_is(spark):
     results = spark.createDataFrame([(1, 0, "possible_match", None, None, [7, 8]), (2, 0, "possible_match", None, None, [7, 9])], "filing_id long, case_no int, result string, basis string, judgment_id long, candidates array<bigint>")
     quotes = spark.createDataFrame([(1, 0, "b c d"), (2, 0, "b c d")], "filing_id long, case_no int, quote string")
@@ -432,7 +449,8 @@ def test_planted_errors_are_caught(spark):
     body = " ".join(f"word{i} of{i % 7}" for i in range(60))
     docs = spark.createDataFrame([(1, body)], "judgment_id long, text string")
     planted = ev.planted_quotes(docs, 12, seed=3)
-    rows = planted.join(docs, "judgment_id").withColumn("hit", fi.standing_in_order(fi.quote_parts("quote"), fi.text_words("text")["words"]).isNotNull()).collect()
+    rows = planted.join(docs, "judgment_id").withColumns({"parts": fi.quote_parts("quote"), "w": fi.text_words("text")})
+    rows = rows.withColumn("hit", fi.standing_in_order(F.col("parts"), F.col("w.words")).isNotNull()).collect()
     assert {r.kind for r in rows} == {"control", "drop a word", "swap a word", "insert a word"}
     assert all(r.hit == (r.kind == "control") for r in rows)
 

@@ -93,15 +93,6 @@ def name_match(cited: DataFrame, titles: DataFrame) -> DataFrame:
     )
 
 
-def settled_by_quote(decided: DataFrame, verbatim: DataFrame) -> DataFrame:
-    """decided of name_match() where a quote that is verbatim in just one candidate settles which it is.
-    verbatim: (cite_id, title_id)."""
-    hits = decided.where("result = 'possible_match'").select("cite_id", F.explode("ids").alias("title_id")).join(verbatim.distinct(), ["cite_id", "title_id"])
-    one = hits.groupBy("cite_id").agg(F.count("*").alias("_n"), F.min("title_id").alias("_id")).where("_n = 1")
-    out = decided.join(one, "cite_id", "left")
-    return out.select("cite_id", F.when(F.col("_id").isNotNull(), "found").otherwise(F.col("result")).alias("result"), F.when(F.col("_id").isNotNull(), "quote").otherwise(F.col("basis")).alias("basis"), F.when(F.col("_id").isNotNull(), F.array("_id")).otherwise(F.col("ids")).alias("ids"))
-
-
 def quotes_in(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, doc_id) of quotes(item_id, text) whose words stand in docs(doc_id, text) one after another. A quote's
     first run, or all of it if it is shorter, finds candidates by an equi-join; their words are compared whole.

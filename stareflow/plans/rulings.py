@@ -144,7 +144,31 @@ def chain_event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.one_per_chain(events, members).select("chain", "provision_id", "event_id")
 
 
+def status_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each section's standing beside its rulings in order of date."""
+    out = views.status_export(section_events(spark, sf_dir))
+    line = lambda r: F.concat_ws(":", r["effective_date"].cast("string"), r["event_id"].cast("string"), r["event_type"])
+    return out.select("provision_id", "status", F.array_join(F.transform("rulings", line), ";").alias("rulings"))
+
+
+def standing_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standing of sections of two jurisdictions: one by the rules of rulings, one by whether anything repeals them."""
+    place = F.when(F.col("provision_id") % 3 == 0, "ug/").otherwise("ke/")
+    events = section_events(spark, sf_dir).withColumn("provision_id", F.concat(place, F.col("provision_id").cast("string")))
+    repeals = lambda e: e.groupBy("provision_id").agg(F.when(F.bool_or(F.col("event_type") == "repealed_by_statute"), "repealed").otherwise("in force").alias("status"))
+    return views.standing_by_rules(events, {"ke/": lambda e: status.standing(status.history(e)).select("provision_id", "status"), "ug/": repeals})
+
+
+def appeal_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parties with judgments in several courts or years, the lowest court's first."""
+    out = views.appeal_cases(judgments(spark, sf_dir).select("judgment_id", F.concat(F.lit("court "), F.col("court").cast("string")).alias("court"), "party"), ["court 3", "court 2", "court 1"])
+    return out.select("party", F.array_join(F.transform("rulings", lambda r: r.cast("string")), ",").alias("rulings"))
+
+
 QUERIES = {
+    "status_export": status_export,
+    "standing_by_rules": standing_by_rules,
+    "appeal_cases": appeal_cases,
     "status_history": status_history,
     "status_resolve": status_resolve,
     "status_small_histories": status_by_month,
@@ -164,6 +188,11 @@ ORACLE_SQL = {
     "leads_overlay": f"""
         SELECT provision_id, event_id, verified, state FROM (WITH {_history_sql('(SELECT * FROM ev WHERE verified)')} SELECT * FROM told)
         UNION ALL SELECT provision_id, event_id, verified, state FROM (WITH {_history_sql()} SELECT * FROM told) WHERE NOT verified""",
+    "status_export": f"""WITH {_history_sql()} {_STANDING_SQL}, r AS (SELECT provision_id, string_agg(strftime(effective_date, '%Y-%m-%d') || ':' || event_id || ':' || event_type, ';' ORDER BY effective_date, event_id) AS rulings FROM ev GROUP BY 1)
+        SELECT provision_id, {_LABEL_SQL} AS status, rulings FROM facts JOIN r USING (provision_id)""",
+    "standing_by_rules": f"""SELECT 'ke/' || provision_id AS provision_id, status FROM (WITH {_history_sql()} {_STANDING_SQL} SELECT provision_id, {_LABEL_SQL} AS status FROM facts) WHERE provision_id % 3 <> 0
+        UNION ALL SELECT 'ug/' || provision_id, CASE WHEN bool_or(event_type = 'repealed_by_statute') THEN 'repealed' ELSE 'in force' END FROM (WITH {_EV} SELECT * FROM ev) WHERE provision_id % 3 = 0 GROUP BY provision_id""",
+    "appeal_cases": f"""WITH {JUDGMENTS_SQL} SELECT party, string_agg(CAST(judgment_id AS VARCHAR), ',' ORDER BY CASE WHEN court > 3 THEN -4 ELSE court - 4 END, judgment_id) AS rulings FROM j GROUP BY party HAVING count(*) > 1""",
     "section_record": f"""WITH {JUDGMENTS_SQL}, chk AS (WITH {_history_sql('(SELECT * FROM ev WHERE verified AND provision_id IN (SELECT p_partkey FROM part))')} {_STANDING_SQL} SELECT provision_id, {_LABEL_SQL} AS status FROM facts),
         smr AS (SELECT provision_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS summary FROM (WITH {_history_sql('(SELECT * FROM ev WHERE verified AND provision_id IN (SELECT p_partkey FROM part))')} {_SUMMARY_SQL}) GROUP BY 1),
         h AS (SELECT provision_id, event_id, effective_date, state, verified FROM (WITH {_history_sql('(SELECT * FROM ev WHERE verified)')} SELECT * FROM told)

@@ -518,3 +518,11 @@ def test_spans_meet_gold_places_one_for_one(spark):
     assert sorted(got, key=key) == sorted(want, key=key) and (0, 1, 9, "b", False, None) in want
     r = ev.mention_scores(g, f, ["a", "b"]).first()
     assert (r.law_right, r.law_wrong, r.law_unresolved, r.law_unscored) == tuple(counts[k] for k in ("right", "wrong", "unresolved", "unscored")) and r.matched == sum(w[4] for w in want)
+
+
+def test_shares_and_trigger_order(spark):
+    items = spark.range(200).select(F.col("id").cast("string").alias("k"))
+    shares = [{r.k for r in ru.shard(items, "k", i, 3).collect()} for i in range(3)]
+    assert sum(map(len, shares)) == 200 and len(set().union(*shares)) == 200 and min(map(len, shares)) > 30
+    found = spark.createDataFrame([(1, 2), (2, 5), (3, 5)], "judgment_id long, held long")
+    assert [r.judgment_id for r in ru.in_trigger_order(found).collect()] == [2, 3, 1]

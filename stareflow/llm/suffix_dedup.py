@@ -380,12 +380,12 @@ def _cut_again(length: int, anchor: int):
     return step
 
 
-def _wanted(kinds: DataFrame, docs: DataFrame) -> DataFrame:
-    """(row, text, wanted) of the documents that hold kinds(key, seg, times, at). A few kinds are broadcast to the
-    documents; for more both sides are dealt by document."""
+def _wanted(kinds: DataFrame, docs: DataFrame, few: bool) -> DataFrame:
+    """(row, text, wanted) of the documents that hold kinds(key, seg, times, at), both sides dealt by document; few: kinds of
+    hot keys alone, which are broadcast to the documents if their count allows it."""
     own = kinds.select("at.row", F.struct("at.start", "at.n", "key", "seg", "times").alias("w"))
     own = own.groupBy("row").agg(F.collect_list("w").alias("wanted"))
-    return docs.select("row", "text").join(F.broadcast(own) if fits(kinds.count(), 200) else own, "row")
+    return docs.select("row", "text").join(F.broadcast(own) if few and fits(kinds.count(), 200) else own, "row")
 
 
 def _twice(parts: DataFrame, docs: DataFrame, length: int, hot: int, longer: tuple[int, ...]) -> DataFrame:
@@ -402,11 +402,11 @@ def _twice(parts: DataFrame, docs: DataFrame, length: int, hot: int, longer: tup
         many = bounded(many, 24, few) if few else None
     if many is not None:
         cold = kinds.join(many, "key", "left_anti")
-    texts = map_batches(_wanted(cold, docs), lambda: _texts(length), _CUT)
+    texts = map_batches(_wanted(cold, docs, longer != ANCHORS[1:]), lambda: _texts(length), _CUT)
     small_batches(docs.sparkSession)
     found = texts.repartition("key").sortWithinPartitions("key", "seg").mapInArrow(_sorter, _FOUND)
     if many is not None:
-        pieces = stored(map_batches(_wanted(kinds.join(many, "key", "left_semi"), docs), lambda: _cut_again(length, longer[0]), _AGAIN))
+        pieces = stored(map_batches(_wanted(kinds.join(many, "key", "left_semi"), docs, True), lambda: _cut_again(length, longer[0]), _AGAIN))
         own = F.transform("spans", lambda s: F.struct((s["start"] + F.col("place")).cast("int").alias("start"), (s["end"] + F.col("place")).cast("int").alias("end")))
         hit = _twice(pieces, docs, length, hot, longer[1:]).select(F.col("of").alias("seg"), own.alias("own"))
         found = found.unionByName(hit.groupBy("seg").agg(F.flatten(F.collect_set("own")).alias("spans")))  # a segment's windows at most

@@ -1,9 +1,14 @@
 """Work that must not grow faster than the tables: many copies of a key, and what passes through the driver."""
 
+from stareflow.operators import filing as fi
 from stareflow.operators import matching as mt
 from stareflow.operators import sequences as seq
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_names_that_many_titles_share_are_compared_once(spark):
     n = 30_000  # row by row, n * n pairs
     titles = spark.range(n).selectExpr("id AS title_id", "IF(id = 7, 2001, 2000) AS year", "array('otieno', IF(id = 9, 'kamau', 'wanjiru')) AS words", "IF(id < 3, '4 of 2000', NULL) AS number")
@@ -26,5 +31,15 @@ def test_sections_are_joined_by_a_shuffle(spark):
     notes = spark.range(5).selectExpr("'a' AS act_id", "'2020-01-01' AS version_date", "id AS file_no", "0 AS note_no", "concat('sec_', id, '__p_1') AS eid", "'[Act No. 3 of 2003]' AS text")
     sections = spark.range(5).selectExpr("'a' AS act_id", "concat('sec_', id) AS eid")
     found = seq.statutory_events(notes, sections)
-    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(found)
     assert sorted(r.provision_id for r in found.collect()) == [f"a/sec_{i}" for i in range(5)]
+
+
+def test_a_filing_is_searched_once(spark):
+    filings = spark.createDataFrame([(1, "As in Okuta v Otieno [2015] eKLR and [2018] KESC 4 (KLR) it was said.")], "filing_id long, text string")
+    titles = spark.createDataFrame([(4, "[2018] KESC 4 (KLR)", "Mwangi v Okuta [2018] KESC 4 (KLR)", 2018, None)], "title_id long, citation string, title string, year int, number string")
+    cases = fi.cited_cases(filings)
+    results = fi.case_results(cases, titles)
+    for df in (cases, results, fi.budgeted(fi.quotes_given(filings, cases), results)):
+        assert "regexp_extract_all" not in plan(df)
+    assert {r.case_no: r.result for r in results.collect()} == {0: "not_in_collection", 1: "found"}

@@ -1,5 +1,8 @@
 """Work that must not grow faster than the tables: many copies of a key, and what passes through the driver."""
 
+import pyarrow as pa
+
+from stareflow.functions import text as tx
 from stareflow.operators import filing as fi
 from stareflow.operators import matching as mt
 from stareflow.operators import sequences as seq
@@ -43,3 +46,14 @@ def test_a_filing_is_searched_once(spark):
     for df in (cases, results, fi.budgeted(fi.quotes_given(filings, cases), results)):
         assert "regexp_extract_all" not in plan(df)
     assert {r.case_no: r.result for r in results.collect()} == {0: "not_in_collection", 1: "found"}
+
+
+def test_batches_are_python_objects_a_few_at_a_time():
+    seen = []
+
+    def lengths(texts):
+        seen.append(len(texts))
+        return pa.array([len(t or "") for t in texts])
+
+    assert tx.in_slices(pa.array(["ab", None] * 100), lengths, 64).to_pylist() == [2, 0] * 100
+    assert seen == [64, 64, 64, 8] and tx.in_slices(pa.array([], pa.string()), lambda t: pa.array(t, pa.int64())).to_pylist() == []

@@ -118,9 +118,13 @@ def _read(source: str | None) -> tuple[list[dict], list[str]]:
 @F.arrow_udf(MARKUP)
 def markup(source: pa.Array) -> pa.Array:
     """The elements and strings of pages, as MARKUP."""
-    pages = [_read(x) for x in source.to_pylist()]
-    nodes = pa.array([p[0] for p in pages], pa.list_(_NODE))
-    return pa.StructArray.from_arrays([nodes, pa.array([p[1] for p in pages], pa.list_(pa.string()))], names=["nodes", "strings"])
+
+    def found(sources: list[str | None]) -> pa.Array:
+        pages = [_read(x) for x in sources]
+        nodes = pa.array([p[0] for p in pages], pa.list_(_NODE))
+        return pa.StructArray.from_arrays([nodes, pa.array([p[1] for p in pages], pa.list_(pa.string()))], names=["nodes", "strings"])
+
+    return tx.in_slices(source, found)
 
 
 def _said(strings: Column, node: Column, between: str = " ") -> Column:

@@ -1,7 +1,9 @@
 """Work that must not grow faster than the tables: many copies of a key, and what passes through the driver."""
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from stareflow.functions import citations as cit
 from stareflow.functions import text as tx
 from stareflow.operators import filing as fi
 from stareflow.operators import matching as mt
@@ -57,3 +59,22 @@ def test_batches_are_python_objects_a_few_at_a_time():
 
     assert tx.in_slices(pa.array(["ab", None] * 100), lengths, 64).to_pylist() == [2, 0] * 100
     assert seen == [64, 64, 64, 8] and tx.in_slices(pa.array([], pa.string()), lambda t: pa.array(t, pa.int64())).to_pylist() == []
+
+
+def test_mentions_take_no_expression_over_arrays_for_each_row(spark):
+    docs = spark.createDataFrame([(1, "Under the Penal  Code, ss. 12, Article 5 and s. 7(2) of the Act. So do ss. 12–14 of it."), (2, None), (3, "Nothing."), (4, "")], "doc_id long, text string").selectExpr("*", "DATE '2020-01-01' AS decision_date")
+    found = cit.mentions(docs)
+    assert "lambdafunction" not in plan(found)
+    assert sorted(((r.doc_id, r.section_ref, r.act_slug) for r in found.collect()), key=str) == [(1, n, slug) for n, slug in (("12", None), ("12", None), ("13", None), ("14", None), ("5", "constitution"), ("7(2)", None))]
+
+
+def test_a_law_is_told_by_the_longest_end_that_is_known(spark):
+    names = ["The  Kenyan Constitution", "Constitution of Kenya, 2010", "old SOA", "xsoa", "Elections Act", "My Elections Act", "Information and Communications Act", None, ""]
+    got = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, name string").select("i", cit.law_slug(F.col("name")).alias("slug"))
+    assert "lambdafunction" not in plan(got)
+    assert [r.slug for r in got.orderBy("i").collect()] == ["constitution", "constitution", "cap-63a", None, "cap-7", None, "cap-411a", None, None]
+
+
+def test_texts_without_a_head_are_not_searched_for_citations(monkeypatch):
+    monkeypatch.setattr(cit, "_CITATION", None)
+    assert cit.scan("Under the Employment Act the court sat. 1. One. 2. Two.") and cit.scan("nothing is numbered") == []

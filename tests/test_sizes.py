@@ -78,3 +78,13 @@ def test_a_law_is_told_by_the_longest_end_that_is_known(spark):
 def test_texts_without_a_head_are_not_searched_for_citations(monkeypatch):
     monkeypatch.setattr(cit, "_CITATION", None)
     assert cit.scan("Under the Employment Act the court sat. 1. One. 2. Two.") and cit.scan("nothing is numbered") == []
+
+
+def test_places_and_names_take_no_expression_over_words_for_each_row(spark):
+    texts = ["In Okuta v Otieno  [2018]  KESC 4 (KLR) and [2015] eKLR", "v Republic v Otieno [2018] KESC 4", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", tx.found_at(F.col("t"), tx.NEUTRAL, tx.EKLR).alias("at"), tx.parts_between(F.col("t"), r"\s+and\s+").alias("parts"), tx.name_before(F.col("t"), F.position(F.lit("["), F.col("t")) - 1).alias("name"))
+    assert plan(got).count("lambdafunction") <= 4 and "regexp_extract_all" not in plan(got)
+    rows = [([tuple(a) for a in r["at"]], [tuple(p) for p in r.parts], r.name) for r in got.orderBy("i").collect()]
+    assert rows[0][0][1][2] == "[2015] eKLR" and all(texts[0][a:b] == raw for a, b, raw in rows[0][0] + rows[0][1]) and rows[0][2] == "Okuta v Otieno"
+    assert rows[1][2] is None and rows[2] == ([], [(0, 0, "")], None)

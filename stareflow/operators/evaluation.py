@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stareflow.operators.relational import left_joined
+
 
 def is_right(found: Column, gold: Column) -> Column:
     """Whether an id is one of a gold label's alternatives."""
@@ -160,7 +162,7 @@ def key_errors(events: DataFrame, provisions: DataFrame, texts: DataFrame, types
     unknown provision, type or scope, a partial scope without words, or a link to no event."""
     e = events.join(texts, "judgment_id", "left").join(provisions.select("provision_id", F.lit(True).alias("_p")).distinct(), "provision_id", "left")
     keys = events.select(F.col("event_key").alias("affects_event"), F.lit(True).alias("_k")).distinct()
-    e = e.join(keys, "affects_event", "left")
+    e = left_joined(e, keys, "affects_event", "event_key")
     plain = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     checks = [
         (F.col("text").isNull(), "no text"),

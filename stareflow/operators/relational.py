@@ -65,6 +65,14 @@ def prune(df: DataFrame, keys: DataFrame, key: str, only: Column) -> DataFrame:
     return df.join(gone, key, "left_anti")
 
 
+def left_joined(df: DataFrame, other: DataFrame, key: str, by: str) -> DataFrame:
+    """df left-joined with other by a key that is often null: rows without it are dealt by another column. Left to
+    itself, Spark sends them all to one task."""
+    without = F.when(F.col(key).isNull(), F.xxhash64(by)).otherwise(F.lit(0).cast("long"))
+    zero = F.pmod(F.xxhash64(key), F.lit(1))  # always 0, but no literal, which Spark would take out of the join's keys
+    return df.withColumn("_deal", without).join(other.withColumn("_deal", zero), [key, "_deal"], "left").drop("_deal")
+
+
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     """One page of a list."""
     return df.orderBy(*order).offset(offset).limit(limit)

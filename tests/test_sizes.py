@@ -7,6 +7,7 @@ from stareflow.functions import citations as cit
 from stareflow.functions import text as tx
 from stareflow.operators import filing as fi
 from stareflow.operators import matching as mt
+from stareflow.operators import relational as rel
 from stareflow.operators import sequences as seq
 
 
@@ -88,3 +89,23 @@ def test_places_and_names_take_no_expression_over_words_for_each_row(spark):
     rows = [([tuple(a) for a in r["at"]], [tuple(p) for p in r.parts], r.name) for r in got.orderBy("i").collect()]
     assert rows[0][0][1][2] == "[2015] eKLR" and all(texts[0][a:b] == raw for a, b, raw in rows[0][0] + rows[0][1]) and rows[0][2] == "Okuta v Otieno"
     assert rows[1][2] is None and rows[2] == ([], [(0, 0, "")], None)
+
+
+def most_in_a_partition(df):
+    return max(r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
+
+
+def test_rows_without_a_key_do_not_meet_in_one_task(spark):
+    n = 4_000
+    events = spark.range(n).selectExpr("CAST(id AS STRING) AS event_key", "IF(id % 9 = 0, CAST(id + 9 AS STRING), NULL) AS affects_event")
+    keys = events.select(F.col("event_key").alias("affects_event"), F.lit(True).alias("_k")).distinct()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert most_in_a_partition(events.join(keys, "affects_event", "left")) > n * 8 / 9
+        found = rel.left_joined(events, keys, "affects_event", "event_key")
+        assert most_in_a_partition(found) < n / 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert found.count() == n and found.where("_k").count() == found.where("affects_event IS NOT NULL").count() - 1

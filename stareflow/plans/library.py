@@ -198,7 +198,7 @@ def appeal_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = judgments(spark, sf_dir).where("duplicate_of IS NULL")
     appeals = j.where("judgment_id % 6 = 0").select("judgment_id", F.when(F.col("judgment_id") % 12 == 0, "pending").otherwise("reversed").alias("later_history"), (F.col("judgment_id") + 5).alias("appellate"))
     held = judgments(spark, sf_dir).select(F.col("judgment_id").alias("appellate"), F.lit(True).alias("held"))
-    return j.join(appeals, "judgment_id", "left").join(held, "appellate", "left").select("judgment_id", "later_history", F.coalesce("held", F.lit(False)).alias("appellate_held"))
+    return rel.left_joined(j.join(appeals, "judgment_id", "left"), held, "appellate", "judgment_id").select("judgment_id", "later_history", F.coalesce("held", F.lit(False)).alias("appellate_held"))
 
 
 QUERIES = {f.__name__: f for f in (latest_version, ordered_versions, citing_rank, citing_page, cited_by, lead_counts, stats_counts, duplicate_groups, judgment_flags, section_order, court_order, upsert_preserve, replace_partition, fill_links, prune_events, cache_misses, embedding_fill, export_batches, stratified_sample, disjoint_rounds, null_rates, era_pivot, type_histogram, appeal_join)}

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stareflow.llm.common import bounded, forget, joined, map_batches, slices, small_batches, stored, utf8
+from stareflow.llm.common import SLICE_BYTES, bounded, fits, forget, joined, map_batches, slices, small_batches, stored, utf8
 from stareflow.llm.graph import components
 
 WORDS = 5
@@ -48,6 +48,10 @@ SKETCH_BITS, SKETCH_MOST = 20, 24
 LONG = 256
 #: Counter chunks that one task adds up.
 FAN_IN = 64
+#: Counters in a chunk of the table.
+CHUNK = 1 << 14
+#: Pairs of one set that a task checks against it, about.
+GROUP = 256
 #: Digests that a task remembers, so as not to hand a set on again.
 DIGESTS_KEPT = 500_000
 #: Largest boundary that is considered between light and heavy sets.
@@ -132,6 +136,17 @@ def difference_at_least(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """The counters in as few bytes each as the largest needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def _counters(packed: bytes, bits: int) -> np.ndarray:
+    """The counters of a chunk of _packed()."""
+    width = len(packed) // min(CHUNK, 1 << bits)
+    return np.frombuffer(packed, f"u{width}")
+
+
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
@@ -144,7 +159,6 @@ def keyed(docs: DataFrame) -> DataFrame:
 def _profiles(docs: DataFrame, k: int, bits: int) -> DataFrame:
     """For each row of keyed() its set's size, digest, bitmap and min-hash keys (kind 0), and for each
     task the counts of its shingles by bucket, in chunks (kind 1; doc_id is the task's number)."""
-    chunk = 1 << 14
 
     def run(batches):
         from pyspark import TaskContext
@@ -168,9 +182,9 @@ def _profiles(docs: DataFrame, k: int, bits: int) -> DataFrame:
             if seen:
                 np.add.at(counts, np.concatenate(seen).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.int64()), batch.column(1), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(bitmaps, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
-        parts = [c for c in range(0, len(counts), chunk) if counts[c : c + chunk].any()]
+        parts = [c for c in range(0, len(counts), CHUNK) if counts[c : c + CHUNK].any()]
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([1] * len(parts), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array(parts, pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array([counts[c : c + chunk].tobytes() for c in parts], pa.binary()), pa.nulls(len(parts), pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * len(parts), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array(parts, pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array([_packed(counts[c : c + CHUNK]) for c in parts], pa.binary()), pa.nulls(len(parts), pa.list_(pa.int64()))], schema=schema)
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, "kind int, doc_id long, mark long, n long, sid long, bits binary, bands array<long>")
@@ -181,8 +195,8 @@ def _rarity(profiles: DataFrame, bits: int) -> np.ndarray:
 
     def total(pdf):
         out = pdf.iloc[:1].copy()
-        parts = [np.frombuffer(x, np.uint32) for x in pdf["bits"]]
-        out["bits"] = [np.minimum(np.sum(parts, axis=0, dtype=np.uint64), 0xFFFFFFFF).astype(np.uint32).tobytes()]
+        parts = [_counters(x, bits) for x in pdf["bits"]]
+        out["bits"] = [_packed(np.minimum(np.sum([p.astype(np.uint64) for p in parts], axis=0), 0xFFFFFFFF))]
         return out
 
     sums = profiles.where("kind = 1").select("n", F.col("doc_id").alias("part"), "bits")
@@ -193,7 +207,8 @@ def _rarity(profiles: DataFrame, bits: int) -> np.ndarray:
         sums = sums.groupBy("n", "part").applyInPandas(lambda p: total(p[["n", "part", "bits"]]), "n long, part long, bits binary")
     counts = np.zeros(1 << bits, np.uint32)
     for row in sums.toLocalIterator():  # 2 ** bits counters, whatever the corpus
-        counts[row.n : row.n + len(row.bits) // 4] = np.frombuffer(row.bits, np.uint32)
+        part = _counters(row.bits, bits)
+        counts[row.n : row.n + len(part)] = part
     return counts
 
 
@@ -426,7 +441,10 @@ def _block_links(x: list[dict], y: list[dict], percent: int) -> list[tuple[int,
 
 def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs that sizes and bitmaps do not rule out."""
-    a, b = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    pairs = stored(pairs)
+    named = stored(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+    own = stored(sets.select("sid", "n", "bits").join(bounded(named, 24), "sid"))
+    a, b = own.toDF("a", "na", "xa"), own.toDF("b", "nb", "xb")
 
     def start():
         def step(batch: pa.RecordBatch):
@@ -441,8 +459,8 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         return step
 
-    width = 60 + int(sets.agg(F.avg(F.length("bits"))).first()[0] or 0)
-    both = joined(joined(stored(pairs), a, "a", width), b, "b", width, ready=False)
+    width = 60 + int(own.agg(F.avg(F.length("bits"))).first()[0] or 0)
+    both = joined(joined(pairs, a, "a", width), b, "b", width, ready=False)
     return map_batches(both.select("a", "b", "na", "xa", "nb", "xb"), start, "a long, b long")
 
 
@@ -468,7 +486,12 @@ def _sets_of(sids: DataFrame, docs: DataFrame, sets: DataFrame, k: int) -> DataF
 def _checked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs whose whole sets reach the threshold."""
     pairs = stored(pairs)
-    found = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")), docs, sets, k)
+    named = stored(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+    size = sets.select("sid", "n").join(bounded(named, 24), "sid").agg(F.count("*").alias("rows"), F.avg("n").alias("n")).first()
+    width = 60 + 8 * int(size.n or 0)
+    if not fits(size.rows, width):
+        return _checked_apart(pairs, docs, sets, k, percent)
+    found = _sets_of(named, docs, sets, k)
 
     def compare():
         def step(batch: pa.RecordBatch):
@@ -478,11 +501,63 @@ def _checked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent
 
         return step
 
-    width = 60 + int(found.agg(F.avg(F.length("h"))).first()[0] or 0)
     both = joined(joined(pairs, found.toDF("a", "ha"), "a", width), found.toDF("b", "hb"), "b", width, ready=False).select("a", "b", "ha", "hb")
     return map_batches(both, compare, "a long, b long")
 
 
+def _checked_apart(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """_checked() for sets too many to broadcast: a whole set travels once for each of its pairs and is
+    written nowhere.
+
+    The pairs of a set a are dealt into parts of about GROUP; a part receives a's set, then the others
+    one by one.
+    """
+    many = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("parts")).where("parts > 1"))
+    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part")
+    dealt = stored(joined(pairs, many, "a", 40, "left").select("a", "b", part))
+    to = dealt.select("a", "part", F.col("b").alias("sid")).union(dealt.select("a", "part", F.col("a").alias("sid")).distinct())
+    at = sets.select("sid", F.col("at.doc_id").alias("wanted"), F.col("at.mark").alias("said"))
+    wanted = stored(to.groupBy("sid").agg(F.collect_list(F.struct("a", "part")).alias("to")).join(at, "sid").drop("sid"))
+    width = 60 + 24 * int(wanted.agg(F.avg(F.size("to"))).first()[0] or 0)
+    texts = docs.join(bounded(wanted, width), (F.col("mark") == F.col("said")) & F.col("doc_id").eqNullSafe(F.col("wanted"))).select("text", "to")
+
+    def made(batches):
+        hashes, rows, held = _WordHashes(), [], 0
+        schema = pa.schema([("a", pa.int64()), ("part", pa.int64()), ("sid", pa.int64()), ("h", pa.binary())])
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+        for batch in (part for whole in batches for part in slices(whole)):
+            for text, targets in zip(batch.column(0), batch.column(1), strict=True):
+                h = shingle_set(text.as_py(), hashes, k).tobytes()
+                sid = xxhash.xxh3_64_intdigest(h) - (1 << 63)
+                for t in targets.as_py():
+                    rows.append((t["a"], t["part"], sid, h))
+                    held += len(h) + 24
+                    if held >= SLICE_BYTES:
+                        yield out()
+                        rows, held = [], 0
+        if rows:
+            yield out()
+
+    def compare(batches):
+        here, first, last = None, None, None  # the part, its first set, and the set seen last in it
+        for batch in (part for whole in batches for part in slices(whole)):
+            left, right = [], []
+            for a, part, sid, h in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                if (a, part) != here:
+                    here, first = (a, part), np.frombuffer(h.as_py(), np.uint64)
+                elif sid != last and linked(first, np.frombuffer(h.as_py(), np.uint64), percent):  # rows that repeat give a set again
+                    left.append(a), right.append(sid)
+                last = sid
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    small_batches(docs.sparkSession)
+    whole = texts.mapInArrow(made, "a long, part long, sid long, h binary").repartition("a", "part")
+    return whole.sortWithinPartitions("a", "part", F.col("a") != F.col("sid"), "sid").mapInArrow(compare, "a long, b long")
+
+
 def _with(comps: DataFrame, more: DataFrame) -> DataFrame:
     """The components with further links, if there are any."""
     if not more.limit(1).count():
@@ -500,11 +575,13 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, bits: int |
     own = profiles.where("kind = 0")
     at = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("at")
     sets = stored(own.where("n > 0").groupBy("sid").agg(at, F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits")))
+    rows = stored(own.select("doc_id", "mark", F.col("n").alias("n_shingles"), "sid"))
     counts = _rarity(profiles, bits)
     sizes = {r.n: r["count"] for r in sets.where(f"n <= {MOST_LIGHT}").groupBy("n").count().collect()}
     boundary = choose_boundary(sizes, counts, percent)
 
     keys = stored(own.where("n > 1").select("sid", F.explode("bands").alias("band")).distinct())
+    forget(profiles)
     first = stored(keys.groupBy("band").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a <> z").select("band", "a"))
     stars = joined(keys, first, "band", 40).where("a <> sid").select("a", F.col("sid").alias("b")).distinct()
     near = stored(_checked(_plausible(stars, sets, percent), docs, sets, k, percent))
@@ -521,9 +598,11 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, bits: int |
     comps = _with(comps, more)
     ids = sets.select(F.col("sid").alias("node"), "doc_id").join(comps, "node", "left").select(F.col("node").alias("sid"), F.coalesce("comp", "node").alias("comp"), "doc_id")
     ids = stored(ids)
+    forget(sets, hot)
     least = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = joined(ids.select("sid", "comp"), least, "comp", 40)
-    out = joined(own.select("doc_id", "mark", F.col("n").alias("n_shingles"), "sid"), stored(named), "sid", 56, "left")
+    named = stored(joined(ids.select("sid", "comp"), least, "comp", 40))
+    forget(ids)
+    out = joined(rows, named, "sid", 56, "left")
     return out.select("doc_id", "mark", "n_shingles", "comp", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

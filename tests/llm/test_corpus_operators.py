@@ -613,6 +613,42 @@ def test_join_without_broadcasts_gives_the_same(spark, docs, texts, monkeypatch)
     assert found == brute_groups([(r["doc_id"], r["text"]) for r in texts])
 
 
+def test_whole_sets_of_many_pairs_are_written_nowhere(spark, monkeypatch):
+    from stareflow.llm import common
+
+    rng, rows = random.Random(5), []
+    for _ in range(20):  # groups of near copies, beyond a broadcast
+        base = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        for _ in range(12):
+            words = list(base)
+            for _ in range(rng.randrange(0, 16)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows + rows[:30], "doc_id long, text string")  # some rows twice
+    written = []
+
+    def stored(table, keep=common.stored):
+        written.extend(c for c in table.columns if c in ("h", "ha", "hb"))
+        return keep(table)
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "stored", stored)
+    monkeypatch.setattr(ngram_join, "stored", stored)
+    monkeypatch.setattr(ngram_join, "GROUP", 4)
+    monkeypatch.setattr(ngram_join, "SLICE_BYTES", 10_000)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(df).collect()}
+    assert found == brute_groups(rows)
+    assert not written
+
+
+def test_counters_take_the_bytes_that_the_largest_needs():
+    for most, width in ((200, 1), (60_000, 2), (1 << 31, 4)):
+        counts = np.zeros(1 << 8, np.uint32)
+        counts[7] = most
+        packed = ngram_join._packed(counts)
+        assert len(packed) == width << 8 and (ngram_join._counters(packed, 8) == counts).all()
+
+
 # long texts: time in proportion
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stareflow.functions import text as tx
+from stareflow.operators.staging import staged
 
 # A quote, its least words, rulings of courts that limit a section, and words for what could not be confirmed.
 QUOTED, QUOTED_WORDS = r"[\"“]([^\"“”]+)[\"”]", 5
@@ -36,8 +37,11 @@ def rendered(parts: DataFrame) -> DataFrame:
 
 
 def placed(findings: DataFrame, parts: DataFrame) -> DataFrame:
-    """findings(draft_id, char_start, ...) with where: the kind of the part that they stand in, text if none holds them."""
-    own = spans(parts).where("end > start").select("draft_id", F.col("start").alias("char_start"), F.lit(0).alias("_row"), F.col("kind").alias("_kind"), F.col("end").alias("_end"))
+    """findings(draft_id, char_start, ...) with where: the kind of the part that they stand in, text if none holds them.
+    parts may have their spans() already."""
+    if "end" not in parts.columns:
+        parts = spans(parts)
+    own = parts.where("end > start").select("draft_id", F.col("start").alias("char_start"), F.lit(0).alias("_row"), F.col("kind").alias("_kind"), F.col("end").alias("_end"))
     rows = own.unionByName(findings.withColumn("_row", F.lit(1)), allowMissingColumns=True)
     read = Window.partitionBy("draft_id").orderBy("char_start", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = F.last(F.when(F.col("_row") == 0, F.struct("_kind", "_end")), ignorenulls=True).over(read)
@@ -60,8 +64,10 @@ def _some(values: Column, fits) -> Column:
 
 def judged_quotes(quotes: DataFrame, cases: DataFrame, parts: DataFrame) -> DataFrame:
     """quotes(draft_id, case_no, quote, result) of cases that stand outside rulings, with own: the words are part of a
-    ruling that the draft shows."""
-    outside = placed(cases, parts).where("where <> 'ruling'").select("draft_id", "case_no")
+    ruling that the draft shows. cases may be placed() already."""
+    if "where" not in cases.columns:
+        cases = placed(cases, parts)
+    outside = cases.where("where <> 'ruling'").select("draft_id", "case_no")
     found = quotes.join(outside, ["draft_id", "case_no"]).join(_of_draft(parts, "ruling", "quote", "rulings"), "draft_id", "left")
     return found.withColumn("own", _some(F.col("rulings"), lambda r: F.contains(r, F.col("quote")))).drop("rulings")
 
@@ -134,9 +140,11 @@ def dropped_cases(lookups: DataFrame, questions: DataFrame, parts: DataFrame) ->
 def draft_items(parts: DataFrame, cases: DataFrame, quotes: DataFrame, sections: DataFrame, limits: DataFrame, lookups: DataFrame | None = None, questions: DataFrame | None = None) -> DataFrame:
     """(draft_id, raw_text, kind, result, flagged, cite) of everything that is judged in drafts: cases(draft_id, case_no,
     char_start, raw_text, result), quotes(draft_id, case_no, quote, result), sections as section_items() takes them."""
-    own = placed(cases, parts).where("where = 'text'")
+    parts = staged(spans(parts))
+    cases = staged(placed(cases, parts))
+    own = cases.where("where = 'text'")
     out = _items(own, F.col("raw_text"), "case", F.col("result"), F.col("result") != "found")
-    judged = judged_quotes(quotes, cases, parts)
+    judged = staged(judged_quotes(quotes, cases, parts))
     out = out.unionByName(_items(judged.where("NOT own"), F.col("quote"), "quote", F.col("result"), F.col("result") != "verbatim"))
     out = out.unionByName(_items(loose_quotes(parts, judged), F.col("quote"), "quote", F.lit("not_checked"), F.lit(True)))
     out = out.unionByName(section_items(sections, parts, limits))

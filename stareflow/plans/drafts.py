@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stareflow.functions import citations as cit
 from stareflow.operators import drafts as dr
 from stareflow.operators import filing as fi
+from stareflow.operators.staging import staged
 from stareflow.plans.filings import _penal_code, _texts, _titles
 from stareflow.plans.tables import read
 
@@ -30,7 +31,7 @@ def draft_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "o_orderkey % 300 + 1 AS n")
     none = {"provision_id": F.lit(None).cast("string"), "judgment_id": F.lit(None).cast("bigint"), "title": F.lit(None).cast("string")}
     parts = spark.sql(_PARTS.format(text="STRING").replace("FROM d", "FROM {d}"), d=d).withColumns(none)
-    text = dr.rendered(parts)
+    text = staged(dr.rendered(parts))  # read by the steps on cases, quotes and sections
     filings = text.withColumnRenamed("draft_id", "filing_id")
     cases = fi.cited_cases(filings)
     results = fi.case_results(cases, _titles(spark))

@@ -118,3 +118,46 @@ def test_the_one_stream_holds_few_calls_of_a_moment(spark, monkeypatch):
     found = seq.both_limits(calls, 2, 4, 5.0)
     assert sizes == [3_000, 40]
     assert sorted((r.at, r.id) for r in found.where("allowed").collect()) == [(t, t + 10 * i) for t in (0, 6) for i in range(4)] and found.count() == 3_000
+
+
+def test_a_numbering_is_looked_for_only_where_it_can_begin(monkeypatch):
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.texts = pattern, 0
+
+        def finditer(self, text):
+            self.texts += 1
+            return self.pattern.finditer(text)
+
+    counted = {style: Counted(pattern) for style, pattern in cit._PARAGRAPH.items()}
+    monkeypatch.setattr(cit, "_PARAGRAPH", counted)
+    assert cit._paragraphs("Section 22 of the Penal Code [2018] applies. 2. Next (3) one.") == []
+    assert sum(c.texts for c in counted.values()) == 0
+    assert cit._paragraphs("Held: 1. The first. 2. The next.") == [(6, 1), (20, 2)]
+    assert cit._paragraphs("\u0661. The first. 02. The next.") == [(0, 1), (14, 2)]
+    assert cit._paragraphs("".join(f"[{n}] So it was. " for n in range(1, 7)))[0] == (0, 1)
+
+
+def test_a_draft_s_text_and_parts_are_read_once(spark, monkeypatch):
+    from stareflow.operators import drafts as dr
+
+    calls = {"spans": 0, "placed": 0}
+
+    def counted(name):
+        own = getattr(dr, name)
+
+        def step(*args):
+            calls[name] += "end" not in args[0].columns if name == "spans" else "case_no" in args[0].columns
+            return own(*args)
+
+        monkeypatch.setattr(dr, name, step)
+
+    counted("spans"), counted("placed")
+    parts = spark.sql("SELECT 1L AS draft_id, 0 AS part_no, 'text' AS kind, 'See [2018] KESC 4 (KLR) here.' AS text, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS STRING) AS quote, CAST(NULL AS STRING) AS provision_id")
+    cases = spark.sql("SELECT 1L AS draft_id, 0 AS case_no, 4 AS char_start, '[2018] KESC 4 (KLR)' AS raw_text, 'found' AS result")
+    quotes = spark.sql("SELECT 1L AS draft_id, 0 AS case_no, 'a b c d e f g h' AS quote, 'verbatim' AS result").where("false")
+    sections = spark.sql("SELECT 1L AS draft_id, 0 AS char_start, '' AS raw_text, 'p' AS provision_id, 'a' AS act_ref, 's' AS status").where("false")
+    limits = spark.sql("SELECT 'p' AS provision_id, 1L AS event_id, 'upheld' AS event_type")
+    found = dr.draft_items(parts, cases, quotes, sections, limits)
+    assert [tuple(r) for r in found.collect()] == [(1, "[2018] KESC 4 (KLR)", "case", "found", False, [])]
+    assert calls == {"spans": 1, "placed": 1}

@@ -161,3 +161,21 @@ def test_a_draft_s_text_and_parts_are_read_once(spark, monkeypatch):
     found = dr.draft_items(parts, cases, quotes, sections, limits)
     assert [tuple(r) for r in found.collect()] == [(1, "[2018] KESC 4 (KLR)", "case", "found", False, [])]
     assert calls == {"spans": 1, "placed": 1}
+
+
+def test_a_citation_s_row_is_whole_without_a_shuffle(spark):
+    text = "1. The Evidence Act and the Traffic Code. 2. Section 4 of the Act, s. 5 of the Code. Under the Act 3. Sections 6 to 7 of the Act."
+    docs = spark.createDataFrame([(1, text), (2, "Section 8 of the Act. The Evidence Act.")], "doc_id long, text string").selectExpr("*", "DATE '2020-01-01' AS decision_date")
+    found = cit.mentions(docs)
+    assert "Exchange" not in plan(found) and "Window" not in plan(found)
+    got = sorted(((r.doc_id, r.paragraph, r.section_ref, r.act_ref, r.act_slug, r.confidence) for r in found.collect()), key=str)
+    act, code, none = ("Evidence Act", "cap-80", 0.6), ("Traffic Code", None, 0.6), ("the Act", None, 0.0)
+    assert got == [(1, "2", "4", *act), (1, "2", "5", *code), (1, "3", "6", *act), (1, "3", "7", *act), (2, None, "8", *none)]
+
+
+def test_a_law_before_a_head_is_looked_for_only_where_one_can_stand(monkeypatch):
+    want = cit.scan("See Penal Code, section 5 and Article 6.")
+    assert want[0][3] == "See Penal Code, section 5 and Article 6" and want[0][9] == "See Penal Code"
+    monkeypatch.setattr(cit, "_CITATION", None)
+    found = cit.scan("See sections 5 of the Penal Code. So does SECTION 7 and Article 6 of the Rules.")
+    assert [(r[3], r[9]) for r in found] == [("sections 5 of the Penal Code", "Penal Code"), ("SECTION 7 and Article 6 of the Rules", "Rules")]

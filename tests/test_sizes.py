@@ -179,3 +179,12 @@ def test_a_law_before_a_head_is_looked_for_only_where_one_can_stand(monkeypatch)
     monkeypatch.setattr(cit, "_CITATION", None)
     found = cit.scan("See sections 5 of the Penal Code. So does SECTION 7 and Article 6 of the Rules.")
     assert [(r[3], r[9]) for r in found] == [("sections 5 of the Penal Code", "Penal Code"), ("SECTION 7 and Article 6 of the Rules", "Rules")]
+
+
+def test_a_filing_s_cases_are_numbered_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(fi, "staged", lambda df: df)
+    filings = spark.createDataFrame([(1, "As in Okuta v Otieno [2015] eKLR and [2018] KESC 4 (KLR), then [2016] eKLR."), (2, "[2018] KESC 5 (KLR)"), (3, None)], "filing_id long, text string")
+    cases = fi.cited_cases(filings)
+    assert "Exchange" not in plan(cases) and "Window" not in plan(cases)
+    got = [(r.filing_id, r.case_no, r.raw_text, r.name) for r in cases.orderBy("filing_id", "case_no").collect()]
+    assert got == [(1, 0, "[2015] eKLR", "Okuta v Otieno"), (1, 1, "[2018] KESC 4 (KLR)", None), (1, 2, "[2016] eKLR", None), (2, 0, "[2018] KESC 5 (KLR)", None)]

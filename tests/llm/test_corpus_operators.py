@@ -682,3 +682,16 @@ def test_long_texts_are_scanned_in_proportion():
     assert len(secrets.find("password = Xk9#vQ2!mZ7w" + "q8R!" * 1_000_000, ranks, longest)) == 1
     assert secrets.guess_bits("ab!" * 20_000, ranks, secrets.SECRET_BITS, longest) < secrets.SECRET_BITS
     assert time.time() - began < 25
+
+
+def test_a_training_step_holds_the_scores_of_its_classes_once():
+    import tracemalloc
+
+    net, rng = lm_scoring.Network(300), np.random.default_rng(1)
+    around, target = rng.integers(0, 300, (2 * lm_scoring.SIDE, lm_scoring.STEP_TOKENS)), rng.integers(0, lm_scoring.CLASSES, lm_scoring.STEP_TOKENS)
+    net._forward(around)
+    tracemalloc.start()
+    net._forward(around)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 4 * lm_scoring.STEP_TOKENS * lm_scoring.CLASSES

@@ -35,7 +35,7 @@ def draft_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     filings = text.withColumnRenamed("draft_id", "filing_id")
     cases = fi.cited_cases(filings)
     results = fi.case_results(cases, _titles(spark))
-    given = fi.budgeted(fi.quotes_given(filings, cases), results)
+    given = fi.quotes_given(filings, cases)
     found = results.where("result = 'found'").select("filing_id", "case_no", "judgment_id")
     quotes = fi.checked_quotes(given, found, _texts(spark))
     cases = cases.join(results.select("filing_id", "case_no", "result"), ["filing_id", "case_no"]).withColumnRenamed("filing_id", "draft_id")
